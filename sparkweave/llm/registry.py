@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, quality
+from . import langid, mixing, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_mixing": mixing.op6_mixing,
     "op8_language_id": langid.op8_language_id,
 }
 
