@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, quality, simhash
+from . import bpe, exact_dedup, langid, licenses, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_language_id": langid.op8_language_id,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_secret_scan": secrets.SQL,
 }
