@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_language_id": langid.op8_language_id,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
