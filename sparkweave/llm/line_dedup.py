@@ -12,9 +12,9 @@ positional filter and a parity filter (128 bits, each flipped by words; the bits
 that differ are at most the words that differ), and are then verified with the
 words themselves. Equal lines are one line in all this.
 
-So that large groups of similar lines do not give all their pairs, each line is
-first compared with two lines for each word of its prefix, the earliest and the
-most frequent one; only lines that find no match there meet all others.
+So that large groups of similar lines do not give all their pairs, lines that share
+frequent words are first compared with the line of most copies for each such word
+of the prefix; only lines that find no match there go on to meet all others.
 
 Null and empty texts have no lines with words and stay as they are. Rows equal in
 id and text share one result. An empty table gives an empty result. Only id and
@@ -24,6 +24,9 @@ nothing changes.
 
 from __future__ import annotations
 
+from collections import Counter
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,25 +77,29 @@ def _parity(tokens: Column, shift: int) -> Column:
 
 
 def index_lines(docs: DataFrame, table: bytes) -> DataFrame:
-    """id (in the order of lines), doc, th, i, n (words), same (equal lines share it), s1 and s2 (parities), prefix."""
+    """id (any number of its own), at (the place in the order of lines), n (words), same (equal lines share it), s1 and s2 (parities), prefix."""
     num, den = SIMILAR
-    token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(_hash(w))).cast("long"), F.lit(56)).bitwiseOR(_hash(w))
     lines = _lines(docs).withColumn("w", F.array_distinct(words(F.col("line")))).filter(F.size("w") > 0)
-    lines = lines.select("doc", "th", "i", F.sort_array(F.transform("w", token)).alias("t")).withColumn("n", F.size("t"))
+    lines = lines.select("doc", "th", "i", F.transform("w", _hash).alias("h"))
+    token = lambda h: F.call_function("shiftleft", _looked_up(table, _slot(h)).cast("long"), F.lit(56)).bitwiseOR(h)
+    lines = lines.select(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th", "i").alias("at"), F.sort_array(F.transform("h", token)).alias("t")).withColumn("n", F.size("t"))
     least = F.floor((F.col("n") * num + den - 1) / den).cast("int")
-    kept = lines.select("doc", "th", "i", "n", F.struct(F.xxhash64("t"), F.xxhash64("t", F.lit(1))).alias("same"), _parity(F.col("t"), 0).alias("s1"), _parity(F.col("t"), 6).alias("s2"), F.slice("t", 1, F.col("n") - least + 1).alias("prefix"))
-    order = [F.col("doc").asc_nulls_last(), "th", "i"]
-    return cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "lines")
+    same = F.struct(F.xxhash64("t"), F.xxhash64("t", F.lit(1)))
+    kept = lines.select("at", "n", same.alias("same"), _parity(F.col("t"), 0).alias("s1"), _parity(F.col("t"), 6).alias("s2"), F.slice("t", 1, F.col("n") - least + 1).alias("prefix"))
+    return cut(kept.withColumn("id", F.monotonically_increasing_id()), "lines")
 
 
 def _postings(unique: DataFrame) -> DataFrame:
-    return unique.select("id", "n", "s1", "s2", "copies", F.posexplode("prefix").alias("pos", "tok"))
+    """A row for each word of a prefix; size holds the number of words and the word's place."""
+    places = unique.select("id", "n", "s1", "s2", *(["copies"] if "copies" in unique.columns else []), F.posexplode("prefix").alias("pos", "tok"))
+    return places.withColumn("size", F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
 
 
 def _near(a: str, b: str) -> Column:
     """What pairs of postings of one word must pass."""
     num, den = SIMILAR
-    n, m, p, q = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    n, m = (F.shiftright(F.col(f"{x}.size"), 32) for x in (a, b))
+    p, q = (F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
     shared = F.least(n - p, m - q)
     far = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
     # shared / (n + m - shared) >= num / den, and twice as many bits may differ as words.
@@ -101,48 +108,49 @@ def _near(a: str, b: str) -> Column:
 
 
 def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ids (later, distinct) of pairs later, earlier whose words are similar enough. Only lines whose slot some pair marks are read into the joins."""
+    """Of the pairs x, y whose words are similar enough, the id of the later line (distinct). Only lines whose slot some pair marks are read into the joins."""
     num, den = SIMILAR
-    pairs = cut(pairs.select("later", "earlier").distinct(), "pairs")
-    places = index.select("id", "doc", "th", "i")
-    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(places, "id").select("id", "doc", "th", "i")
-    asked = cut(asked.dropDuplicates(["id"]), "asked")
+    pairs = cut(pairs.select("x", "y").distinct(), "pairs")
+    asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked")
     slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
-    marks = slot_table(docs.sparkSession, asked.select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
-    read = _lines(docs).filter(_looked_up(marks, slot) == 1).dropDuplicates(["doc", "th", "i"])
-    sets = cut(_met(asked, read), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("later"), F.col("w").alias("a")), "later").join(sets.select(F.col("id").alias("earlier"), F.col("w").alias("b")), "earlier")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter((num + den) * shared >= num * (F.size("a") + F.size("b"))).select(F.col("later").alias("id")).distinct()
+    marks = slot_table(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
+    read = _lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line").dropDuplicates(["_doc", "_th", "_i"])
+    met = asked.join(read, F.col("at.doc").eqNullSafe(F.col("_doc")) & (F.col("at.th") == F.col("_th")) & (F.col("at.i") == F.col("_i")))
+    sets = cut(met.select("id", "at", F.array_distinct(words(F.col("line"))).alias("w")), "sets")
+    one, two = (sets.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"), F.col("w").alias(f"w_{k}")) for k in "xy")
+    both = pairs.join(one, "x").join(two, "y")
+    shared = F.size(F.array_intersect("w_x", "w_y"))
+    similar = both.filter((num + den) * shared >= num * (F.size("w_x") + F.size("w_y")))
+    return similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
 
 
-def _met(asked: DataFrame, read: DataFrame) -> DataFrame:
-    one, two = asked.alias("x"), read.alias("y")
-    same = F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.th") == F.col("y.th")) & (F.col("x.i") == F.col("y.i"))
-    return one.join(two, same).select("id", F.array_distinct(words(F.col("line"))).alias("w"))
+def frequent(table: bytes) -> int:
+    """From which level on words may have long postings: eight times the mean of the counters, and 512 at least."""
+    mean = sum(n * (2 ** (level / 4) - 1) for level, n in Counter(table).items()) / len(table)
+    return int(4 * log2(max(512.0, 8 * mean) + 1))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. Returns doc, th and `gone`, the numbers of the lines to remove."""
-    index = index_lines(docs, rarity(docs))
-    groups = cut(index.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "groups")
-    unique = index.join(groups.select("id", "copies"), "id")
-    postings = _postings(unique).repartition("tok")
-    of = F.struct("id", "n", "pos", "s1", "s2")
-    best = postings.groupBy("tok").agg(F.min(of).alias("first"), F.max(F.struct("copies", (-F.col("id")).alias("neg"), "n", "pos", "s1", "s2")).alias("most"), F.count("*").alias("f")).filter("f > 1")
-    most = F.struct((-F.col("most.neg")).alias("id"), *(F.col(f"most.{c}").alias(c) for c in ("n", "pos", "s1", "s2")))
-    pivots = best.select("tok", F.explode(F.array_distinct(F.array("first", most))).alias("p")).select("tok", "p.*")
-    quick = postings.alias("a").join(pivots.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.col("b.id")) & _near("a", "b"))
-    matched = cut(verified(docs, index, quick.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"))), "matched")
-    # A line that is done keeps its place in the postings, so that both sides of the join are one exchange; copies then says if it is done.
-    marked = unique.join(matched.withColumn("done", F.lit(True)), "id", "left")
-    rest = _postings(marked.withColumn("copies", F.coalesce("done", F.lit(False)).cast("int"))).repartition("tok")
-    later = F.when(F.col("a.copies") == 1, F.lit(False)).otherwise((F.col("a.id") > F.col("b.id")) & (F.col("b.copies") >= 0))
-    slow = rest.alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & later & _near("a", "b"))
-    found = matched.unionByName(verified(docs, index, slow.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"))))
+    table = rarity(docs)
+    index = index_lines(docs, table)
+    place = F.struct("at", "id")
+    groups = cut(index.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("copies")).select("first.id", "copies"), "groups")
+    unique = index.join(groups, "id")
+    often = _postings(unique).filter(F.shiftright("tok", 56) >= frequent(table))
+    of = ("id", "size", "s1", "s2")
+    pivots = often.groupBy("tok").agg(F.max(F.struct("copies", *of)).alias("p")).select("tok", *(F.col(f"p.{c}").alias(c) for c in of))
+    quick = often.alias("a").join(pivots.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
+    matched = cut(verified(docs, index, quick.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), "matched")
+    # Lines that are done get ids below 0: they can be matched, but ask no more. Both sides of the join are one exchange.
+    done = unique.drop("copies").join(matched.select("id", F.lit(True).alias("done")), "id", "left")
+    rest = _postings(done.withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))))
+    slow = rest.alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
+    y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
+    found = matched.unionByName(verified(docs, index, slow.select(F.col("a.id").alias("x"), y.alias("y"))))
     # An equal line later than its group's first is removed; the first one, if it has a match.
-    firsts = groups.select("id").join(found, "id", "left_anti")
-    out = index.select("id", "doc", "th", "i").join(firsts.withColumn("stays", F.lit(True)), "id", "left")
+    stays = groups.select("id").join(found, "id", "left_anti").withColumn("stays", F.lit(True))
+    out = index.select("id", "at.doc", "at.th", "at.i").join(stays, "id", "left")
     split = out.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("stays").isNull(), F.col("i"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("stay"))
     return split.select("doc", "th", F.array_except("out", "stay").alias("gone")).filter(F.size("gone") > 0)
 
