@@ -8,7 +8,7 @@ Words are ordered by rarity: all words are counted into a table of 2 ** SLOT_BIT
 counters, which only sets the order, so that words sharing a counter cost time but
 no matches. Of n words the first n - ceil(SIMILAR n) + 1 are the prefix; similar
 lines share a word of their prefixes. Pairs must pass the length filter, the
-positional filter and a parity filter (128 bits, each flipped by words; the bits
+positional filter and a parity filter (64 and 31 bits, each flipped by words; the bits
 that differ are at most the words that differ), and are then verified with the
 words themselves. Equal lines are one line in all this.
 
@@ -71,27 +71,35 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.filter("text IS NOT NULL").select(F.col("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
-def _parity(tokens: Column, shift: int) -> Column:
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))
+def _parity(tokens: Column, shift: int, bits: int) -> Column:
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(t, shift) % bits).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
 def index_lines(docs: DataFrame, table: bytes) -> DataFrame:
-    """id (any number of its own), at (the place in the order of lines), n (words), same (equal lines share it), s1 and s2 (parities), prefix."""
+    """id (any number of its own), at (the place in the order of lines), n (words), same (equal lines share it), s1 and s2 (parities), prefix, seldom (how many words of the prefix, the first ones, are not frequent)."""
     num, den = SIMILAR
-    lines = _lines(docs).withColumn("w", F.array_distinct(words(F.col("line")))).filter(F.size("w") > 0)
-    lines = lines.select("doc", "th", "i", F.transform("w", _hash).alias("h"))
+    lines = _lines(docs).withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
+    lines = lines.select("doc", "th", "i", F.array_distinct(F.transform("w", _hash)).alias("h"))
     token = lambda h: F.call_function("shiftleft", _looked_up(table, _slot(h)).cast("long"), F.lit(56)).bitwiseOR(h)
     lines = lines.select(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th", "i").alias("at"), F.sort_array(F.transform("h", token)).alias("t")).withColumn("n", F.size("t"))
     least = F.floor((F.col("n") * num + den - 1) / den).cast("int")
     same = F.struct(F.xxhash64("t"), F.xxhash64("t", F.lit(1)))
-    kept = lines.select("at", "n", same.alias("same"), _parity(F.col("t"), 0).alias("s1"), _parity(F.col("t"), 6).alias("s2"), F.slice("t", 1, F.col("n") - least + 1).alias("prefix"))
-    return cut(kept.withColumn("id", F.monotonically_increasing_id()), "lines")
+    prefix = F.slice("t", 1, F.col("n") - least + 1)
+    kept = lines.select("at", "n", same.alias("same"), _parity(F.col("t"), 0, 64).alias("s1"), _parity(F.col("t"), 8, 31).cast("int").alias("s2"), prefix.alias("p"))
+    # Postings carry 31 bits of a word: unlike words that meet add pairs to verify, and lose none.
+    seldom = F.size(F.filter("p", lambda t: F.shiftright(t, 56) < frequent(table)))
+    short = F.transform("p", lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    return cut(kept.select("at", "n", "same", "s1", "s2", seldom.alias("seldom"), short.alias("prefix"), F.monotonically_increasing_id().alias("id")), "lines")
 
 
 def _postings(unique: DataFrame) -> DataFrame:
-    """A row for each word of a prefix; size holds the number of words and the word's place."""
-    places = unique.select("id", "n", "s1", "s2", *(["copies"] if "copies" in unique.columns else []), F.posexplode("prefix").alias("pos", "tok"))
+    """A row for each word of a prefix, and with a column `seldom` for each frequent one; size holds the number of words and the word's place."""
+    places = unique.select("id", "n", "s1", "s2", *(c for c in ("copies", "seldom") if c in unique.columns), F.posexplode("prefix").alias("pos", "tok"))
+    return places.filter("pos >= seldom").drop("seldom").transform(_sized) if "seldom" in unique.columns else _sized(places)
+
+
+def _sized(places: DataFrame) -> DataFrame:
     return places.withColumn("size", F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
 
 
@@ -137,13 +145,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("at", "id")
     groups = cut(index.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("copies")).select("first.id", "copies"), "groups")
     unique = index.join(groups, "id")
-    often = _postings(unique).filter(F.shiftright("tok", 56) >= frequent(table))
+    often = _postings(unique)
     of = ("id", "size", "s1", "s2")
     pivots = often.groupBy("tok").agg(F.max(F.struct("copies", *of)).alias("p")).select("tok", *(F.col(f"p.{c}").alias(c) for c in of))
     quick = often.alias("a").join(pivots.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
     matched = cut(verified(docs, index, quick.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), "matched")
     # Lines that are done get ids below 0: they can be matched, but ask no more. Both sides of the join are one exchange.
-    done = unique.drop("copies").join(matched.select("id", F.lit(True).alias("done")), "id", "left")
+    done = unique.drop("copies", "seldom").join(matched.select("id", F.lit(True).alias("done")), "id", "left")
     rest = _postings(done.withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))))
     slow = rest.alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
     y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
