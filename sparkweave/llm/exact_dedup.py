@@ -14,12 +14,10 @@ empty result. Only the columns of id and text are read.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, cut, scratch
+from .common import WS, cut, scratch, settings
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,18 +27,6 @@ STATE = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
@@ -61,7 +47,7 @@ def state_of(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str =
     at = scratch(spark, "dedup-state")
     # A pattern that only this path matches: as a plain path a stream takes folders alone, and the table may be one file.
     files = f"{path[:-1]}[{path[-1]}]"
-    with _settings(spark, STATE):
+    with settings(spark, STATE):
         rows = _keyed(spark.readStream.schema(schema).parquet(files), doc_id, text)
         seen = rows.groupBy("digest").agg(F.min(_first(F.col("doc_id"))).alias("first"), F.count("*").alias("group_size"))
         query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
