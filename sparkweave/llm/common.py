@@ -47,10 +47,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: While tables are written: shuffle files go at once, and plans' texts, which may hold lookup tables, are kept short.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing. The shuffle files go when it is written."""
+    """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
-    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with settings(df.sparkSession, WRITING):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, words
+from .common import WRITING, cut, read_table, settings, words
 
 #: As a fraction, so that all bounds are whole numbers.
 SIMILAR = (4, 5)
@@ -52,7 +52,8 @@ def slot_table(spark: SparkSession, levels: DataFrame) -> bytes:
     row = F.shiftright("slot", 10)
     parts = every.groupBy(row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0)).alias("level")))).alias("v"))
     text = parts.select("row", F.array_join(F.transform("v", lambda x: F.char(x["level"])), "").alias("text"))
-    return "".join(r["text"] for r in text.orderBy("row").collect()).encode("ascii")
+    with settings(spark, WRITING):
+        return "".join(r["text"] for r in text.orderBy("row").collect()).encode("ascii")
 
 
 def _looked_up(table: bytes, slot: Column) -> Column:
@@ -122,7 +123,7 @@ def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked")
     slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
     marks = slot_table(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
-    read = _lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line").dropDuplicates(["_doc", "_th", "_i"])
+    read = cut(_lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked").dropDuplicates(["_doc", "_th", "_i"])
     met = asked.join(read, F.col("at.doc").eqNullSafe(F.col("_doc")) & (F.col("at.th") == F.col("_th")) & (F.col("at.i") == F.col("_i")))
     sets = cut(met.select("id", "at", F.array_distinct(words(F.col("line"))).alias("w")), "sets")
     one, two = (sets.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"), F.col("w").alias(f"w_{k}")) for k in "xy")
