@@ -51,14 +51,23 @@ def settings(spark: SparkSession, values: dict[str, str]):
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing."""
+def cut(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing. The path is added to `made`."""
     path = scratch(df.sparkSession, name)
+    if made is not None:
+        made.append(path)
     with settings(df.sparkSession, WRITING):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables of cut() that nothing reads again: whatever came from them has itself been written."""
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text that is not null, in order."""
     return F.array_remove(F.split(text, WS), "")

@@ -104,33 +104,54 @@ def _sized(places: DataFrame) -> DataFrame:
     return places.withColumn("size", F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
 
 
+def _far(a: str, b: str) -> Column:
+    """How many bits of the parities differ."""
+    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+
+
 def _near(a: str, b: str) -> Column:
     """What pairs of postings of one word must pass."""
     num, den = SIMILAR
     n, m = (F.shiftright(F.col(f"{x}.size"), 32) for x in (a, b))
     p, q = (F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
     shared = F.least(n - p, m - q)
-    far = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
     # shared / (n + m - shared) >= num / den, and twice as many bits may differ as words.
     enough = (num + den) * shared >= num * (n + m)
-    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * far <= 2 * (den - num) * (n + m))
+    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= 2 * (den - num) * (n + m))
 
 
 def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs x, y whose words are similar enough, the id of the later line (distinct). Only lines whose slot some pair marks are read into the joins."""
+    """Of the pairs x, y (far: bits that differ) whose words are similar enough, the id of the later line (distinct).
+
+    A line is first compared with the nearest of the earlier ones; only if that is
+    not similar enough is it compared with all others. Only lines whose slot some
+    pair marks are read into the joins.
+    """
     num, den = SIMILAR
-    pairs = cut(pairs.select("x", "y").distinct(), "pairs")
-    asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked")
+    made: list[str] = []
+    pairs = cut(pairs.distinct(), "pairs", made)
+    asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked", made)
     slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
     marks = slot_table(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
-    read = cut(_lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked").dropDuplicates(["_doc", "_th", "_i"])
+    read = cut(_lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked", made).dropDuplicates(["_doc", "_th", "_i"])
     met = asked.join(read, F.col("at.doc").eqNullSafe(F.col("_doc")) & (F.col("at.th") == F.col("_th")) & (F.col("at.i") == F.col("_i")))
-    sets = cut(met.select("id", "at", F.array_distinct(words(F.col("line"))).alias("w")), "sets")
-    one, two = (sets.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"), F.col("w").alias(f"w_{k}")) for k in "xy")
-    both = pairs.join(one, "x").join(two, "y")
-    shared = F.size(F.array_intersect("w_x", "w_y"))
-    similar = both.filter((num + den) * shared >= num * (F.size("w_x") + F.size("w_y")))
-    return similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+    sets = cut(met.select("id", F.array_distinct(words(F.col("line"))).alias("w")), "sets", made)
+    placed = pairs.join(asked.select(F.col("id").alias("x"), F.col("at").alias("at_x")), "x").join(asked.select(F.col("id").alias("y"), F.col("at").alias("at_y")), "y")
+    later = F.col("at_x") > F.col("at_y")
+    ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "ordered", made)
+    one, two = (sets.select(F.col("id").alias(k), F.col("w").alias(f"w_{k}")) for k in ("late", "early"))
+
+    def similar(some: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("w_late", "w_early"))
+        both = some.select("late", "early").join(one, "late").join(two, "early")
+        return both.filter((num + den) * shared >= num * (F.size("w_late") + F.size("w_early"))).select(F.col("late").alias("id")).distinct()
+
+    nearest = ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early")
+    first = cut(similar(nearest), "nearest", made)
+    others = ordered.join(first, F.col("late") == F.col("id"), "left_anti")
+    found = cut(first.unionByName(similar(others)), "matched")
+    discard(docs.sparkSession, made)
+    return found
 
 
 def frequent(table: bytes) -> int:
@@ -150,13 +171,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     of = ("id", "size", "s1", "s2")
     pivots = often.groupBy("tok").agg(F.max(F.struct("copies", *of)).alias("p")).select("tok", *(F.col(f"p.{c}").alias(c) for c in of))
     quick = often.alias("a").join(pivots.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
-    matched = cut(verified(docs, index, quick.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))), "matched")
+    matched = verified(docs, index, quick.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")))
     # Lines that are done get ids below 0: they can be matched, but ask no more. Both sides of the join are one exchange.
     done = unique.drop("copies", "seldom").join(matched.select("id", F.lit(True).alias("done")), "id", "left")
     rest = _postings(done.withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))))
     slow = rest.alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
     y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
-    found = matched.unionByName(verified(docs, index, slow.select(F.col("a.id").alias("x"), y.alias("y"))))
+    found = matched.unionByName(verified(docs, index, slow.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far"))))
     # An equal line later than its group's first is removed; the first one, if it has a match.
     stays = groups.select("id").join(found, "id", "left_anti").withColumn("stays", F.lit(True))
     out = index.select("id", "at.doc", "at.th", "at.i").join(stays, "id", "left")
