@@ -30,7 +30,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITING, cut, read_table, settings, words
+from .common import WRITING, cut, discard, read_table, settings, words
 
 #: As a fraction, so that all bounds are whole numbers.
 SIMILAR = (4, 5)
