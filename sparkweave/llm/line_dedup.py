@@ -9,7 +9,8 @@ counters, which only sets the order, so that words sharing a counter cost time b
 no matches. Of n words the first n - ceil(SIMILAR n) + 1 are the prefix; similar
 lines share a word of their prefixes. Pairs must pass the length filter, the
 positional filter and a parity filter (64 and 31 bits, each flipped by words; the bits
-that differ are at most the words that differ), and are then verified with the
+that differ are at most the words that differ), their prefixes must share as many
+words as a similar pair's do, and they are then verified with the
 words themselves. Equal lines are one line in all this.
 
 So that large groups of similar lines do not give all their pairs, lines that share
@@ -120,6 +121,17 @@ def _near(a: str, b: str) -> Column:
     return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= 2 * (den - num) * (n + m))
 
 
+def _sharing(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough words. Words that both lines have are in both prefixes, or beyond the prefix of the line whose prefix ends first."""
+    num, den = SIMILAR
+    x, y = (index.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"p_{k}")) for k in "xy")
+    # Words of one line with the same 31 bits count once in the intersection, and are made up for.
+    shared = F.size(F.array_intersect("p_x", "p_y")) + F.size("p_x") - F.size(F.array_distinct("p_x"))
+    beyond = F.greatest(F.col("n_x") - F.size("p_x"), F.col("n_y") - F.size("p_y"))
+    both = pairs.join(x, "x").join(y, "y")
+    return both.filter((num + den) * (shared + beyond) >= num * (F.col("n_x") + F.col("n_y"))).select(*pairs.columns)
+
+
 def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs x, y (far: bits that differ) whose words are similar enough, the id of the later line (distinct).
 
@@ -129,7 +141,7 @@ def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     num, den = SIMILAR
     made: list[str] = []
-    pairs = cut(pairs.distinct(), "pairs", made)
+    pairs = cut(_sharing(cut(pairs.distinct(), "met", made), index), "pairs", made)
     asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked", made)
     slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
     marks = slot_table(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
