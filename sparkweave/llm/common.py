@@ -48,7 +48,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 #: While tables are written: shuffle files go at once, and plans' texts, which may hold lookup tables, are kept short.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "10000"}
 
 
 def cut(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:

@@ -47,9 +47,9 @@ def _slot(h: Column) -> Column:
     return (h % (1 << SLOT_BITS)).cast("int")
 
 
-def slot_table(spark: SparkSession, levels: DataFrame) -> bytes:
+def slot_table(spark: SparkSession, levels: DataFrame, slots: int = 1 << SLOT_BITS) -> bytes:
     """levels: slot, level (0 to 127; 0 where missing). One byte for each slot, put together by Spark in rows of 1024."""
-    every = spark.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("slot")).join(levels, "slot", "left")
+    every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(levels, "slot", "left")
     row = F.shiftright("slot", 10)
     parts = every.groupBy(row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0)).alias("level")))).alias("v"))
     text = parts.select("row", F.array_join(F.transform("v", lambda x: F.char(x["level"])), "").alias("text"))
@@ -61,6 +61,17 @@ def _looked_up(table: bytes, slot: Column) -> Column:
     return F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
 
 
+def slot_marks(spark: SparkSession, slots: DataFrame) -> bytes:
+    """slots: slot. A bit for each slot, seven to a byte, so that plans that hold it stay small."""
+    bit = F.call_function("shiftleft", F.lit(1), F.col("slot") % 7)
+    rows = slots.groupBy(F.floor(F.col("slot") / 7).cast("int").alias("at")).agg(F.bit_or(bit).alias("level"))
+    return slot_table(spark, rows.withColumnRenamed("at", "slot"), -(-(1 << SLOT_BITS) // 7))
+
+
+def _marked(marks: bytes, slot: Column) -> Column:
+    return F.getbit(_looked_up(marks, F.floor(slot / 7).cast("int")), slot % 7) == 1
+
+
 def rarity(docs: DataFrame) -> bytes:
     """For each slot four times the logarithm of how many words of all texts fall into it."""
     found = docs.filter("text IS NOT NULL").select(F.explode(words(F.col("text"))).alias("w"))
@@ -144,8 +155,8 @@ def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = cut(_sharing(cut(pairs.distinct(), "met", made), index), "pairs", made)
     asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked", made)
     slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
-    marks = slot_table(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")).distinct().withColumn("level", F.lit(1)))
-    read = cut(_lines(docs).filter(_looked_up(marks, slot) == 1).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked", made).dropDuplicates(["_doc", "_th", "_i"])
+    marks = slot_marks(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")))
+    read = cut(_lines(docs).filter(_marked(marks, slot)).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked", made).dropDuplicates(["_doc", "_th", "_i"])
     met = asked.join(read, F.col("at.doc").eqNullSafe(F.col("_doc")) & (F.col("at.th") == F.col("_th")) & (F.col("at.i") == F.col("_i")))
     sets = cut(met.select("id", F.array_distinct(words(F.col("line"))).alias("w")), "sets", made)
     placed = pairs.join(asked.select(F.col("id").alias("x"), F.col("at").alias("at_x")), "x").join(asked.select(F.col("id").alias("y"), F.col("at").alias("at_y")), "y")
