@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
+#: Shards that one task draws for.
+TASK_SHARDS = 32
 BUCKET_ROWS = 20_000
 MAX_SOURCES = 100_000
 SEED = 20240501
@@ -140,7 +142,7 @@ def taken_blocks(spark: SparkSession, sources: DataFrame, cap: int = CAP) -> Dat
     keys = known["skey"].to_numpy()
     order = np.argsort(keys)
     shards = -(-slots // SHARD_SLOTS)
-    drawn = spark.range(0, shards, 1, min(shards, 2000)).mapInPandas(_draw((keys[order], wanted[order] / wanted.sum()), slots), "skey string, shard long, n long")
+    drawn = spark.range(0, shards, 1, -(-shards // TASK_SHARDS)).mapInPandas(_draw((keys[order], wanted[order] / wanted.sum()), slots), "skey string, shard long, n long")
     upto = F.sum("n").over(Window.partitionBy("skey").orderBy("shard"))
     numbered = drawn.withColumn("_end", upto).join(sources.select("skey", "blocks"), "skey")
     slot = numbered.select("skey", "blocks", F.explode(F.sequence(F.col("_end") - F.col("n"), F.col("_end") - 1)).alias("slot"))
