@@ -32,6 +32,8 @@ WINDOW, STRIDE = 64, 48
 TOXIC, CLEAN, WINDOWS = 1200, 2400, 8
 CALIBRATED = 64
 EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Few windows are gone through more often, until there are so many steps.
+LEAST_STEPS = 400
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
 DIM, HIDDEN, ATTEND = 8, 8, 8
 #: Words a task remembers, and how many words it scores at once.
@@ -106,6 +108,11 @@ def forward(p: dict, gates: list[np.ndarray], index: np.ndarray, there: np.ndarr
     return (logits, states, tape, a, s, pooled) if keep else logits
 
 
+def _summed(size: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each number below size, the sum of the rows at it."""
+    return np.stack([np.bincount(at, rows[:, k], size) for k in range(rows.shape[1])], 1).astype(rows.dtype)
+
+
 def gradients(p: dict, found, index: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     x = vectors(p, found)
     gates = [x @ p[f"w{d}"] + p[f"b{d}"] for d in range(2)]
@@ -120,8 +127,9 @@ def gradients(p: dict, found, index: np.ndarray, there: np.ndarray, y: np.ndarra
     da = de[:, :, None] * p["attend_v"] * (1 - a * a)
     g["attend"], g["attend_b"] = np.einsum("tnh,tnk->hk", states, da), da.sum((0, 1))
     ds = ds + da @ p["attend"].T
-    dgates = [np.zeros_like(x) for x in gates]
+    dgates = []
     for d in range(2):
+        moves = np.zeros((*index.T.shape, 3 * HIDDEN), x.dtype)
         g[f"u{d}"] = np.zeros_like(p[f"u{d}"])
         dh = np.zeros((len(y), HIDDEN), np.float32)
         for _, i, h, z, r, new, own, m in reversed([x for x in tape if x[0] == d]):
@@ -130,17 +138,16 @@ def gradients(p: dict, found, index: np.ndarray, there: np.ndarray, y: np.ndarra
             dnew = on * (1 - z) * (1 - new * new)
             dz, dr = on * (h - new) * z * (1 - z), dnew * own * r * (1 - r)
             dx, down = np.concatenate((dz, dr, dnew), 1), np.concatenate((dz, dr, dnew * r), 1)
-            np.add.at(dgates[d], index[:, i], dx)
+            moves[i] = dx
             g[f"u{d}"] += h.T @ down
             dh = np.where(m, dh * z, dh) + down @ p[f"u{d}"].T
+        dgates.append(_summed(len(x), index.T.ravel(), moves.reshape(-1, 3 * HIDDEN)))
         g[f"w{d}"], g[f"b{d}"] = x.T @ dgates[d], dgates[d].sum(0)
     dx = dgates[0] @ p["w0"].T + dgates[1] @ p["w1"].T
     word, grams, starts = found
-    g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-    np.add.at(g["words"], word, dx)
+    g["words"] = _summed(WORD_BUCKETS, word, dx)
     by_place = np.repeat(dx, np.diff([*starts, len(grams)]), axis=0)
-    for k in range(grams.shape[1]):
-        np.add.at(g["grams"], grams[:, k], by_place)
+    g["grams"] = sum(_summed(GRAM_BUCKETS, grams[:, k], by_place) for k in range(grams.shape[1]))
     g["grams"][0] = 0
     return g
 
@@ -204,6 +211,7 @@ def fit(texts: list[str], docs: list, y: list[int], epochs: int = EPOCHS, seed:
     names, r, p = np.array(list(number), object), np.random.default_rng(seed), model.p
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step, use = 0, np.ones(len(rows), bool)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // BATCH)))
     for epoch in range(epochs):
         order = r.permutation(np.nonzero(use)[0])
         weight = np.where(y > 0, 0.5 / max(1, y[order].sum()), 0.5 / max(1, (1 - y[order]).sum())) * len(order)
@@ -217,18 +225,18 @@ def fit(texts: list[str], docs: list, y: list[int], epochs: int = EPOCHS, seed:
             index, there = _padded(local)
             g = gradients(p, features(list(names[met])), np.maximum(index - 1, 0), there, y[own], weight[own].astype(np.float32))
             step += 1
-            rate = RATE * min(1, step / 20) * (0.2 if epoch >= epochs - 2 else 1)
+            rate = RATE * min(1, step / 20) * (0.2 if 3 * epoch >= 2 * epochs else 1)
             for k in p:
                 mean[k] += 0.1 * (g[k] - mean[k])
                 square[k] += 0.01 * (g[k] * g[k] - square[k])
                 p[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        memory = Words(p)
-        found = logits_of(p, memory, memory.index([tokens(t)[:WINDOW] for t in texts]))
-        best: dict = {}
-        for i, d in enumerate(docs):
-            if d not in best or found[i] > found[best[d]]:
-                best[d] = i
-        if epoch >= 2:  # windows of toxic documents that show nothing are not examples; the best one always is
+        if epochs // 3 <= epoch < epochs - 1:  # windows of toxic documents that show nothing are not examples; the best one always is
+            memory = Words(p)
+            found = logits_of(p, memory, memory.index([tokens(t)[:WINDOW] for t in texts]))
+            best: dict = {}
+            for i, d in enumerate(docs):
+                if d not in best or found[i] > found[best[d]]:
+                    best[d] = i
             use = (y == 0) | (found > 0)
             use[list(best.values())] = True
     return model
