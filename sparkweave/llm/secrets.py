@@ -47,12 +47,21 @@ RULES = (
     Rule("assign", "(" + _any_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20, True),
     Rule("hex", "[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}"),
-    Rule("payment_key", "[sr]k_live_[A-Za-z0-9]{16,255}"),
+    # A key ends with its END line; where none follows before another block, the header alone is the span. Possessive repeats keep Java from recursing.
+    Rule("private_key", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"),
+    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("payment_key", "[sr]k_live_[A-Za-z0-9]{16,}"),
 )
+#: What the SQL searches with instead: it is kept as it was, and differs from the scan in whole keys and in tokens beyond these lengths.
+SQL_PATTERNS = {
+    "private_key": "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "forge_token": "gh[pousr]_[A-Za-z0-9]{36,255}",
+    "chat_token": "xox[abprs]-[A-Za-z0-9-]{10,255}",
+    "web_token": r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}",
+    "payment_key": "[sr]k_live_[A-Za-z0-9]{16,255}",
+}
 MOST_ALTERNATIVES = 16
 GAP = None
 
@@ -156,7 +165,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = [r.pattern.replace("'", "''") for r in RULES]
+    quoted = [SQL_PATTERNS.get(r.kind, r.pattern).replace("'", "''") for r in RULES]
     lists = ", ".join(f"regexp_extract_all(t, '{q}', 0) AS m{n}, regexp_extract_all(t, '{q}', {r.group}) AS g{n}, string_split_regex(t, '{q}') AS p{n}" for n, (r, q) in enumerate(zip(RULES, quoted)))
     begin = "list_sum(list_transform(p{n}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{n}[1:i - 1], lambda x: length(x))), 0)"
     rows = " UNION ALL ".join(

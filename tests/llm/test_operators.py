@@ -148,6 +148,25 @@ def test_secret_spans(spark, folder):
     assert secrets.trigram_query("[0-9a-f]{24,}") == [] and secrets.trigram_query("AKIA[A-Z]+") == [frozenset({"aki", "kia"})]
 
 
+def test_long_secrets(spark):
+    key = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    body = "\n".join(["Proc-Type: 4,ENCRYPTED", *["MIIEow" * 10 + "AB=="] * 3000])
+    texts = {
+        "web_token": ["eyJ" + "a" * h + ".eyJ" + "b" * p + "." + "c" * s for h, p, s in ((30, 900, 40), (30, 1200, 40), (3000, 70000, 5000))],
+        "forge_token": ["ghp_" + "a" * 36, "ghp_" + "a" * 900],
+        "chat_token": ["xoxb-" + "1" * 900],
+        "payment_key": ["sk_live_" + "a" * 900],
+        "private_key": [key("RSA PRIVATE KEY", body), key("PGP PRIVATE KEY BLOCK", body), key("PRIVATE KEY", "-" * 50000), "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----BEGIN EC PRIVATE KEY-----"],
+    }
+    flat = [(kind, t) for kind, ts in texts.items() for t in ts]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(flat)] + [(-1, flat[-1][1] + "\nlost\n" + flat[-5][1])], "doc_id long, text string")
+    number = {r.kind: n for n, r in enumerate(secrets.RULES)}
+    got = {r["doc_id"]: {tuple(s) for s in r["spans"] if not secrets.RULES[s["kind"]].base} for r in secrets.find_secrets(docs).collect()}
+    n = len(flat[-1][1])
+    assert got.pop(-1) == {(0, number["private_key"], n), (n + 6, number["private_key"], n + 6 + len(flat[-5][1]))}
+    assert got == {i: {(4, number[kind], 4 + len(t))} for i, (kind, t) in enumerate(flat)}
+
+
 def test_licenses(spark, folder):
     rows = {r["doc_id"]: r for r in licenses.op7_license_scan(spark, folder).collect()}
     assert rows[14]["families"] == "mit" and rows[15]["families"] == "" and rows[15]["n_unknown"] == 1
