@@ -1,15 +1,21 @@
 """Operator 7, licence scans by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Those that name none of the ANCHORS cannot
-be confirmed and are passed over. The others are broken into words and pairs of
-words; a multinomial logistic regression with sparse weights gives each family,
-and the class of all else, a probability. Its temperature is calibrated on held-out
-examples. A family is reported if its probability is SURE or more and if the
-paragraph has COVERED or more of the word pairs of one of the family's templates;
-paragraphs with an anchor but without a confirmed family count as unknown.
-
-It is trained on the templates below, on other lines with the same words, and on
-at most NEGATIVES lines of the table without an anchor, chosen by a hash.
+Paragraphs are parts of a text between lines without letters and digits, wrapped
+lines joined. Each is scored, as a whole, by its lines, and by runs of its lines
+and sentences, so that neither a wrap nor other prose around hides a notice. A run
+is broken into words and pairs of words; a multinomial logistic regression with
+sparse weights gives each family, and the class of all else, a probability. Its
+temperature is calibrated on held-out examples. A family is found if its probability
+is SURE or more and if the run has COVERED or more of the word pairs of one of the
+family's templates; paragraphs without such a family count as unknown.
+
+A paragraph with so many pairs of a template has at least one of the template's
+rarest ones, as many as leave too few without them. Only paragraphs with one of
+these reach the joins; the others cannot be confirmed, whatever their score.
+
+It is trained on the templates below, on the licences' own paragraphs, on other
+lines with the same words, and on at most NEGATIVES distinct lines from anywhere in
+the texts that name no licence, chosen by a hash.
 
 Null and empty texts have no paragraphs. There is one result row for each input
 row, repeated rows and ids included; an empty table gives an empty result. Of
@@ -19,15 +25,19 @@ touched.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
+from .license_texts import PASSAGES
 
+#: Lines with these are no examples of the class of all else.
 ANCHORS = r"licen[cs]e|copyright|rights reserved|public domain|creative commons|\bgpl|\bcc[ -]by"
 UNKNOWN = "unknown"
 SURE = 0.5
@@ -89,7 +99,16 @@ OTHER = (
     "They met in a public domain of the old city, under a work of stone.",
     "The town renewed the license of the public house, version after version.",
     "Under the general terms the work is done in two years.",
+    "All rights of the citizens were restored by the new law.",
+    "The permission was granted free of charge to any person of the town.",
+    "The software is provided by the school, and the copy is kept in the office.",
+    "You may obtain a copy of the book at the office of the author.",
+    "The following conditions are met by the new house.",
 )
+#: Gap between paragraphs, and ends of lines and sentences.
+BLANK = r"\n[^\p{L}\p{N}\n]*\n"
+PIECE = r"\n|(?<=[.!?;:])\s+"
+LONG = 24
 
 
 def tokens(line: str) -> list[str]:
@@ -101,6 +120,30 @@ def grams(line: str) -> list[str]:
     return sorted({*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))})
 
 
+def _pairs(line: str) -> list[str]:
+    return [g for g in grams(line) if " " in g]
+
+
+def templates() -> list[tuple[str, str]]:
+    """Family and text: the short notices and the licences' own paragraphs."""
+    return [(family, t) for family in TEMPLATES for t in (*TEMPLATES[family], *PASSAGES.get(family, ()))]
+
+
+def rare_pairs() -> list[str]:
+    """Pairs of which a text has one at least if it has COVERED of a template's pairs: of each template the rarest, as many as make it so."""
+    every = [_pairs(t) for _, t in templates()]
+    seen = Counter(w for own in every for g in own for w in g.split(" "))
+    rare = lambda g: (math.prod(seen[w] for w in g.split(" ")), g)
+    return sorted({g for own in every for g in sorted(own, key=rare)[: len(own) - math.ceil(COVERED * len(own)) + 1]})
+
+
+def _examples(t: str) -> list[str]:
+    """A template alone, in other words, and, if it is long, each half of it."""
+    w = t.split()
+    halves = (" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])) if len(w) >= LONG else ()
+    return [t, "The author says: " + t, *halves]
+
+
 @dataclass(frozen=True)
 class Model:
     classes: list[str]
@@ -117,7 +160,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(negatives: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> Model:
     """Full-gradient descent; every fourth template and negative is held out for the temperature, then all are used."""
     classes = [*TEMPLATES, UNKNOWN]
-    rows = [(g, k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for g in (grams(t), grams("The author says: " + t))]
+    number = {family: k for k, family in enumerate(TEMPLATES)}
+    rows = [(grams(x), number[family]) for family, t in templates() for x in _examples(t)]
     rows += [(grams(x), len(TEMPLATES)) for x in (*OTHER, *negatives)]
     features = sorted({g for own, k in rows[: -len(negatives) or None] for g in own})
     place = {g: i for i, g in enumerate(features)}
@@ -140,41 +184,92 @@ def fit(negatives: list[str], rounds: int = 400, rate: float = 2.0, decay: float
     return Model(classes, features, descend(np.ones(len(rows), bool)), min((0.25, 0.5, 1.0, 2.0), key=loss))
 
 
-def _lines(text: Column, anchored: bool) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(ANCHORS) if anchored else ~F.lower(x).rlike(ANCHORS) & (F.length(x) > 20))
+def _paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), an array, with the value worked out once: functions with lambdas would work it out at each mention."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _runs_of(pieces: Column) -> Column:
+    n = F.size(pieces)
+
+    def of_size(e):
+        size = F.pow(F.lit(2), e).cast("int")
+        step = F.greatest(F.lit(1), (size / 2).cast("int"))
+        return F.transform(F.sequence(F.lit(0), n - 1, step), lambda b: F.array_join(F.slice(pieces, b + 1, size), " "))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), of_size))
+
+
+def _runs(paragraph: Column) -> Column:
+    """The lines of a paragraph, and runs of 1, 2, 4 and more lines and sentences, each beginning in the middle of the one before, up to the whole."""
+    return F.array_distinct(F.concat(F.split(paragraph, "\n"), _once(F.split(paragraph, PIECE), _runs_of)))
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+
+
+def _pairs_of(line: Column) -> Column:
+    def of(words):
+        n = F.size(words)
+        return F.when(n > 1, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+
+    return _once(_words(line), of)
 
 
 def _grams(line: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(_words(line), _pairs_of(line)))
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    line = F.get(_lines(F.col(text), False), F.lit(0))
-    some = docs.select(line.alias("line")).filter("line IS NOT NULL").select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(NEGATIVES)
-    return fit([r["line"] for r in some.collect()])
+    """The negatives are the distinct lines with the lowest hashes; ever more of the hashes are read until there are enough."""
+    known = {g for _, t in templates() for g in _pairs(t)}
+    share = 8 * NEGATIVES / max(1, docs.count())
+    while True:
+        below = F.lit(True) if share >= 1 else F.lit(int(share * 2**64) - 2**63)
+        line = F.filter(F.split(F.col(text), "\n"), lambda x: (F.length(x) > 20) & (below if share >= 1 else F.xxhash64(x) < below))
+        some = docs.select(F.explode(line).alias("line")).filter(~F.lower("line").rlike(ANCHORS)).distinct()
+        found = [r["line"] for r in some.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(NEGATIVES).collect()]
+        if len(found) == NEGATIVES or share >= 1:
+            break
+        share *= 16
+    # Lines of a licence that name none are no negatives.
+    return fit([x for x in found if 2 * sum(g in known for g in _pairs(x)) <= len(_pairs(x))])
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each paragraph with an anchor: key, i (its number among these), family, score, covered, confirmed. Equal documents share a key."""
+    """A row for each run of the paragraphs that may be confirmed: key, i (the paragraph's number), j (the run's), family, score, covered, confirmed. Equal documents share a key."""
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.posexplode(_lines(F.col(text), True)).alias("i", "line")).distinct()
-    parts = keyed.select("key", "i", _grams(F.col("line")).alias("grams")).withColumn("unit", 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1))))
+    rare = rare_pairs()
+    known = [(n, family, _pairs(t)) for n, (family, t) in enumerate(templates())]
+    vocabulary = sorted({g for _, _, own in known for g in own})
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
+    able = keyed.filter(F.exists(_pairs_of(F.col("paragraph")), lambda g: g.isin(rare))).distinct()
+    able = cut(able, "able")
+    runs = able.select("key", "i", F.posexplode(_runs(F.col("paragraph"))).alias("j", "line"))
+    met = runs.select("key", "i", "j", F.filter(_pairs_of(F.col("line")), lambda g: g.isin(vocabulary)).alias("pairs")).filter(F.exists("pairs", lambda g: g.isin(rare)))
+    own_pairs = spark.createDataFrame([(g, n, family, len(own)) for n, family, own in known for g in own], "gram string, template int, of string, size int")
+    shared = met.select("key", "i", "j", F.explode(F.array_distinct("pairs")).alias("gram")).join(F.broadcast(own_pairs), "gram")
+    covered = shared.groupBy("key", "i", "j", "of", "template").agg((F.count("*") / F.first("size")).alias("covered")).filter(F.col("covered") >= COVERED)
+    # A run is scored only if it has enough of some template, as it cannot be confirmed else.
+    met = cut(covered.groupBy("key", "i", "j", F.col("of").alias("family")).agg(F.max("covered").alias("covered")), "covered")
+    asked = met.groupBy("key", "i").agg(F.collect_set("j").alias("asked"))
+    again = able.join(asked, ["key", "i"]).select("key", "i", "asked", F.posexplode(_runs(F.col("paragraph"))).alias("j", "line")).filter(F.array_contains("asked", F.col("j")))
+    parts = again.select("key", "i", "j", _grams(F.col("line")).alias("grams")).withColumn("unit", 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1))))
     weights = spark.createDataFrame([(g, [float(v) for v in model.weights[k]]) for k, g in enumerate(model.features)], "gram string, w array<double>")
-    pairs = [(n, family, [g for g in grams(t) if " " in g]) for n, (family, t) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)]
-    templates = spark.createDataFrame([(g, n, family, len(own)) for n, family, own in pairs for g in own], "gram string, template int, of string, size int")
-    words = parts.select("key", "i", "unit", F.explode_outer("grams").alias("gram"))
+    words = parts.select("key", "i", "j", "unit", F.explode("grams").alias("gram"))
     # Both tables are as large as the templates make them, whatever the corpus.
-    sums = words.join(F.broadcast(weights), "gram", "left").groupBy("key", "i").agg(*(F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) * F.col("unit")).alias(f"z{k}") for k in range(len(model.classes))))
+    sums = words.join(F.broadcast(weights), "gram", "left").groupBy("key", "i", "j").agg(*(F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) * F.col("unit")).alias(f"z{k}") for k in range(len(model.classes))))
     z = [(F.col(f"z{k}") + float(model.weights[-1, k])) / model.temperature for k in range(len(model.classes))]
     best = F.greatest(*z)
     total = sum((F.exp(x - best) for x in z[1:]), F.exp(z[0] - best))
     name = F.coalesce(*(F.when(x == best, F.lit(c)) for x, c in zip(z, model.classes)))
-    scored = sums.select("key", "i", name.alias("family"), (1 / total).alias("score"))
-    met = words.join(F.broadcast(templates), "gram").groupBy("key", "i", "of", "template").agg((F.count("*") / F.first("size")).alias("covered")).groupBy("key", "i", F.col("of").alias("family")).agg(F.max("covered").alias("covered"))
-    out = scored.join(met, ["key", "i", "family"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    scored = sums.select("key", "i", "j", name.alias("family"), (1 / total).alias("score"))
+    out = scored.join(met, ["key", "i", "j", "family"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     sure = (F.col("family") != UNKNOWN) & (F.col("score") >= SURE) & (F.col("covered") >= COVERED)
     return out.withColumn("confirmed", sure)
 
@@ -185,14 +280,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, families (confirmed ones, sorted and joined by commas), n_paragraphs with an anchor, n_unknown of these, score (the highest confirmed, or 0)."""
+    """doc_id, families (confirmed ones, sorted and joined by commas), n_paragraphs, n_unknown of these, score (the highest confirmed, or 0)."""
     found = classify(docs, model, text, doc_id)
     own = found.groupBy("key").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.count("*").alias("n_paragraphs"),
-        F.count_if(~F.col("confirmed")).alias("n_unknown"),
+        F.count_distinct(F.when(F.col("confirmed"), F.col("i"))).alias("known"),
         F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
     )
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.size(_paragraphs(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("n_paragraphs"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return every.join(own, "key", "left").select("doc_id", zero("families", ""), zero("n_paragraphs", 0), zero("n_unknown", 0), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    return every.join(own, "key", "left").select("doc_id", zero("families", ""), "n_paragraphs", (F.col("n_paragraphs") - F.coalesce("known", F.lit(0))).alias("n_unknown"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))

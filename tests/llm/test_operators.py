@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality, secrets, simhash, toxicity
+from sparkweave.llm import bpe, exact_dedup, langid, license_texts, licenses, line_dedup, mixing, quality, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, fp string, size string"
 BASE = "the quick brown fox jumps over the lazy dog near the old river bank while many people watch it from a tall bridge"
@@ -173,6 +174,29 @@ def test_licenses(spark, folder):
     assert all(re.search(licenses.ANCHORS, t.lower()) for ts in licenses.TEMPLATES.values() for t in ts if "terms of the" not in t)
 
 
+def test_whole_licenses(spark):
+    wrap = lambda ps, width, lead="": f"\n{lead.rstrip()}\n".join(textwrap.fill(p, width, initial_indent=lead, subsequent_indent=lead) for p in ps)
+    prose = "\n".join(f"{BASE} {i}." for i in range(9))
+    texts = {(f, w): wrap(license_texts.PASSAGES[f], w, lead) for f in ("mit", "bsd", "apache") for w, lead in ((60, ""), (78, "# "), (9999, " * "))}
+    texts |= {(f, "in prose"): f"{prose}\n{wrap(license_texts.PASSAGES[f][:1], 70)}\n{prose}" for f in ("mit", "bsd")}
+    texts |= {(f, "line"): t for f, t in (
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+        ("mit ", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
+        ("mit  ", f"{prose} Released under the MIT License. {BASE}".replace("\n", " ")),
+    )}
+    texts |= {("", i): t for i, t in enumerate((prose, f"{prose}\n\n{BASE}", "All rights of the people were restored.\n\n \n\n-----\n\nHe met any person in the office."))}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(docs, licenses.train(docs)).collect()}
+    for i, (family, kind) in enumerate(texts):
+        r, n = rows[i], len(license_texts.PASSAGES.get(family, ()))
+        assert r["families"] == family.strip(), (family, kind, r)
+        if isinstance(kind, int) and family:
+            assert (r["n_paragraphs"], r["n_unknown"]) == (n, 0), (family, kind, r)
+    last = [(rows[i]["n_paragraphs"], rows[i]["n_unknown"]) for i, k in enumerate(texts) if not k[0]]
+    assert last == [(1, 1), (2, 2), (2, 2)]
+
+
 def test_language_table_is_a_distribution():
     counts = np.random.default_rng(1).poisson(0.05, (64, 64, 64))
     bits = langid.escape_table(counts, 193)
