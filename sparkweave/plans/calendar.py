@@ -47,7 +47,7 @@ def customer_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit('say "'), F.col("c_name"), F.lit('"'))).otherwise(F.col("c_name"))
+    name = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit('say "'), F.col("c_name"), F.lit('"'))).otherwise(_padded("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", strings.json_object(email=strings.trim_unicode(name)).alias("payload"))
 
 
@@ -59,6 +59,8 @@ QUERIES = {
 }
 
 _MONTHS = f"greatest(1, least((year(d) - {FIRST_YEAR}) * 12 + month(d), 12))"
+_SPACES = " || ".join(f"chr({c})" for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+_PADDED = "chr(160) || ' ' || chr(9) || chr(65279) || c_name || chr(8232) || ' ' || chr(10) || chr(12288)"
 _ORDERS = "(SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)"
 
 SQL = {
@@ -72,10 +74,12 @@ SELECT o_orderkey, lpad(date_diff('day', d, last_day(d))::VARCHAR, 2, '0') AS da
   CASE WHEN length(o_orderkey::VARCHAR) >= 4 THEN o_orderkey::VARCHAR ELSE lpad(o_orderkey::VARCHAR, 4, '0') END AS key_label
 FROM {_ORDERS}
 """,
-    "customer_trim": """
-SELECT c_custkey, c_name AS trimmed FROM customer WHERE c_custkey % 10 <> 0
+    "customer_trim": f"""
+SELECT c_custkey, trimmed FROM (
+  SELECT c_custkey, trim(CASE WHEN c_custkey % 10 = 0 THEN chr(12288) || ' ' || chr(9) ELSE {_PADDED} END, {_SPACES}) AS trimmed FROM customer
+) WHERE trimmed <> ''
 """,
-    "customer_payload": """
-SELECT c_custkey, json_object('email', CASE WHEN c_custkey % 10 = 0 THEN 'say "' || c_name || '"' ELSE c_name END)::VARCHAR AS payload FROM customer
+    "customer_payload": f"""
+SELECT c_custkey, json_object('email', trim(CASE WHEN c_custkey % 10 = 0 THEN 'say "' || c_name || '"' ELSE {_PADDED} END, {_SPACES}))::VARCHAR AS payload FROM customer
 """,
 }
