@@ -68,6 +68,17 @@ def discard(spark: SparkSession, made: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """The words of a text that is not null, in order."""
     return F.array_remove(F.split(text, WS), "")

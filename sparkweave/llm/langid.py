@@ -1,15 +1,21 @@
 """Operator 8, language identification by prediction by partial matching.
 
-Each language has a tree of byte contexts of order 2, 1 and 0 below the uniform
-order -1. A symbol not seen in a context costs an escape (method C, with
-exclusion of the symbols seen there) and is looked up in the next shorter
-context. The trees are frozen after training and written out as one table of
-exact code lengths; a text's score under a language is the sum over its bytes.
-
-Null texts and texts without a letter get `und` and score 0, as do all texts
-where nothing could be learned. Ties go to the first language in byte order.
-Rows are scored one by one: repeated rows give repeated results, an empty table
-gives an empty result, other columns stay as they are.
+Each language has a tree of byte contexts of every order from ORDER down to 0, below
+the uniform order -1, over all 256 bytes. A symbol not seen in a context costs an
+escape (method C, with exclusion of the symbols seen there) and is looked up in the
+next shorter context; a context never seen costs nothing and is passed over. The
+trees are frozen after training and written out as the exact code length of every
+symbol seen after every context, and the cost of the escape from every context, one
+column for each language. A text's score under a language is the sum over its bytes.
+
+The trees hold what a bounded sample has (DOCS_PER_LANGUAGE), whatever the table's
+size. Null texts and texts without a letter (Unicode categories Ll, Lm, Lo, Lt, Lu)
+get `und` and score 0, as do all texts where nothing could be learned. Ties go to the
+first language in byte order. Long texts are scored in pieces, each with the bytes
+before it as context, so that the sum is that of the whole text. Rows are scored one
+by one: repeated rows give repeated results, an empty table gives an empty result,
+other columns stay as they are, and input columns named lang_pred or score are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,108 +28,233 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, unused
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Symbols of the trees: the most frequent bytes, and one for all others.
-SYMBOLS = 64
+WORDLIKE = re.compile(r"[^\W\d_]")
+#: The longest context, in bytes; 6 at most, so that a context and its symbol fit into a number.
+ORDER = 4
 #: Training takes about this many documents of each language, chosen by a hash of the id; scoring covers all.
 DOCS_PER_LANGUAGE = 1500
-PAD = b"\n\n"
-PIECE = 1 << 20
+PAD = b"\n" * ORDER
+#: Bytes that are scored at once.
+PIECE = 1 << 18
+UNIFORM = 8.0
+
+
+def has_letter(text: str) -> bool:
+    """The pattern also finds numbers such as \u00bd, which are no letters."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+@dataclass(frozen=True)
+class Table:
+    """Numbers of byte strings of one length, found by open addressing."""
+
+    keys: np.ndarray  # uint64, slots
+    numbers: np.ndarray  # int32, slots; -1 where free
+
+    @staticmethod
+    def of(codes: np.ndarray) -> Table:
+        size = 1 << max(4, (4 * len(codes)).bit_length())
+        keys, numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        todo, step = np.arange(len(codes)), 0
+        while len(todo):
+            at = _slot(codes[todo], size, step)
+            free = numbers[at] < 0
+            numbers[at[free]], keys[at[free]] = todo[free], codes[todo[free]]  # of several, the last one stays
+            todo, step = todo[numbers[at] != todo], step + 1
+        return Table(keys, numbers)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each code, -1 if it is not there."""
+        out, todo, step = np.full(len(codes), -1, np.int32), None, 0
+        while True:
+            own = codes if todo is None else codes[todo]
+            at = _slot(own, len(self.keys), step)
+            found = self.numbers[at]
+            hit = (self.keys[at] == own) & (found >= 0)
+            if todo is None:
+                out[hit] = found[hit]
+                todo = np.nonzero(~hit & (found >= 0))[0]
+            else:
+                out[todo[hit]] = found[hit]
+                todo = todo[~hit & (found >= 0)]
+            if not len(todo):
+                return out
+            step += 1
+
+
+def _slot(codes: np.ndarray, size: int, step: int) -> np.ndarray:
+    h = (codes ^ (codes >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
+    return (((h >> np.uint64(32)) + np.uint64(step)) & np.uint64(size - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    symbol_of: np.ndarray  # 256
-    bits: np.ndarray  # SYMBOLS ** 3 x languages
+    tables: list[Table]  # of the strings of 1, 2, ... ORDER + 1 bytes: a context and its symbol
+    bits: list[np.ndarray]  # for each of them the code length of its last byte, (strings + 1) x languages
+    escapes: list[np.ndarray]  # for each context of 0, 1, ... ORDER bytes the cost of the escape; those of 1 byte and more are numbered as strings, with a last row of zeros
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of three bytes, and how often each occurs."""
-    parts = []
-    for t in texts:
-        b = np.frombuffer(PAD + t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-        parts.append(b[:-2] << 16 | b[1:-1] << 8 | b[2:])
-    return np.unique(np.concatenate(parts), return_counts=True)
+def _codes(b: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """The `size` bytes up to and with each place in ends, as numbers."""
+    out = b[ends].astype(np.uint64)
+    for k in range(1, size):
+        out |= b[ends - k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _pieces(texts: list[str]):
+    """Yields (owners, bytes, places): pieces of about PIECE bytes in all, each after the ORDER bytes before it, the text that each belongs to, and where the bytes of the pieces stand, without those before."""
+    parts: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        data = PAD + _bytes(text)
+        for at in range(ORDER, len(data), PIECE):
+            parts.append(data[at - ORDER : at + PIECE])
+            owners.append(i)
+            held += len(parts[-1])
+            if held >= PIECE:
+                yield _joined(owners, parts)
+                parts, owners, held = [], [], 0
+    if parts:
+        yield _joined(owners, parts)
+
+
+def _joined(owners: list[int], parts: list[bytes]):
+    b = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    inside = np.ones(len(b), bool)
+    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(ORDER)).ravel()] = False
+    return np.repeat(owners, sizes - ORDER), b, np.nonzero(inside)[0]
 
 
 def _count(batches):
+    """How often each string of ORDER + 1 bytes occurs in each language."""
     for pdf in batches:
         for lang, own in pdf.groupby("lang"):
-            codes, n = _ngrams(list(own["text"]))
-            yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n.astype(np.int64)})
-
-
-def escape_table(counts: np.ndarray, symbols_of_other: int) -> np.ndarray:
-    """Code lengths in bits of each symbol after each pair, from the counts of triples."""
-    s = counts.shape[0]
-    p = np.full(s, 1 / 256)
-    p[-1] = symbols_of_other / 256
-    for c in (counts.sum((0, 1)), counts.sum(0), counts):
-        n, seen = c.sum(-1, keepdims=True), c > 0
-        d = seen.sum(-1, keepdims=True)
-        p = np.broadcast_to(p, c.shape)
-        rest = np.where(seen, 0, p)
-        left = rest.sum(-1, keepdims=True)
-        own = c / np.maximum(n + np.where(left > 0, d, 0), 1)
-        p = np.where(n > 0, np.where(seen, own, d / np.maximum(n + d, 1) * rest / np.where(left > 0, left, 1)), p)
-    return -np.log2(p)
+            for _, b, ends in _pieces(list(own["text"])):
+                codes, n = np.unique(_codes(b, ends, ORDER + 1), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def _tree(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+    """One language: for each order its strings (sorted) with their code lengths, and its contexts (sorted) with their escapes."""
+    strings, contexts = [], []
+    for k in range(ORDER + 1):
+        own, inverse = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        n = np.bincount(inverse, counts)
+        ctx, at = np.unique(own >> np.uint64(8), return_inverse=True)
+        total, distinct = np.bincount(at, n), np.bincount(at)
+        # What the shorter context gives to the symbols seen here is taken out of it, and the rest is scaled up to one.
+        if k:
+            before = np.exp2(-strings[-1][1])[np.searchsorted(strings[-1][0], own & np.uint64((1 << 8 * k) - 1))]
+        else:
+            before = np.full(len(own), 2.0**-UNIFORM)
+        left = np.maximum(1 - np.bincount(at, before), 0)
+        left[distinct == 256] = 0
+        escaping = np.where(left > 0, distinct, 0)
+        strings.append((own, -np.log2(n / (total + escaping)[at])))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            contexts.append((ctx, np.where(left > 0, np.log2(left) - np.log2(distinct / (total + distinct)), 0.0)))
+    return strings, contexts
+
+
+def build(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """counted: for each language the strings of ORDER + 1 bytes, as numbers, and how often each occurs."""
+    trees = [_tree(*c) for c in counted]
+    tables, bits, escapes, every = [], [], [], []
+    for k in range(ORDER + 1):
+        # What stands before texts is a context, and so a string, in any case.
+        codes = np.unique(np.concatenate([_codes(np.frombuffer(PAD + b"\n", np.uint8), np.array([ORDER]), k + 1), *(strings[k][0] for strings, _ in trees)]))
+        own = np.zeros((len(every[-1]) if k else 1, len(languages)), np.float32)
+        for j, (_, contexts) in enumerate(trees):
+            own[np.searchsorted(every[-1], contexts[k][0]) if k else slice(None), j] = contexts[k][1]
+        full = np.full((len(codes), len(languages)), UNIFORM, np.float32)
+        if k:
+            full = bits[-1][np.searchsorted(every[-1], codes & np.uint64((1 << 8 * k) - 1))].copy()
+        full += own[np.searchsorted(every[-1], codes >> np.uint64(8))] if k else own
+        for j, (strings, _) in enumerate(trees):
+            full[np.searchsorted(codes, strings[k][0]), j] = strings[k][1]
+        every.append(codes)
+        bits.append(full)
+        escapes.append(own)
+        tables.append(Table.of(codes))
+    # A row of zeros at the end is what the number -1 of a missing string gives.
+    zero = np.zeros((1, len(languages)), np.float32)
+    return Model(languages, tables, [np.concatenate((x, zero)) for x in bits], [escapes[0], *(np.concatenate((x, zero)) for x in escapes[1:])])
 
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """docs: doc_id, text, lang of the rows to learn from; null texts and languages are passed over."""
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """docs: doc_id, text, lang of the rows to learn from; null and empty texts and null languages are passed over."""
+    known = docs.filter((F.col("text") != "") & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.uint8), np.zeros((SYMBOLS**3, 0), np.float32))
+        return Model([], [], [], [])
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_language / n))))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
     sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
     counted = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(sizes, key=str.encode)
-    usual = np.bincount(counted["code"] & 255, counted["n"], 256)
-    kept = np.argsort(-usual, kind="stable")[: SYMBOLS - 1]
-    symbol_of = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol_of[kept] = np.arange(SYMBOLS - 1)
-    bits = []
-    for lang in languages:
-        own = counted[counted["lang"] == lang]
-        a, b, c = (symbol_of[(own["code"].to_numpy() >> k) & 255].astype(np.int64) for k in (16, 8, 0))
-        triples = np.bincount(a << 12 | b << 6 | c, own["n"], SYMBOLS**3).reshape((SYMBOLS,) * 3)
-        bits.append(escape_table(triples, 256 - SYMBOLS + 1).ravel())
-    return Model(languages, symbol_of, np.stack(bits, 1).astype(np.float32))
-
-
-def code_lengths(model: Model, text: str) -> np.ndarray:
-    """Bits of the whole text under each language."""
-    s = model.symbol_of[np.frombuffer(PAD + text.encode("utf-8", "surrogatepass"), np.uint8)].astype(np.int32)
-    total = np.zeros(len(model.languages))
-    for i in range(0, len(s) - 2, PIECE):
-        own = s[i : i + PIECE + 2]
-        total += model.bits.take(own[:-2] << 12 | own[1:-1] << 6 | own[2:], axis=0).sum(0, dtype=np.float64)
+    by = {lang: own.sort_values("code") for lang, own in counted.groupby("lang")}
+    languages = sorted(by, key=str.encode)
+    return build(languages, [(by[x]["code"].to_numpy(np.int64).astype(np.uint64), by[x]["n"].to_numpy(float)) for x in languages]) if languages else Model([], [], [], [])
+
+
+def byte_costs(model: Model, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits of the bytes at ends under each language, each after the ORDER bytes before it."""
+    codes = _codes(b, ends, ORDER + 1)
+    found = model.tables[ORDER].find(codes)
+    out = model.bits[ORDER].take(found, axis=0, mode="wrap")
+    todo = np.nonzero(found < 0)[0]
+    for k in range(ORDER, -1, -1):
+        own = codes[todo]
+        if k:
+            context = model.tables[k - 1].find((own & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8))
+            found = model.tables[k - 1].find(own & np.uint64((1 << 8 * k) - 1))
+            out[todo] += model.escapes[k].take(context, axis=0, mode="wrap") + model.bits[k - 1].take(found, axis=0, mode="wrap")
+            todo = todo[found < 0]
+        else:
+            out[todo] += model.escapes[0] + np.float32(UNIFORM)
+        if not len(todo):
+            break
+    return out
+
+
+def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
+    """Bits of each whole text under each language."""
+    total = np.zeros((len(texts), len(model.languages)))
+    for owners, b, ends in _pieces(texts):
+        first = np.nonzero(np.diff(owners, prepend=-1))[0]
+        total[owners[first]] += np.add.reduceat(byte_costs(model, b, ends), first, axis=0, dtype=np.float64)
     return total
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """The language of the shortest code, and its share of the probability."""
-    if text is None or not model.languages or not LETTER.search(text):
-        return "und", 0.0
-    total = code_lengths(model, text)
-    best = int(total.argmin())
-    return model.languages[best], float(1 / np.exp2(np.maximum(total[best] - total, -1000)).sum())
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """For each text the language of the shortest code, and its share of the probability."""
+    asked = [i for i, t in enumerate(texts) if t is not None and model.languages and has_letter(t)]
+    out = [("und", 0.0)] * len(texts)
+    for i, total in zip(asked, code_lengths(model, [texts[i] for i in asked])):
+        best = int(total.argmin())
+        out[i] = model.languages[best], float(1 / np.exp2(np.maximum(total[best] - total, -1000)).sum())
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    (own,) = unused(docs, "scored")
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict(sent.value, x) for x in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(predict(sent.value, list(texts)), columns=["lang_pred", "score"])
 
-    return docs.withColumn("_scored", scored(F.col(text))).withColumns({"lang_pred": F.col("_scored.lang_pred"), "score": F.col("_scored.score")}).drop("_scored")
+    return docs.withColumn(own, scored(F.col(text))).withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -4,7 +4,9 @@ import hashlib
 import os
 import re
 import textwrap
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
+from math import log2
 
 import duckdb
 import numpy as np
@@ -197,10 +199,50 @@ def test_whole_licenses(spark):
     assert last == [(1, 1), (2, 2), (2, 2)]
 
 
-def test_language_table_is_a_distribution():
-    counts = np.random.default_rng(1).poisson(0.05, (64, 64, 64))
-    bits = langid.escape_table(counts, 193)
-    assert np.allclose(np.exp2(-bits).sum(-1), 1)
+def _naive_code_length(known, text):
+    """Bits of text, each symbol coded from the counts of all contexts by the rule itself."""
+    after = defaultdict(Counter)
+    for t in known:
+        d = langid.PAD + t.encode()
+        for i in range(langid.ORDER, len(d)):
+            for k in range(langid.ORDER + 1):
+                after[d[i - k : i]][d[i]] += 1
+
+    @lru_cache(None)
+    def chance(context, symbol):
+        shorter = lambda s: chance(context[1:], s) if context else 1 / 256
+        own = after.get(context)
+        if not own:
+            return shorter(symbol)
+        left = sum(shorter(s) for s in range(256) if s not in own)
+        return own[symbol] / (own.total() + len(own)) if symbol in own else len(own) / (own.total() + len(own)) * shorter(symbol) / left
+
+    d = langid.PAD + text.encode()
+    return -sum(log2(chance(d[i - langid.ORDER : i], d[i])) for i in range(langid.ORDER, len(d)))
+
+
+SCRIPTS = {
+    "el": ["Η γάτα κάθεται στο χαλί", "καλημέρα σε όλους"], "en": ["the cat sat on the mat", "\n\n\nhello there, the end"],
+    "ru": ["Привет мир, это кот", "кошка спит на столе\n\n"], "zh": ["你好世界，今天天气很好", "学习中文很有意思"],
+}
+
+
+def test_language_against_naive_coder(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 7)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, ts in SCRIPTS.items() for t in ts)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(SCRIPTS)
+    texts = ["the mat", "кот и мир", "天气很好", "γάτα", "", "xyz\u00bd q\n\n\n\n\nth", "a"]
+    want = [[_naive_code_length(SCRIPTS[k], t) for k in model.languages] for t in texts]
+    assert np.allclose(langid.code_lengths(model, texts), want, atol=1e-3)
+    assert [x for x, _ in langid.predict(model, texts[:5])] == ["en", "ru", "zh", "el", "und"]
+    assert {x for x, _ in langid.predict(model, [None, "1234", "\u00bd \u00b2", "\u2160 \u2460"])} == {"und"}
+
+
+def test_language_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", "x", 3)], "doc_id long, text string, lang string, scored string, score long")
+    row = langid.identify(docs, langid.train(docs)).first()
+    assert (row["scored"], row["lang_pred"], row["score"]) == ("x", "en", 1.0)
 
 
 def test_language_held_out(spark):
