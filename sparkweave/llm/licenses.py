@@ -1,17 +1,22 @@
 """Operator 7, licence scans by a trained paragraph classifier.
 
 Paragraphs are parts of a text between lines without letters and digits, wrapped
-lines joined. Each is scored, as a whole, by its lines, and by runs of its lines
-and sentences, so that neither a wrap nor other prose around hides a notice. A run
-is broken into words and pairs of words; a multinomial logistic regression with
+lines joined. A paragraph is cut into pieces, its lines and the sentences in them,
+and its runs are its lines and each 1, 2, 4 and more pieces, up to the whole, that
+begin in the middle of the run before, so that neither a wrap nor other prose around
+hides a notice. A run is broken into words and pairs of words; a multinomial logistic regression with
 sparse weights gives each family, and the class of all else, a probability. Its
 temperature is calibrated on held-out examples. A family is found if its probability
 is SURE or more and if the run has COVERED or more of the word pairs of one of the
-family's templates; paragraphs without such a family count as unknown.
+family's templates; paragraphs without such a family count as unknown. Of the runs
+that have so many pairs of a template, its lines, the shortest ones and those twice
+as long are scored.
 
 A paragraph with so many pairs of a template has at least one of the template's
-rarest ones, as many as leave too few without them. Only paragraphs with one of
-these reach the joins; the others cannot be confirmed, whatever their score.
+rarest ones, and at least one of its key words: as many as leave too few pairs
+without them. Only texts with a key word are cut into paragraphs that are looked
+at, and only paragraphs with a rarest pair reach the joins; the others cannot be
+confirmed, whatever their score.
 
 It is trained on the templates below, on the licences' own paragraphs, on other
 lines with the same words, and on at most NEGATIVES distinct lines from anywhere in
@@ -31,7 +36,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
@@ -105,10 +110,12 @@ OTHER = (
     "You may obtain a copy of the book at the office of the author.",
     "The following conditions are met by the new house.",
 )
-#: Gap between paragraphs, and ends of lines and sentences.
+#: Gap between paragraphs, and ends of sentences.
 BLANK = r"\n[^\p{L}\p{N}\n]*\n"
-PIECE = r"\n|(?<=[.!?;:])\s+"
+SENTENCE = r"(?<=[.!?;:])\s+"
 LONG = 24
+#: The level of runs that are a line.
+LINE = -1
 
 
 def tokens(line: str) -> list[str]:
@@ -137,6 +144,18 @@ def rare_pairs() -> list[str]:
     return sorted({g for own in every for g in sorted(own, key=rare)[: len(own) - math.ceil(COVERED * len(own)) + 1]})
 
 
+def key_words() -> list[str]:
+    """Words of which a text has one at least if it has COVERED of a template's pairs: of each template the longest, as many as make it so."""
+    keys: set[str] = set()
+    for _, t in templates():
+        own = [g.split(" ") for g in _pairs(t)]
+        for w in sorted({w for g in own for w in g}, key=lambda w: (-len(w), w)):
+            if sum(not keys & set(g) for g in own) < math.ceil(COVERED * len(own)):
+                break
+            keys.add(w)
+    return sorted(keys)
+
+
 def _examples(t: str) -> list[str]:
     """A template alone, in other words, and, if it is long, each half of it."""
     w = t.split()
@@ -193,20 +212,34 @@ def _once(value: Column, use) -> Column:
     return F.flatten(F.transform(F.array(value), use))
 
 
-def _runs_of(pieces: Column) -> Column:
-    n = F.size(pieces)
+def _pieces(paragraph: Column) -> Column:
+    """Structs x (a line or a sentence in it) and line (its number)."""
+    lines = F.transform(F.split(paragraph, "\n"), lambda t, n: F.transform(F.split(t, SENTENCE), lambda x: F.struct(x.alias("x"), n.alias("line"))))
+    return F.filter(F.flatten(lines), lambda p: p["x"].rlike(r"[\p{L}\p{N}]"))
+
+
+def _step(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(size / 2).cast("int"))
+
 
-    def of_size(e):
-        size = F.pow(F.lit(2), e).cast("int")
-        step = F.greatest(F.lit(1), (size / 2).cast("int"))
-        return F.transform(F.sequence(F.lit(0), n - 1, step), lambda b: F.array_join(F.slice(pieces, b + 1, size), " "))
+def _run_text(pieces: Column, level: Column, b: Column) -> Column:
+    """The text of the run number b of a level."""
+    size = F.pow(F.lit(2), F.greatest(level, F.lit(0))).cast("int")
+    own = F.when(level == LINE, F.filter(pieces, lambda p: p["line"] == b)).otherwise(F.slice(pieces, b * _step(size) + 1, size))
+    return F.array_join(F.transform(own, lambda p: p["x"]), " ")
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), of_size))
 
+def _runs_with(n: Column, first: Column, last: Column, line: Column) -> Column:
+    """Structs level and b of the runs of n pieces that hold the pieces first to last; line is null unless they are in one."""
 
-def _runs(paragraph: Column) -> Column:
-    """The lines of a paragraph, and runs of 1, 2, 4 and more lines and sentences, each beginning in the middle of the one before, up to the whole."""
-    return F.array_distinct(F.concat(F.split(paragraph, "\n"), _once(F.split(paragraph, PIECE), _runs_of)))
+    def of_level(level):
+        size = F.pow(F.lit(2), level).cast("int")
+        step = _step(size)
+        low, high = F.greatest(F.lit(0), F.ceil((last - size + 1) / step).cast("int")), F.floor(first / step).cast("int")
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda b: F.struct(level.alias("level"), b.alias("b")))).otherwise(F.array().cast("array<struct<level:int,b:int>>"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), of_level))
+    return F.when(line.isNull(), runs).otherwise(F.array_append(runs, F.struct(F.lit(LINE).alias("level"), line.alias("b"))))
 
 
 def _words(line: Column) -> Column:
@@ -241,35 +274,59 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     return fit([x for x in found if 2 * sum(g in known for g in _pairs(x)) <= len(_pairs(x))])
 
 
+def _placed_pairs(pieces: Column) -> Column:
+    """Structs gram, first and last (the pieces of its words) and line (null if they are not in one line)."""
+    flat = F.flatten(F.transform(pieces, lambda p, n: F.transform(_words(p["x"]), lambda w: F.struct(w.alias("w"), n.alias("n"), p["line"].alias("line")))))
+
+    def of(words):
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("gram"), a["n"].alias("first"), b["n"].alias("last"), F.when(a["line"] == b["line"], a["line"]).alias("line")))
+
+    return _once(flat, of)
+
+
+def covered_runs(able: DataFrame) -> DataFrame:
+    """able: key, i, pieces. Returns key, i, level, b, family and covered of the runs with COVERED or more of a template's pairs."""
+    known = [(n, family, _pairs(t)) for n, (family, t) in enumerate(templates())]
+    vocabulary = sorted({g for _, _, own in known for g in own})
+    own_pairs = able.sparkSession.createDataFrame([(g, n, family, len(own)) for n, family, own in known for g in own], "gram string, template int, family string, size int")
+    hit = F.filter(_placed_pairs(F.col("pieces")), lambda x: x["gram"].isin(vocabulary))
+    # The table of templates is as large as these make it, whatever the corpus.
+    hits = able.select("key", "i", F.size("pieces").alias("n"), F.explode(F.array_distinct(hit)).alias("h")).select("key", "i", "n", "h.*").join(F.broadcast(own_pairs), "gram")
+    hits = cut(hits, "hits")
+    share = (F.count_distinct("gram") / F.first("size")).alias("covered")
+    # No run has more than its paragraph.
+    enough = hits.groupBy("key", "i", "template").agg(share).filter(F.col("covered") >= COVERED).drop("covered")
+    placed = hits.join(enough, ["key", "i", "template"], "left_semi").withColumn("run", F.explode(_runs_with(F.col("n"), F.col("first"), F.col("last"), F.col("line"))))
+    found = placed.groupBy("key", "i", "template", "family", "run.level", "run.b").agg(share).filter(F.col("covered") >= COVERED)
+    shortest = F.min(F.when(F.col("level") != LINE, F.col("level"))).over(Window.partitionBy("key", "i", "template"))
+    near = found.withColumn("shortest", shortest).filter((F.col("level") == LINE) | (F.col("level") <= F.col("shortest") + 1))
+    return cut(near.groupBy("key", "i", "level", "b", "family").agg(F.max("covered").alias("covered")), "covered")
+
+
 def classify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each run of the paragraphs that may be confirmed: key, i (the paragraph's number), j (the run's), family, score, covered, confirmed. Equal documents share a key."""
+    """A row for each run of the paragraphs that may be confirmed: key, i (the paragraph's number), level and b (the run's), family, score, covered, confirmed. Equal documents share a key."""
     spark = docs.sparkSession
     rare = rare_pairs()
-    known = [(n, family, _pairs(t)) for n, (family, t) in enumerate(templates())]
-    vocabulary = sorted({g for _, _, own in known for g in own})
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
+    keys = F.array(*map(F.lit, key_words()))
+    keyed = docs.filter(F.arrays_overlap(_words(F.col(text)), keys)).select(F.xxhash64(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
     able = keyed.filter(F.exists(_pairs_of(F.col("paragraph")), lambda g: g.isin(rare))).distinct()
-    able = cut(able, "able")
-    runs = able.select("key", "i", F.posexplode(_runs(F.col("paragraph"))).alias("j", "line"))
-    met = runs.select("key", "i", "j", F.filter(_pairs_of(F.col("line")), lambda g: g.isin(vocabulary)).alias("pairs")).filter(F.exists("pairs", lambda g: g.isin(rare)))
-    own_pairs = spark.createDataFrame([(g, n, family, len(own)) for n, family, own in known for g in own], "gram string, template int, of string, size int")
-    shared = met.select("key", "i", "j", F.explode(F.array_distinct("pairs")).alias("gram")).join(F.broadcast(own_pairs), "gram")
-    covered = shared.groupBy("key", "i", "j", "of", "template").agg((F.count("*") / F.first("size")).alias("covered")).filter(F.col("covered") >= COVERED)
+    able = cut(able.select("key", "i", _pieces(F.col("paragraph")).alias("pieces")), "able")
+    met = covered_runs(able)
     # A run is scored only if it has enough of some template, as it cannot be confirmed else.
-    met = cut(covered.groupBy("key", "i", "j", F.col("of").alias("family")).agg(F.max("covered").alias("covered")), "covered")
-    asked = met.groupBy("key", "i").agg(F.collect_set("j").alias("asked"))
-    again = able.join(asked, ["key", "i"]).select("key", "i", "asked", F.posexplode(_runs(F.col("paragraph"))).alias("j", "line")).filter(F.array_contains("asked", F.col("j")))
-    parts = again.select("key", "i", "j", _grams(F.col("line")).alias("grams")).withColumn("unit", 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1))))
+    asked = met.select("key", "i", "level", "b").distinct()
+    again = able.join(asked, ["key", "i"]).select("key", "i", "level", "b", _run_text(F.col("pieces"), F.col("level"), F.col("b")).alias("line"))
+    parts = again.select("key", "i", "level", "b", _grams(F.col("line")).alias("grams")).withColumn("unit", 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1))))
     weights = spark.createDataFrame([(g, [float(v) for v in model.weights[k]]) for k, g in enumerate(model.features)], "gram string, w array<double>")
-    words = parts.select("key", "i", "j", "unit", F.explode("grams").alias("gram"))
+    words = parts.select("key", "i", "level", "b", "unit", F.explode("grams").alias("gram"))
     # Both tables are as large as the templates make them, whatever the corpus.
-    sums = words.join(F.broadcast(weights), "gram", "left").groupBy("key", "i", "j").agg(*(F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) * F.col("unit")).alias(f"z{k}") for k in range(len(model.classes))))
+    sums = words.join(F.broadcast(weights), "gram", "left").groupBy("key", "i", "level", "b").agg(*(F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) * F.col("unit")).alias(f"z{k}") for k in range(len(model.classes))))
     z = [(F.col(f"z{k}") + float(model.weights[-1, k])) / model.temperature for k in range(len(model.classes))]
     best = F.greatest(*z)
     total = sum((F.exp(x - best) for x in z[1:]), F.exp(z[0] - best))
     name = F.coalesce(*(F.when(x == best, F.lit(c)) for x, c in zip(z, model.classes)))
-    scored = sums.select("key", "i", "j", name.alias("family"), (1 / total).alias("score"))
-    out = scored.join(met, ["key", "i", "j", "family"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    scored = sums.select("key", "i", "level", "b", name.alias("family"), (1 / total).alias("score"))
+    out = scored.join(met, ["key", "i", "level", "b", "family"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     sure = (F.col("family") != UNKNOWN) & (F.col("score") >= SURE) & (F.col("covered") >= COVERED)
     return out.withColumn("confirmed", sure)
 
