@@ -51,6 +51,13 @@ def settings(spark: SparkSession, values: dict[str, str]):
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "10000"}
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text, and empty strings between: as words(), but split at single characters, which needs no pattern."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
+
+
 def cut(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing. The path is added to `made`."""
     path = scratch(df.sparkSession, name)

@@ -4,23 +4,28 @@ A line is the set of its words. A line is removed if an earlier line of the tabl
 removed itself or not, has a Jaccard similarity of SIMILAR or more; the order is
 that of ids (null last), texts' hashes and line numbers. Lines without words stay.
 
-Words are ordered by rarity: all words are counted into a table of 2 ** SLOT_BITS
-counters, which only sets the order, so that words sharing a counter cost time but
-no matches. Of n words the first n - ceil(SIMILAR n) + 1 are the prefix; similar
-lines share a word of their prefixes. Pairs must pass the length filter, the
-positional filter and a parity filter (64 and 31 bits, each flipped by words; the bits
-that differ are at most the words that differ), their prefixes must share as many
-words as a similar pair's do, and they are then verified with the
-words themselves. Equal lines are one line in all this.
+Equal lines are grouped first, by the lines themselves; all that follows sees one of
+each, the earliest. Words are ordered by rarity: all words of these lines are counted
+into a table of 2 ** SLOT_BITS counters, which only sets the order, so that words
+sharing a counter cost time but no matches. Of n words the first
+n - ceil(SIMILAR n) + 1 are the prefix; similar lines share a word of their prefixes.
+Pairs of postings must pass the length filter and the positional filter; then their
+shared prefix words are counted, and with all words beyond the prefix of the line
+whose prefix ends first there must be enough of them; the same is asked of the first
+HELD words, which are all words of short lines. What is left is verified with the
+words themselves. Words are 25 bits of a hash and the rarity in all this, which
+adds pairs to verify where words meet by chance, and loses none.
 
 So that large groups of similar lines do not give all their pairs, lines that share
-frequent words are first compared with the line of most copies for each such word
-of the prefix; only lines that find no match there go on to meet all others.
+frequent words are first compared with the earliest line that has the word in its
+prefix; only lines that find no match there go on to ask all others. The postings of
+frequent words are also divided by size classes, of which only neighbours can match.
 
 Null and empty texts have no lines with words and stay as they are. Rows equal in
 id and text share one result. An empty table gives an empty result. Only id and
-text are read; other columns stay as they are, and of a text without removed lines
-nothing changes.
+text are read; other columns stay as they are, but for n_lines and n_removed, which
+are replaced. Of a text without removed lines nothing changes. Texts of any number of
+lines take time in proportion to it.
 """
 
 from __future__ import annotations
@@ -31,30 +36,30 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WRITING, cut, discard, read_table, settings, words
+from .common import NOT_WS, WRITING, cut, discard, plain_words, read_table, settings
 
 #: As a fraction, so that all bounds are whole numbers.
 SIMILAR = (4, 5)
 SLOT_BITS = 20
+HASH_BITS = 25
+#: So many words of a line, its rarest ones, are kept as numbers, or the prefix if that is longer.
+HELD = 16
+#: Sizes of one class differ by less than this factor, which is more than similar lines' sizes do.
+CLASS = 1.26
+#: Words are frequent from so many occurrences on, or eight times the mean of the counters.
+FREQUENT = 512
 
 
-def _hash(word: Column) -> Column:
-    """56 bits of a word."""
-    return F.shiftrightunsigned(F.xxhash64(word), 8)
-
-
-def _slot(h: Column) -> Column:
-    return (h % (1 << SLOT_BITS)).cast("int")
-
-
-def slot_table(spark: SparkSession, levels: DataFrame, slots: int = 1 << SLOT_BITS) -> bytes:
+def slot_table(spark: SparkSession, levels: DataFrame, slots: int) -> bytes:
     """levels: slot, level (0 to 127; 0 where missing). One byte for each slot, put together by Spark in rows of 1024."""
-    every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(levels, "slot", "left")
-    row = F.shiftright("slot", 10)
-    parts = every.groupBy(row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("level", F.lit(0)).alias("level")))).alias("v"))
-    text = parts.select("row", F.array_join(F.transform("v", lambda x: F.char(x["level"])), "").alias("text"))
+    parts = levels.groupBy(F.shiftright("slot", 10).alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col("slot").bitwiseAND(F.lit(1023)).alias("at"), "level"))).alias("v"))
+    gap = lambda x, i: x["at"] - F.coalesce(F.get("v", i - 1)["at"], F.lit(-1)) - 1
+    text = F.array_join(F.transform("v", lambda x, i: F.concat(F.repeat(F.char(F.lit(0)), gap(x, i)), F.char(x["level"]))), "")
+    out = bytearray(-(-slots // 1024) * 1024)
     with settings(spark, WRITING):
-        return "".join(r["text"] for r in text.orderBy("row").collect()).encode("ascii")
+        for r in parts.select("row", text.alias("text")).collect():
+            out[r["row"] * 1024 : r["row"] * 1024 + len(r["text"])] = r["text"].encode("ascii")
+    return bytes(out)
 
 
 def _looked_up(table: bytes, slot: Column) -> Column:
@@ -72,154 +77,143 @@ def _marked(marks: bytes, slot: Column) -> Column:
     return F.getbit(_looked_up(marks, F.floor(slot / 7).cast("int")), slot % 7) == 1
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each slot four times the logarithm of how many words of all texts fall into it."""
-    found = docs.filter("text IS NOT NULL").select(F.explode(words(F.col("text"))).alias("w"))
-    counts = found.groupBy(_slot(_hash(F.col("w"))).alias("slot")).agg(F.count("*").alias("n"))
-    return slot_table(docs.sparkSession, counts.select("slot", F.least(F.lit(127), F.floor(4 * F.log2(F.col("n") + 1))).cast("int").alias("level")))
+def _slot(value: Column) -> Column:
+    return F.hash(value).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, th (a hash of the text), i, line; doc sorts null last."""
-    return docs.filter("text IS NOT NULL").select(F.col("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+def unique_lines(docs: DataFrame) -> DataFrame:
+    """id (any number of its own), line, and at, the place of the first line that is equal: nameless (a null id), doc, th (a hash of the text), i."""
+    lines = docs.filter("text IS NOT NULL").select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.col("line").rlike(NOT_WS))
+    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th", "i")
+    # The hash makes for quick sorting; lines are told apart by themselves.
+    first = lines.groupBy(F.xxhash64("line").alias("h"), "line").agg(F.min(place).alias("at"))
+    return cut(first.select(F.monotonically_increasing_id().alias("id"), "line", "at"), "lines")
 
 
-def _parity(tokens: Column, shift: int, bits: int) -> Column:
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(t, shift) % bits).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+def rarity(lines: DataFrame) -> bytes:
+    """For each slot twice the logarithm of how many words of all lines fall into it."""
+    counts = lines.select(F.explode(plain_words(F.col("line"))).alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
+    return slot_table(lines.sparkSession, counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("level")), 1 << SLOT_BITS)
 
 
-def index_lines(docs: DataFrame, table: bytes) -> DataFrame:
-    """id (any number of its own), at (the place in the order of lines), n (words), same (equal lines share it), s1 and s2 (parities), prefix, seldom (how many words of the prefix, the first ones, are not frequent)."""
-    num, den = SIMILAR
-    lines = _lines(docs).withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
-    lines = lines.select("doc", "th", "i", F.array_distinct(F.transform("w", _hash)).alias("h"))
-    token = lambda h: F.call_function("shiftleft", _looked_up(table, _slot(h)).cast("long"), F.lit(56)).bitwiseOR(h)
-    lines = lines.select(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th", "i").alias("at"), F.sort_array(F.transform("h", token)).alias("t")).withColumn("n", F.size("t"))
-    least = F.floor((F.col("n") * num + den - 1) / den).cast("int")
-    same = F.struct(F.xxhash64("t"), F.xxhash64("t", F.lit(1)))
-    prefix = F.slice("t", 1, F.col("n") - least + 1)
-    kept = lines.select("at", "n", same.alias("same"), _parity(F.col("t"), 0, 64).alias("s1"), _parity(F.col("t"), 8, 31).cast("int").alias("s2"), prefix.alias("p"))
-    # Postings carry 31 bits of a word: unlike words that meet add pairs to verify, and lose none.
-    seldom = F.size(F.filter("p", lambda t: F.shiftright(t, 56) < frequent(table)))
-    short = F.transform("p", lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    return cut(kept.select("at", "n", "same", "s1", "s2", seldom.alias("seldom"), short.alias("prefix"), F.monotonically_increasing_id().alias("id")), "lines")
+def frequent(table: bytes) -> int:
+    """The least token of a frequent word."""
+    mean = sum(n * (2 ** (level / 2) - 1) for level, n in Counter(table).items()) / len(table)
+    return int(2 * log2(max(FREQUENT, 8 * mean) + 1)) << HASH_BITS
 
 
-def _postings(unique: DataFrame) -> DataFrame:
-    """A row for each word of a prefix, and with a column `seldom` for each frequent one; size holds the number of words and the word's place."""
-    places = unique.select("id", "n", "s1", "s2", *(c for c in ("copies", "seldom") if c in unique.columns), F.posexplode("prefix").alias("pos", "tok"))
-    return places.filter("pos >= seldom").drop("seldom").transform(_sized) if "seldom" in unique.columns else _sized(places)
+def _word_set(line: Column) -> Column:
+    return F.array_except(plain_words(line), F.array(F.lit("")))
 
 
-def _sized(places: DataFrame) -> DataFrame:
-    return places.withColumn("size", F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))).drop("n", "pos")
+def index_lines(lines: DataFrame, table: bytes) -> DataFrame:
+    """id, at, n (words), prefix and held, tokens in order."""
+    token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    tokens = lines.select("id", "at", F.sort_array(F.transform(_word_set(F.col("line")), token)).alias("t")).withColumn("n", F.size("t"))
+    held = F.slice("t", 1, F.greatest(F.lit(HELD), _prefix(F.col("n"))))
+    return cut(tokens.select("id", "at", "n", F.slice("t", 1, _prefix(F.col("n"))).alias("prefix"), held.alias("held")), "index")
 
 
-def _far(a: str, b: str) -> Column:
-    """How many bits of the parities differ."""
-    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+def _prefix(n: Column) -> Column:
+    num, den = SIMILAR
+    return (n - F.floor((n * num + den - 1) / den) + 1).cast("int")
 
 
 def _near(a: str, b: str) -> Column:
-    """What pairs of postings of one word must pass."""
+    """The length filter and the positional filter for postings of one word, which hold for each word that similar lines share: as many can be shared as stand before it in both lines, and from it on in both."""
     num, den = SIMILAR
-    n, m = (F.shiftright(F.col(f"{x}.size"), 32) for x in (a, b))
-    p, q = (F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
-    shared = F.least(n - p, m - q)
-    # shared / (n + m - shared) >= num / den, and twice as many bits may differ as words.
-    enough = (num + den) * shared >= num * (n + m)
-    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= 2 * (den - num) * (n + m))
+    n, m, p, q = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * (F.least(p, q) + F.least(n - p, m - q)) >= num * (n + m))
 
 
-def _sharing(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """The pairs whose prefixes share enough words. Words that both lines have are in both prefixes, or beyond the prefix of the line whose prefix ends first."""
+def _holding(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose held words allow enough shared ones. Words of one line with the same token count once in the intersection, and are made up for."""
     num, den = SIMILAR
-    x, y = (index.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"p_{k}")) for k in "xy")
-    # Words of one line with the same 31 bits count once in the intersection, and are made up for.
-    shared = F.size(F.array_intersect("p_x", "p_y")) + F.size("p_x") - F.size(F.array_distinct("p_x"))
-    beyond = F.greatest(F.col("n_x") - F.size("p_x"), F.col("n_y") - F.size("p_y"))
+    x, y = (index.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("held").alias(f"h_{k}")) for k in "xy")
+    shared = F.size(F.array_intersect("h_x", "h_y")) + F.size("h_x") - F.size(F.array_distinct("h_x"))
+    # Further shared words come after the place where one line's held words end, in both.
+    end = F.least(F.element_at("h_x", -1), F.element_at("h_y", -1))
+    beyond = F.least(*(F.col(f"n_{k}") - F.size(F.filter(f"h_{k}", lambda t: t <= end)) for k in "xy"))
     both = pairs.join(x, "x").join(y, "y")
-    return both.filter((num + den) * (shared + beyond) >= num * (F.col("n_x") + F.col("n_y"))).select(*pairs.columns)
+    return both.filter((num + den) * (shared + beyond) >= num * (F.col("n_x") + F.col("n_y"))).select("x", "y")
 
 
-def verified(docs: DataFrame, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs x, y (far: bits that differ) whose words are similar enough, the id of the later line (distinct).
-
-    A line is first compared with the nearest of the earlier ones; only if that is
-    not similar enough is it compared with all others. Only lines whose slot some
-    pair marks are read into the joins.
-    """
+def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs x, y whose words are similar enough, the id of the later line (distinct). Only lines whose slot some pair marks are read into the joins."""
     num, den = SIMILAR
     made: list[str] = []
-    pairs = cut(_sharing(cut(pairs.distinct(), "met", made), index), "pairs", made)
-    asked = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(index.select("id", "at"), "id"), "asked", made)
-    slot = _slot(F.shiftrightunsigned(F.xxhash64("doc", "th", "i"), 8))
-    marks = slot_marks(docs.sparkSession, asked.select("at.*").select(slot.alias("slot")))
-    read = cut(_lines(docs).filter(_marked(marks, slot)).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("i").alias("_i"), "line"), "marked", made).dropDuplicates(["_doc", "_th", "_i"])
-    met = asked.join(read, F.col("at.doc").eqNullSafe(F.col("_doc")) & (F.col("at.th") == F.col("_th")) & (F.col("at.i") == F.col("_i")))
-    sets = cut(met.select("id", F.array_distinct(words(F.col("line"))).alias("w")), "sets", made)
-    placed = pairs.join(asked.select(F.col("id").alias("x"), F.col("at").alias("at_x")), "x").join(asked.select(F.col("id").alias("y"), F.col("at").alias("at_y")), "y")
-    later = F.col("at_x") > F.col("at_y")
-    ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "ordered", made)
-    one, two = (sets.select(F.col("id").alias(k), F.col("w").alias(f"w_{k}")) for k in ("late", "early"))
-
-    def similar(some: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("w_late", "w_early"))
-        both = some.select("late", "early").join(one, "late").join(two, "early")
-        return both.filter((num + den) * shared >= num * (F.size("w_late") + F.size("w_early"))).select(F.col("late").alias("id")).distinct()
-
-    nearest = ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early")
-    first = cut(similar(nearest), "nearest", made)
-    others = ordered.join(first, F.col("late") == F.col("id"), "left_anti")
-    found = cut(first.unionByName(similar(others)), "matched")
-    discard(docs.sparkSession, made)
+    pairs = cut(pairs, "pairs", made)
+    slot = _slot(F.col("id"))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    marks = slot_marks(lines.sparkSession, asked.select(slot.alias("slot")).distinct())
+    read = lines.filter(_marked(marks, slot)).join(asked, "id", "left_semi")
+    read = cut(read.select("id", "at", _word_set(F.col("line")).alias("w")), "asked", made)
+    one, two = (read.select(F.col("id").alias(k), F.col("w").alias(f"w_{k}"), F.col("at").alias(f"at_{k}")) for k in "xy")
+    both = pairs.join(one, "x").join(two, "y")
+    similar = both.filter((num + den) * F.size(F.array_intersect("w_x", "w_y")) >= num * (F.size("w_x") + F.size("w_y")))
+    found = cut(similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "matched")
+    discard(lines.sparkSession, made)
     return found
 
 
-def frequent(table: bytes) -> int:
-    """From which level on words may have long postings: eight times the mean of the counters, and 512 at least."""
-    mean = sum(n * (2 ** (level / 4) - 1) for level, n in Counter(table).items()) / len(table)
-    return int(4 * log2(max(512.0, 8 * mean) + 1))
-
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """docs: doc, text. Returns doc, th and `gone`, the numbers of the lines to remove."""
-    table = rarity(docs)
-    index = index_lines(docs, table)
-    place = F.struct("at", "id")
-    groups = cut(index.groupBy("same").agg(F.min(place).alias("first"), F.count("*").alias("copies")).select("first.id", "copies"), "groups")
-    unique = index.join(groups, "id")
-    often = _postings(unique)
-    of = ("id", "size", "s1", "s2")
-    pivots = often.groupBy("tok").agg(F.max(F.struct("copies", *of)).alias("p")).select("tok", *(F.col(f"p.{c}").alias(c) for c in of))
-    quick = often.alias("a").join(pivots.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
-    matched = verified(docs, index, quick.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")))
-    # Lines that are done get ids below 0: they can be matched, but ask no more. Both sides of the join are one exchange.
-    done = unique.drop("copies", "seldom").join(matched.select("id", F.lit(True).alias("done")), "id", "left")
-    rest = _postings(done.withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))))
-    slow = rest.alias("a").join(rest.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
-    y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
-    found = matched.unionByName(verified(docs, index, slow.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far"))))
-    # An equal line later than its group's first is removed; the first one, if it has a match.
-    stays = groups.select("id").join(found, "id", "left_anti").withColumn("stays", F.lit(True))
-    out = index.select("id", "at.doc", "at.th", "at.i").join(stays, "id", "left")
-    split = out.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("stays").isNull(), F.col("i"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("stay"))
-    return split.select("doc", "th", F.array_except("out", "stay").alias("gone")).filter(F.size("gone") > 0)
+def _with_first(index: DataFrame, least: int) -> DataFrame:
+    """Pairs of lines and, for each frequent word of their prefixes, the earliest line with it."""
+    often = index.filter(F.element_at("prefix", -1) >= least).select("id", "at", "n", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
+    firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos")).alias("f")).select("tok", "f.id", "f.n", "f.pos")
+    met = often.alias("a").join(firsts.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+
+
+def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
+    """Pairs of lines of which one at least is not done. Lines that are done get ids below 0: they can be matched, but ask no more."""
+    num, den = SIMILAR
+    heavy = F.element_at("prefix", -1) >= least
+    asks = index.filter(heavy).join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))).select("id", "n", "prefix")
+    every = index.filter(~heavy).select("id", "n", "prefix").unionByName(asks)
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
+    postings = every.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
+    postings = postings.select("id", "n", "pos", "tok", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))).alias("class"))
+    own = F.col("a.class").isin(-9) | (F.col("a.class") == F.floor(F.log(F.col("a.n")) / F.log(F.lit(CLASS))).cast("int"))
+    # Both sides of the join are one exchange.
+    met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & own & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
+    counted = met.groupBy(F.col("a.id").alias("x"), F.col("b.id").alias("y")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
+    beyond = F.greatest(F.col("n") - _prefix(F.col("n")), F.col("m") - _prefix(F.col("m")))
+    enough = counted.filter((num + den) * (F.col("shared") + beyond) >= num * (F.col("n") + F.col("m")))
+    return enough.select("x", F.when(F.col("y") < 0, -1 - F.col("y")).otherwise(F.col("y")).alias("y"))
+
+
+def staying_lines(docs: DataFrame) -> DataFrame:
+    """docs: doc, text. Returns doc, th and `stay`, the numbers of the lines with words that stay."""
+    made: list[str] = []
+    lines = unique_lines(docs)
+    table = rarity(lines)
+    index = index_lines(lines, table)
+    least = frequent(table)
+    first = verified(lines, _holding(index, _with_first(index, least)))
+    second = verified(lines, _holding(index, _with_all(index, first, least)))
+    left = index.select("id", "at").join(first.unionByName(second), "id", "left_anti")
+    out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay", made)
+    discard(docs.sparkSession, [d.inputFiles()[0].rpartition("/")[0] for d in (lines, index, first, second) if d.inputFiles()])
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the lines removed from text; adds n_lines (with words) and n_removed."""
-    own = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    gone = cut(removed_lines(own), "gone").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    out = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    lines = F.split(docs[text], "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()))
+    text, doc_id = own[text], own[doc_id]
+    stay = staying_lines(named.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")))
+    out = named.join(stay.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
+    out = out.withColumn("lines", F.split(text, "\n"))
+    out = out.withColumn("filled", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(NOT_WS), i)), lambda i: i.isNotNull()))
+    out = out.withColumn("gone", F.array_except("filled", F.coalesce("stay", F.array().cast("array<int>"))))
+    # The lines between one removed line and the next.
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda j: F.struct((F.coalesce(F.get("gone", j - 1), F.lit(-1)) + 2).alias("from"), F.coalesce(F.get("gone", j), F.size("lines")).alias("to")))
+    left = F.array_join(F.flatten(F.transform(between, lambda x: F.slice("lines", x["from"], x["to"] - x["from"] + 1))), "\n")
     return out.select(
-        *(docs[c] for c in docs.columns if c not in (text, "n_lines", "n_removed")),
-        F.when(F.col("_gone").isNull(), docs[text]).otherwise(left).alias(text),
-        F.coalesce(F.size(F.filter(lines, lambda x: F.size(words(x)) > 0)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.size("gone") > 0, left).otherwise(F.col(x)).alias(c) if x == text else F.col(x).alias(c) for c, x in own.items() if c.lower() not in ("n_lines", "n_removed")),
+        F.coalesce(F.size("filled"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
