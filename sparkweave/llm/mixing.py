@@ -3,16 +3,22 @@
 The words of each source, its documents in a pseudorandom order, are cut into
 blocks of BLOCK_WORDS. Each output shard has SHARD_SLOTS slots and draws how many
 go to each source: the whole part of what is expected, and multinomial draws for
-the rest. Slot j of a source takes the block at j's place in a pseudorandom
-permutation of the source's blocks; a new permutation begins when all blocks are
-taken, and a block is taken CAP times at most. Blocks and slots meet by a join on
-source and block number.
+the rest, as plain multinomial draws would leave small sources far from their
+targets. A source whose target is all it may give is taken CAP times and not drawn;
+slots drawn beyond what a source may give are drawn again for the others. Slot j of
+a source takes the block at j's place in a pseudorandom permutation of the source's
+blocks; a new permutation begins when all blocks are taken. Blocks and slots meet by
+a join on source and block number.
+
+Beyond MAX_SOURCES sources, draws are made for groups of sources, and a group's slots
+are dealt to its sources in proportion. The table of sources is sorted in one task
+for the targets; it has one row for each source.
 
 Null texts and texts without words have size 0 and are never taken. Null is a
-source of its own, the last. Ties in the order are broken by id and size, so that
-only rows equal in both can change places. Repeated rows count each for itself,
-an empty table gives an empty result. The table of sources, one row each, is sent
-to all tasks; more than MAX_SOURCES are refused with an error.
+source of its own, the last. Ties in the order are broken by id, size and a hash of
+the text, so that only rows equal in all can change places. Repeated rows count each
+for itself, an empty table gives an empty result. Texts of any length are cut into
+blocks like others. Input columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +36,10 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
 #: Shards that one task draws for.
 TASK_SHARDS = 32
-BUCKET_ROWS = 20_000
+#: Documents of a source that are ordered in one task, about.
+BUCKET_ROWS = 4096
+#: Slots that one row of ranges stands for.
+RANGE_SLOTS = 1 << 16
 MAX_SOURCES = 100_000
 SEED = 20240501
 
@@ -61,19 +70,19 @@ def source_table(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 
 def placed(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs, with skey and size, get `at`: where their words begin in those of the source.
+    """docs, with skey, size and _th (a hash of the text), get `at`: where their words begin in those of the source.
 
     The documents of a source are spread over buckets by a hash, so that no source
     has to be summed up in one task; the buckets' sums are added up first.
     """
     n = docs.count()
-    order = F.xxhash64(F.lit(SEED), F.col(doc_id), F.col("size"))
-    docs = docs.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(max(16, n // BUCKET_ROWS))))
+    order = F.xxhash64(F.lit(SEED), F.col(doc_id), F.col("size"), F.col("_th"))
+    docs = docs.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(64 + n // BUCKET_ROWS)))
     sums = docs.groupBy("skey", "_bucket").agg(F.sum("size").alias("_sum"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("skey", "_bucket").orderBy("_order", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "_bucket").orderBy("_order", doc_id, "size", "_th").rowsBetween(Window.unboundedPreceding, -1)
     out = docs.join(base, ["skey", "_bucket"]).withColumn("at", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return out.drop("_order", "_bucket", "_base")
+    return out.drop("_order", "_bucket", "_base", "_th")
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -97,12 +106,12 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw(sources, slots: int):
-    """For each shard, how many slots go to each source."""
-    keys, rates = sources
+def _draw(rates: np.ndarray, slots: int):
+    """How many slots go to each source, by its number, each shard drawn for itself."""
 
     def run(batches):
         for pdf in batches:
+            total = np.zeros(len(rates), np.int64)
             for shard in pdf["id"]:
                 expected = rates * min(SHARD_SLOTS, slots - shard * SHARD_SLOTS)
                 n = np.floor(expected)
@@ -110,7 +119,9 @@ def _draw(sources, slots: int):
                 draws = int(round(rest.sum()))
                 if draws:
                     n += np.random.default_rng([SEED, int(shard)]).multinomial(draws, rest / rest.sum())
-                yield pd.DataFrame({"skey": keys, "shard": shard, "n": n.astype(np.int64)})[n > 0]
+                total += n.astype(np.int64)
+            at = np.nonzero(total)[0]
+            yield pd.DataFrame({"g": at, "n": total[at]})
 
     return run
 
@@ -130,24 +141,46 @@ def hash_of(key: str) -> int:
     return out << 2
 
 
+def draw_slots(spark: SparkSession, wanted: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many slots each source gets, near wanted and at most room; drawn in Spark, shard by shard."""
+    counts = np.where(wanted >= room - 1e-6, room, 0)
+    free = counts == 0
+    slots = int(round(wanted[free].sum()))
+    if not slots:
+        return counts
+    shards = -(-slots // SHARD_SLOTS)
+    rates = np.where(free, wanted, 0) / wanted[free].sum()
+    for r in spark.range(0, shards, 1, -(-shards // TASK_SHARDS)).mapInPandas(_draw(rates, slots), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        counts[r["g"]] += r["n"]
+    again = np.random.default_rng([SEED, shards])
+    while (over := int(np.maximum(counts - room, 0).sum())) and (counts < room).any():
+        counts = np.minimum(counts, room)
+        chance = np.where(counts < room, wanted, 0)
+        counts += again.multinomial(over, chance / chance.sum())
+    return np.minimum(counts, room)
+
+
 def taken_blocks(spark: SparkSession, sources: DataFrame, cap: int = CAP) -> DataFrame:
     """skey, block, times (1 to cap) of all blocks that the mix takes."""
-    known = sources.limit(MAX_SOURCES + 1).toPandas()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = (known["target"] / known["source_size"].clip(lower=1) * known["blocks"]).to_numpy(float)
-    slots = int(round(wanted.sum()))
-    if not slots:
+    group = F.concat(F.lit("#"), F.pmod(F.xxhash64("skey"), F.lit(MAX_SOURCES)).cast("string")) if sources.count() > MAX_SOURCES else F.col("skey")
+    own = sources.filter("target > 0").select("skey", "blocks", group.alias("gkey"), (F.col("target") / F.col("source_size") * F.col("blocks")).alias("wanted"))
+    # One row for each group, MAX_SOURCES at most.
+    known = own.groupBy("gkey").agg(F.sum("wanted").alias("wanted"), F.sum(cap * F.col("blocks")).alias("room")).orderBy("gkey").toPandas()
+    if not len(known):
         return spark.createDataFrame([], "skey string, block long, times long")
-    keys = known["skey"].to_numpy()
-    order = np.argsort(keys)
-    shards = -(-slots // SHARD_SLOTS)
-    drawn = spark.range(0, shards, 1, -(-shards // TASK_SHARDS)).mapInPandas(_draw((keys[order], wanted[order] / wanted.sum()), slots), "skey string, shard long, n long")
-    upto = F.sum("n").over(Window.partitionBy("skey").orderBy("shard"))
-    numbered = drawn.withColumn("_end", upto).join(sources.select("skey", "blocks"), "skey")
-    slot = numbered.select("skey", "blocks", F.explode(F.sequence(F.col("_end") - F.col("n"), F.col("_end") - 1)).alias("slot"))
+    known["n"] = draw_slots(spark, known["wanted"].to_numpy(float), known["room"].to_numpy(np.int64))
+    drawn = spark.createDataFrame(known[["gkey", "wanted", "n"]].rename(columns={"wanted": "of"}), "gkey string, of double, n long")
+    members = Window.partitionBy("gkey").orderBy("skey")
+    shared = own.join(F.broadcast(drawn), "gkey").withColumn("upto", F.least(F.lit(1.0), F.sum("wanted").over(members) / F.col("of")))
+    last = F.col("skey") == F.max("skey").over(Window.partitionBy("gkey"))
+    end = F.when(last, F.col("n")).otherwise(F.floor(F.col("upto") * F.col("n")))
+    dealt = shared.withColumn("end", end).select("skey", "blocks", F.least(cap * F.col("blocks"), F.col("end") - F.coalesce(F.lag("end").over(members), F.lit(0))).alias("n")).filter("n > 0")
+    ranges = dealt.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE_SLOTS).cast("long"))))
+    # A source's slots are spread over tasks, however many it has.
+    spread = ranges.repartition("skey", "from")
+    slot = spread.select("skey", "blocks", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + RANGE_SLOTS) - 1)).alias("slot"))
     epoch, index = F.floor(F.col("slot") / F.col("blocks")), F.col("slot") % F.col("blocks")
-    chosen = slot.filter(F.col("slot") < cap * F.col("blocks")).select("skey", F.pandas_udf(_block, "long")("skey", epoch, index, "blocks").alias("block"))
+    chosen = slot.select("skey", F.pandas_udf(_block, "long")("skey", epoch, index, "blocks").alias("block"))
     return chosen.groupBy("skey", "block").agg(F.count("*").alias("times"))
 
 
@@ -162,7 +195,7 @@ def pieces(placed_docs: DataFrame, times: DataFrame) -> DataFrame:
 
 def prepare(docs: DataFrame, text: str, doc_id: str, source: str, keep: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents with skey, source, size and at; the sources; the blocks taken."""
-    sized = docs.select(*keep, F.col(source).alias("source"), _key(F.col(source)).alias("skey"), size_of(F.col(text)).alias("size"))
+    sized = docs.select(*keep, F.col(source).alias("source"), _key(F.col(source)).alias("skey"), size_of(F.col(text)).alias("size"), F.xxhash64(text).alias("_th"))
     at = cut(placed(sized, doc_id), "placed")
     sources = cut(source_table(at.select("source", "skey", "size")), "sources")
     return at, sources, cut(taken_blocks(docs.sparkSession, sources), "taken")

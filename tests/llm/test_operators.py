@@ -139,6 +139,53 @@ def test_mixing_near_targets(spark):
     assert got.filter("taken > 0").join(texts, "doc_id").filter("n <> taken").count() == 0
 
 
+def _targets_by_hand(sizes):
+    """Water filling, source by source."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    out, left = {}, sum(sizes.values())
+    while len(out) < len(names):
+        level = left / sum(weight[s] for s in names if s not in out)
+        full = [s for s in names if s not in out and level * weight[s] > 3 * sizes[s]]
+        for s in full or [s for s in names if s not in out]:
+            out[s] = 3 * sizes[s] if full else level * weight[s]
+            left -= out[s] * bool(full)
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 4])
+def test_mixing_against_hand(spark, monkeypatch, most):
+    """With more sources than MAX_SOURCES too; blocks are counted one by one."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 7)
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 400))), None if i % 11 == 0 else f"s{min(i % 17, 9)}", "x") for i in range(900)] + [(None, "a b", "tiny", "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _order string")
+    got = mixing.mix_counts(docs).collect()
+    sizes = Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = _targets_by_hand(sizes)
+    by = {s: [0, None] for s in sizes}
+    source = {i: s for i, _, s, _ in rows}
+    for x in got:
+        s = "tiny" if x["doc_id"] is None else source[x["doc_id"]]
+        assert x["source_size"] == sizes[s] and abs(x["target"] - want[s]) < 1e-6 and x["taken"] <= 3 * x["size"]
+        by[s][0] += x["taken"]
+    for s, (taken, _) in by.items():
+        assert abs(taken - want[s]) <= 0.1 * want[s] + 2 * mixing.BLOCK_WORDS, (s, taken, want[s])
+    assert sum(t for t, _ in by.values()) == pytest.approx(sum(sizes.values()), rel=0.02)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_counts(docs).collect()))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(x["text"].split()) for x in mixed.collect()) == sum(x["taken"] for x in got)
+
+
+def test_slots_beyond_room_are_drawn_again(spark):
+    got = mixing.draw_slots(spark, np.array([10.0, 2.9, 2.9, 500.0]), np.array([10, 3, 3, 2000]))
+    assert got[0] == 10 and (got[1:3] <= 3).all() and got.sum() == 516
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 257):
         assert sorted(mixing.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
