@@ -1,29 +1,37 @@
 """Operator 5, byte-pair encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the bytes of a text picks chunk ends, so that passages shared
-by documents give the same chunks wherever they stand. The hashes of all chunks
-are counted; a bit map of fixed size (SKETCH_BITS) tells each task which chunks may
-occur again. Texts without such chunks are done at once. Of the others, chunks
-that occur once are encoded in place, and each shared chunk is encoded once for
-the whole table and joined back by its 128-bit hash. At each seam the words on
-both sides are encoded again as one text, and the seam is widened until both ends
-agree with what is there; so the ids are those of the whole text. The decoded
-bytes are compared with the text's own digest, and a difference is an error.
-
-Null texts count as empty: no tokens, and the decoded text is empty. The result
-has one row for each input row, repeated rows and ids included; an empty table
-gives an empty result; other columns are not touched.
+A rolling hash over the bytes of a text picks chunk ends, at any character, so that
+passages shared by documents give the same chunks wherever they stand; a chunk has
+LEAST to MOST bytes. The hashes of all chunks are counted; a bit map of fixed size
+(SKETCH_BITS) tells each task which chunks may occur again (with more than some
+10^7 shared chunks more and more of the others are taken for shared, which costs
+time and changes nothing else). Texts without such chunks are done at once. Of the
+others, chunks that occur once are encoded in place, and each shared chunk is encoded
+once for the whole table and joined back by its 128-bit hash. Around each seam the
+text is encoded again from the last place before it to the first one after it where
+words part in any case (PARTS); there the ids agree exactly with those of the chunks,
+so the ids are those of the whole text. The decoded bytes are compared with the
+text's own digest, and a difference is an error.
+
+Null texts count as empty: no tokens, and the decoded text is empty. Texts with runs
+of LONG_RUN and more characters that the pattern takes for one piece, which its engine
+cannot bear at any length, are encoded whole by the tokenizers library. The result
+has one row for each input row, repeated rows and ids included; an empty table gives
+an empty result; other columns are not touched. The vocabulary file is read by the
+driver and sent to the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -34,14 +42,21 @@ from .common import cut, read_table
 
 #: Bytes under the rolling hash, and the bits of it that are zero where a chunk ends.
 WINDOW = 32
-END_BITS = 7
+END_BITS = 9
+LEAST, MOST = 64, 8192
 SKETCH_BITS = 26
 ROW_BITS = 15  # of one row of the bit map, as Spark's bitmap functions have it
-SEAM = 4
+LONG_RUN = 100_000
 
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Between these characters words part under the pattern, whatever stands around them: visible ones before white space, and changes between letters, digits and marks, but for the apostrophe before letters. Only characters are named whose kind is beyond doubt.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3"
+_MARKS = r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+PARTS = re.compile(rf"(?<=[{_LETTERS}0-9'{_MARKS}])(?=[\x20\x09-\x0D])|(?<=[{_LETTERS}])(?=[0-9'{_MARKS}])|(?<=[0-9])(?=[{_LETTERS}'{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}0-9])|(?<=')(?=[0-9])")
+RUNS = regex.compile(r"\s{%d}|\p{L}{%d}|\p{N}{%d}|[^\s\p{L}\p{N}]{%d}" % ((LONG_RUN,) * 4))
+
 
 def _alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files: itself where printable, else the next one from 256 on."""
@@ -53,19 +68,27 @@ def _alphabet() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with a byte-level vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        self.file, self.library = file, None
+        spec = json.loads(file)
         if spec["model"]["type"] != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE vocabulary without a normalizer or prefix space is needed")
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens that take more than their own text are not provided for")
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         letters = _alphabet()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        # The engine merges by the number of the outcome, the file by the place in its list.
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        numbers = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if numbers != sorted(numbers) or len(numbers) + 256 != len(ranks):
+            raise ValueError("the order of merges differs from that of the vocabulary")
         self.bytes_of = [b""] * (1 + max([*ranks.values(), *special.values()]))
         for token, i in ranks.items():
             self.bytes_of[i] = token
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.special = special
         self.splits = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -73,6 +96,8 @@ class Codec:
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
 
     def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and RUNS.search(text):
+            return self._by_library(text)
         if not self.splits or not any(s in text for s in self.special):
             return self.engine.encode_ordinary(text)
         out = []
@@ -80,6 +105,15 @@ class Codec:
             out += [self.special[part]] if part in self.special else self.engine.encode_ordinary(part)
         return out
 
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.file.decode())
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
@@ -91,50 +125,92 @@ class Codec:
 
     def joined(self, parts: list[list[int]]) -> list[int]:
         """The ids of the whole text from those of its chunks."""
+        texts = [self.decode(p).decode() for p in parts]
+        text, begins = "".join(texts), [0, *itertools.accumulate(map(len, texts))]
+        if any(s in text for s in self.special):
+            return self.encode(text)
+        windows: list[tuple[int, int]] = []
+        for seam in begins[1:-1]:
+            if windows and seam < windows[-1][1]:
+                continue
+            low, high = _before(text, seam), _after(text, seam)
+            if windows and low < windows[-1][1]:
+                low = windows.pop()[0]
+            if low < high:
+                windows.append((low, high))
         out: list[int] = []
-        for part in parts:
-            out = self._seam(out, part) if out and part else out or part
+        at, k = 0, 0
+        for low, high in [*windows, (len(text), len(text))]:
+            while at < low:
+                while begins[k + 1] <= at:
+                    k += 1
+                end = min(low, begins[k + 1])
+                first, last = (self._index(parts[k], texts[k], x - begins[k]) for x in (at, end))
+                out += parts[k][first:last]
+                at = end
+            if low < high:
+                out += self.encode(text[low:high])
+                at = high
         return out
 
-    def _seam(self, left: list[int], right: list[int]) -> list[int]:
-        width, word = SEAM, self.bytes_of
-        while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
-            while a > 0 and word[left[a]][:1] != b" ":
-                a -= 1
-            while b < len(right) and word[right[b]][:1] != b" ":
-                b += 1
-            held = left[a:] + right[:b]
-            found = self.encode(self.decode(held).decode("utf-8", "replace"))
-            whole = a == 0 and b == len(right)
-            if found == held or whole or found[:1] == held[:1] and found[-1:] == held[-1:] and len(found) > 2:
-                del left[a:]
-                left += found
-                left += right[b:]
-                return left
-            width *= 2
+    def _index(self, ids: list[int], text: str, at: int) -> int:
+        """Which of the ids of a text begins at a character."""
+        if at in (0, len(text)):
+            return len(ids) if at else 0
+        return int(np.searchsorted(np.cumsum(self.sizes[ids]), len(text[:at].encode()), side="right"))
+
+
+def _before(text: str, at: int) -> int:
+    """The last place up to `at` where words part in any case, or the begin of the text."""
+    width = 64
+    while True:
+        begin = max(0, at - width)
+        found = [m.start() for m in PARTS.finditer(text, begin, min(len(text), at + 1))]
+        if found or not begin:
+            return found[-1] if found else 0
+        width *= 4
+
+
+def _after(text: str, at: int) -> int:
+    found = PARTS.search(text, at)
+    return found.start() if found else len(text)
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(file: bytes) -> Codec:
+    return Codec(file)
 
 
 def chunk_ends(data: bytes) -> list[int]:
-    """Where chunks end: before a space that follows visible ASCII, if the hash of the WINDOW bytes before it has END_BITS zeros. The last is the end of the text."""
+    """Where chunks end: before a character, if the hash of the WINDOW bytes before it has END_BITS zeros and the chunk has LEAST bytes, or MOST bytes at most. The last is the end of the text."""
     b = np.frombuffer(data, np.uint8)
-    if len(b) <= WINDOW:
-        return [len(b)] if len(b) else []
-    h, k = b.astype(np.uint32) * np.uint32(2654435761), 0x01000193
-    step = 1
-    while step < WINDOW:  # h[i] covers the `step` bytes from i on
-        h = h[:-step] * np.uint32(k) + h[step:]
-        k, step = k * k & 0xFFFFFFFF, step * 2
-    at = np.nonzero((b[WINDOW:] == 32) & (b[WINDOW - 1 : -1] > 32) & (b[WINDOW - 1 : -1] < 127))[0]
-    found = h[at]
-    found ^= found >> np.uint32(15)
-    ends = at[(found * np.uint32(0x85EBCA6B)) >> np.uint32(32 - END_BITS) == 0] + WINDOW
-    return [*ends.tolist(), len(b)]
+    out: list[int] = []
+    last = 0
+
+    def upto(end):
+        nonlocal last
+        while end - last > MOST:
+            last += MOST
+            while b[last] & 0xC0 == 0x80:
+                last -= 1
+            out.append(last)
+
+    if len(b) > WINDOW:
+        h, k = b.astype(np.uint32) * np.uint32(2654435761), 0x01000193
+        step = 1
+        while step < WINDOW:  # h[i] covers the `step` bytes from i on
+            h = h[:-step] * np.uint32(k) + h[step:]
+            k, step = k * k & 0xFFFFFFFF, step * 2
+        h = h[:-1]
+        h = h ^ h >> np.uint32(15)
+        found = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - END_BITS) == 0) & (b[WINDOW:] & 0xC0 != 0x80)
+        for end in (np.nonzero(found)[0] + WINDOW).tolist():
+            upto(end)
+            if end - last >= LEAST:
+                out.append(end)
+                last = end
+    upto(len(b))
+    return [*out, len(b)] if len(b) else []
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -174,12 +250,12 @@ def _result(c: Codec, ids: list[int], digest: str, want: str) -> tuple:
 WANTS = {"digests": ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"], "ids": ["ids array<int>", "decoded string"]}
 
 
-def _split(path: str, sketch, keys: list[str], want: str):
+def _split(file, sketch, keys: list[str], want: str):
     """Rows of texts done, and of the chunks of all others."""
     names = [w.split()[0] for w in WANTS[want]]
 
     def run(batches):
-        c, bits = codec(path), sketch.value
+        c, bits = codec(file.value), sketch.value
         part, count = TaskContext.get().partitionId(), 0
         for pdf in batches:
             out = []
@@ -192,7 +268,7 @@ def _split(path: str, sketch, keys: list[str], want: str):
                 slots = [int.from_bytes(h, "big") & (1 << SKETCH_BITS) - 1 for h in hashes]
                 again = [bits[s >> 3] >> (s & 7) & 1 for s in slots]
                 if not any(again):
-                    ids = c.joined([c.encode(x.decode()) for x in found])
+                    ids = c.encode(text)
                     out.append((*key, *_result(c, ids, digest, want), None, None, None, None, None, None))
                     continue
                 row_id, count = part << 40 | count, count + 1
@@ -208,16 +284,18 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keys: tuple
     spark = docs.sparkSession
     own = [f"k{i}" for i in range(len(keys))]
     rows = docs.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col(text).alias("text"))
+    with open(path, "rb") as f:
+        file = spark.sparkContext.broadcast(f.read())
     sketch = spark.sparkContext.broadcast(shared_chunks(rows))
     types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    parts = cut(rows.mapInPandas(_split(path, sketch, own, want), ", ".join([*types, *WANTS[want], "row_id long, i int, digest string, hash binary, bytes binary, ids_ binary"])), "chunks")
+    parts = cut(rows.mapInPandas(_split(file, sketch, own, want), ", ".join([*types, *WANTS[want], "row_id long, i int, digest string, hash binary, bytes binary, ids_ binary"])), "chunks")
 
     def once(data: pd.Series) -> pd.Series:
-        c = codec(path)
+        c = codec(file.value)
         return pd.Series([c.pack(c.encode(x.decode())) for x in data])
 
     def whole(digest: pd.Series, found: pd.Series) -> pd.DataFrame:
-        c = codec(path)
+        c = codec(file.value)
         out = []
         for d, f in zip(digest, found):
             out.append(_result(c, c.joined([c.unpack(p["ids"]) for p in sorted(f, key=lambda p: p["i"])]), d, want))

@@ -120,11 +120,43 @@ def test_bpe_against_library(spark, folder):
         assert r["ids"] == ids and r["decoded"] == tok.decode(ids, skip_special_tokens=False)
 
 
+def _codec():
+    with open(bpe.vocabulary(), "rb") as f:
+        return bpe.codec(f.read())
+
+
+ODD = ["Hello   world, it's 12345 o'clock!  \n\n naïve 你好 " + BASE * 3, "你好世界。今天天气很好，" * 20 + "ＡＢＣ１２３", "aGVsbG8gd29ybGQ+L2Zvbw==" * 20, "x'll y''s 'd9 <|endoftext|> tail 　  a", "\t \t" * 30 + "end" + " " * 40]
+
+
 def test_bpe_seams():
-    c = bpe.codec(bpe.vocabulary())
-    text = "Hello   world, it's 12345 o'clock!  \n\n naïve 你好 " + BASE * 3
-    for i in range(1, len(text)):
-        assert c.joined([c.encode(text[:i]), c.encode(text[i:])]) == c.encode(text)
+    from tokenizers import Tokenizer
+
+    c, library = _codec(), Tokenizer.from_file(bpe.vocabulary())
+    for text in ODD:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert c.encode(text) == want
+        for i in range(1, len(text)):
+            assert c.joined([c.encode(text[:i]), c.encode(text[i:])]) == want, (text, i)
+        for width in (1, 3, 17):
+            assert c.joined([c.encode(text[i : i + width]) for i in range(0, len(text), width)]) == want
+
+
+def test_bpe_chunks():
+    for text in [*ODD, "", "a" * 100_000, "语" * 50_000, "ab cd " * 20_000]:
+        data = text.encode()
+        found = bpe.chunks(data)
+        assert b"".join(found) == data and all(len(x) <= bpe.MOST for x in found) and all(x.decode() for x in found)
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "　" * 2_000_000, "\t" * 700_000 + " ", "ab" * 1_000_000, "7" * 300_000], ids=["spaces", "wide", "tabs", "letters", "digits"])
+def test_bpe_long_runs(run):
+    from tokenizers import Tokenizer
+
+    text = f"begin {run}end"
+    c = _codec()
+    want = Tokenizer.from_file(bpe.vocabulary()).encode(text, add_special_tokens=False).ids
+    assert c.encode(text) == want
+    assert c.joined([c.encode(x.decode()) for x in bpe.chunks(text.encode())]) == want
 
 
 def test_mixing_near_targets(spark):
