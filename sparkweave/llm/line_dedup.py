@@ -9,12 +9,11 @@ each, the earliest. Words are ordered by rarity: all words of these lines are co
 into a table of 2 ** SLOT_BITS counters, which only sets the order, so that words
 sharing a counter cost time but no matches. Of n words the first
 n - ceil(SIMILAR n) + 1 are the prefix; similar lines share a word of their prefixes.
-Pairs of postings must pass the length filter and the positional filter; then their
-shared prefix words are counted, and with all words beyond the prefix of the line
-whose prefix ends first there must be enough of them; the same is asked of the first
-HELD words, which are all words of short lines. What is left is verified with the
-words themselves. Words are 25 bits of a hash and the rarity in all this, which
-adds pairs to verify where words meet by chance, and loses none.
+Pairs of postings must pass the length filter, the positional filter and a parity
+filter (64 bits, each flipped by words; the bits that differ are at most the words
+that are in one line only). What is left is verified with the words themselves. Words
+are 25 bits of a hash and the rarity in all this, which adds pairs to verify where
+words meet by chance, and loses none.
 
 So that large groups of similar lines do not give all their pairs, lines that share
 frequent words are first compared with the earliest line that has the word in its
@@ -42,8 +41,6 @@ from .common import NOT_WS, WRITING, cut, discard, plain_words, read_table, sett
 SIMILAR = (4, 5)
 SLOT_BITS = 20
 HASH_BITS = 25
-#: So many words of a line, its rarest ones, are kept as numbers, or the prefix if that is longer.
-HELD = 16
 #: Sizes of one class differ by less than this factor, which is more than similar lines' sizes do.
 CLASS = 1.26
 #: Words are frequent from so many occurrences on, or eight times the mean of the counters.
@@ -107,11 +104,12 @@ def _word_set(line: Column) -> Column:
 
 
 def index_lines(lines: DataFrame, table: bytes) -> DataFrame:
-    """id, at, n (words), prefix and held, tokens in order."""
+    """id, at, n (words), parity, and prefix, tokens in order."""
     token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     tokens = lines.select("id", "at", F.sort_array(F.transform(_word_set(F.col("line")), token)).alias("t")).withColumn("n", F.size("t"))
-    held = F.slice("t", 1, F.greatest(F.lit(HELD), _prefix(F.col("n"))))
-    return cut(tokens.select("id", "at", "n", F.slice("t", 1, _prefix(F.col("n"))).alias("prefix"), held.alias("held")), "index")
+    # Shifts go by the last six bits of a token.
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
+    return cut(tokens.select("id", "at", "n", parity.alias("parity"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index")
 
 
 def _prefix(n: Column) -> Column:
@@ -120,22 +118,13 @@ def _prefix(n: Column) -> Column:
 
 
 def _near(a: str, b: str) -> Column:
-    """The length filter and the positional filter for postings of one word, which hold for each word that similar lines share: as many can be shared as stand before it in both lines, and from it on in both."""
+    """The filters for postings of one word; the first word that similar lines share passes them."""
     num, den = SIMILAR
     n, m, p, q = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * (F.least(p, q) + F.least(n - p, m - q)) >= num * (n + m))
-
-
-def _holding(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose held words allow enough shared ones. Words of one line with the same token count once in the intersection, and are made up for."""
-    num, den = SIMILAR
-    x, y = (index.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("held").alias(f"h_{k}")) for k in "xy")
-    shared = F.size(F.array_intersect("h_x", "h_y")) + F.size("h_x") - F.size(F.array_distinct("h_x"))
-    # Further shared words come after the place where one line's held words end, in both.
-    end = F.least(F.element_at("h_x", -1), F.element_at("h_y", -1))
-    beyond = F.least(*(F.col(f"n_{k}") - F.size(F.filter(f"h_{k}", lambda t: t <= end)) for k in "xy"))
-    both = pairs.join(x, "x").join(y, "y")
-    return both.filter((num + den) * (shared + beyond) >= num * (F.col("n_x") + F.col("n_y"))).select("x", "y")
+    # shared / (n + m - shared) >= num / den; what is in one line only is n + m - 2 * shared.
+    enough = (num + den) * F.least(n - p, m - q) >= num * (n + m)
+    far = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * far <= (den - num) * (n + m))
 
 
 def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -158,28 +147,25 @@ def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _with_first(index: DataFrame, least: int) -> DataFrame:
     """Pairs of lines and, for each frequent word of their prefixes, the earliest line with it."""
-    often = index.filter(F.element_at("prefix", -1) >= least).select("id", "at", "n", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
-    firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos")).alias("f")).select("tok", "f.id", "f.n", "f.pos")
+    often = index.filter(F.element_at("prefix", -1) >= least).select("id", "at", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
+    firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("tok", "f.id", "f.n", "f.pos", "f.parity")
     met = often.alias("a").join(firsts.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
 def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     """Pairs of lines of which one at least is not done. Lines that are done get ids below 0: they can be matched, but ask no more."""
-    num, den = SIMILAR
     heavy = F.element_at("prefix", -1) >= least
-    asks = index.filter(heavy).join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))).select("id", "n", "prefix")
-    every = index.filter(~heavy).select("id", "n", "prefix").unionByName(asks)
+    asks = index.filter(heavy).join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))).select("id", "n", "parity", "prefix")
+    every = index.filter(~heavy).select("id", "n", "parity", "prefix").unionByName(asks)
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
-    postings = every.select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
-    postings = postings.select("id", "n", "pos", "tok", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))).alias("class"))
+    postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok"))
+    postings = postings.select("id", "n", "parity", "pos", "tok", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))).alias("class"))
     own = F.col("a.class").isin(-9) | (F.col("a.class") == F.floor(F.log(F.col("a.n")) / F.log(F.lit(CLASS))).cast("int"))
     # Both sides of the join are one exchange.
     met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & own & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
-    counted = met.groupBy(F.col("a.id").alias("x"), F.col("b.id").alias("y")).agg(F.count("*").alias("shared"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
-    beyond = F.greatest(F.col("n") - _prefix(F.col("n")), F.col("m") - _prefix(F.col("m")))
-    enough = counted.filter((num + den) * (F.col("shared") + beyond) >= num * (F.col("n") + F.col("m")))
-    return enough.select("x", F.when(F.col("y") < 0, -1 - F.col("y")).otherwise(F.col("y")).alias("y"))
+    y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
+    return met.select(F.col("a.id").alias("x"), y.alias("y")).distinct()
 
 
 def staying_lines(docs: DataFrame) -> DataFrame:
@@ -189,8 +175,8 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     table = rarity(lines)
     index = index_lines(lines, table)
     least = frequent(table)
-    first = verified(lines, _holding(index, _with_first(index, least)))
-    second = verified(lines, _holding(index, _with_all(index, first, least)))
+    first = verified(lines, _with_first(index, least))
+    second = verified(lines, _with_all(index, first, least))
     left = index.select("id", "at").join(first.unionByName(second), "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay", made)
     discard(docs.sparkSession, [d.inputFiles()[0].rpartition("/")[0] for d in (lines, index, first, second) if d.inputFiles()])

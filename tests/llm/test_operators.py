@@ -344,7 +344,11 @@ def _lines_by_hand(texts):
     return out
 
 
-def test_lines_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("least", [512, 3])
+def test_lines_against_brute_force(spark, tmp_path, monkeypatch, least):
+    """With the lower limit nearly all words are frequent, and lines meet the earliest line first."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", least)
+    monkeypatch.setattr(line_dedup, "Counter", lambda table: {})
     r = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     lines = [" ".join(r.choice(vocabulary, r.integers(1, 25))) for _ in range(40)]
@@ -362,6 +366,18 @@ def test_lines_against_brute_force(spark, tmp_path):
     assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
 
 
+def test_lines_of_clashing_and_long_texts(spark, empty):
+    long = "\n".join(f"line number {i} of many with own words w{i} v{i} u{i}" for i in range(30_000))
+    rows = [(1, long, "g", "n", 5, 7), (2, long + "\nlast line here", "g", "n", 5, 7), (None, None, "g", "n", 5, 7), (3, "", "g", "n", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, stay string, n_lines int, c0 int")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert set(got[1].asDict()) == {*docs.columns, "n_removed"} and got[1]["_gone"] == "g" and got[1]["c0"] == 7
+    assert (got[1]["text"], got[1]["n_removed"]) == (long, 0)
+    assert (got[2]["text"], got[2]["n_lines"], got[2]["n_removed"]) == ("last line here", 30_001, 30_000)
+    assert got[None]["text"] is None and got[3]["text"] == ""
+    assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+
+
 def test_toxicity_gradients():
     p = {k: v.astype(float) for k, v in toxicity.initial().items()}
     found = toxicity.features("alpha beta gamma delta the of".split())
