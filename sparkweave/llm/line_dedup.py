@@ -78,13 +78,13 @@ def _slot(value: Column) -> Column:
     return F.hash(value).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
 
 
-def unique_lines(docs: DataFrame) -> DataFrame:
+def unique_lines(docs: DataFrame, made: list[str]) -> DataFrame:
     """id (any number of its own), line, and at, the place of the first line that is equal: nameless (a null id), doc, th (a hash of the text), i."""
     lines = docs.filter("text IS NOT NULL").select("doc", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.col("line").rlike(NOT_WS))
     place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th", "i")
     # The hash makes for quick sorting; lines are told apart by themselves.
     first = lines.groupBy(F.xxhash64("line").alias("h"), "line").agg(F.min(place).alias("at"))
-    return cut(first.select(F.monotonically_increasing_id().alias("id"), "line", "at"), "lines")
+    return cut(first.select(F.monotonically_increasing_id().alias("id"), "line", "at"), "lines", made)
 
 
 def rarity(lines: DataFrame) -> bytes:
@@ -103,13 +103,13 @@ def _word_set(line: Column) -> Column:
     return F.array_except(plain_words(line), F.array(F.lit("")))
 
 
-def index_lines(lines: DataFrame, table: bytes) -> DataFrame:
+def index_lines(lines: DataFrame, table: bytes, made: list[str]) -> DataFrame:
     """id, at, n (words), parity, and prefix, tokens in order."""
     token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     tokens = lines.select("id", "at", F.sort_array(F.transform(_word_set(F.col("line")), token)).alias("t")).withColumn("n", F.size("t"))
     # Shifts go by the last six bits of a token.
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
-    return cut(tokens.select("id", "at", "n", parity.alias("parity"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index")
+    return cut(tokens.select("id", "at", "n", parity.alias("parity"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index", made)
 
 
 def _prefix(n: Column) -> Column:
@@ -127,7 +127,7 @@ def _near(a: str, b: str) -> Column:
     return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * far <= (den - num) * (n + m))
 
 
-def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(lines: DataFrame, pairs: DataFrame, kept: list[str]) -> DataFrame:
     """Of the pairs x, y whose words are similar enough, the id of the later line (distinct). Only lines whose slot some pair marks are read into the joins."""
     num, den = SIMILAR
     made: list[str] = []
@@ -140,7 +140,7 @@ def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     one, two = (read.select(F.col("id").alias(k), F.col("w").alias(f"w_{k}"), F.col("at").alias(f"at_{k}")) for k in "xy")
     both = pairs.join(one, "x").join(two, "y")
     similar = both.filter((num + den) * F.size(F.array_intersect("w_x", "w_y")) >= num * (F.size("w_x") + F.size("w_y")))
-    found = cut(similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "matched")
+    found = cut(similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "matched", kept)
     discard(lines.sparkSession, made)
     return found
 
@@ -161,8 +161,8 @@ def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
     postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok"))
     postings = postings.select("id", "n", "parity", "pos", "tok", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))).alias("class"))
-    own = F.col("a.class").isin(-9) | (F.col("a.class") == F.floor(F.log(F.col("a.n")) / F.log(F.lit(CLASS))).cast("int"))
-    # Both sides of the join are one exchange.
+    # Put in terms of both sides, as a filter of one side alone would make two exchanges of one.
+    own = F.col("b.class").isin(-9) | (F.col("b.class") == F.floor(F.log(F.col("a.n")) / F.log(F.lit(CLASS))).cast("int"))
     met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & own & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
     y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
     return met.select(F.col("a.id").alias("x"), y.alias("y")).distinct()
@@ -171,15 +171,15 @@ def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
 def staying_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. Returns doc, th and `stay`, the numbers of the lines with words that stay."""
     made: list[str] = []
-    lines = unique_lines(docs)
+    lines = unique_lines(docs, made)
     table = rarity(lines)
-    index = index_lines(lines, table)
+    index = index_lines(lines, table, made)
     least = frequent(table)
-    first = verified(lines, _with_first(index, least))
-    second = verified(lines, _with_all(index, first, least))
+    first = verified(lines, _with_first(index, least), made)
+    second = verified(lines, _with_all(index, first, least), made)
     left = index.select("id", "at").join(first.unionByName(second), "id", "left_anti")
-    out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay", made)
-    discard(docs.sparkSession, [d.inputFiles()[0].rpartition("/")[0] for d in (lines, index, first, second) if d.inputFiles()])
+    out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
+    discard(docs.sparkSession, made)
     return out
 
 
