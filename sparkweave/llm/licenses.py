@@ -22,7 +22,7 @@ It is trained on the templates below, on the licences' own paragraphs, on other
 lines with the same words, and on at most NEGATIVES distinct lines from anywhere in
 the texts that name no licence, chosen by a hash.
 
-Null and empty texts have no paragraphs. There is one result row for each input
+Texts of any length are scanned whole. Null and empty texts have no paragraphs. There is one result row for each input
 row, repeated rows and ids included; an empty table gives an empty result. Of
 equal probabilities the first family in the table counts. Other columns are not
 touched.
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 from .license_texts import PASSAGES
+from .quality import STOP_WORDS
 
 #: Lines with these are no examples of the class of all else.
 ANCHORS = r"licen[cs]e|copyright|rights reserved|public domain|creative commons|\bgpl|\bcc[ -]by"
@@ -145,11 +146,11 @@ def rare_pairs() -> list[str]:
 
 
 def key_words() -> list[str]:
-    """Words of which a text has one at least if it has COVERED of a template's pairs: of each template the longest, as many as make it so."""
+    """Words of which a text has one at least if it has COVERED of a template's pairs: of each template the longest, frequent words last, as many as make it so."""
     keys: set[str] = set()
     for _, t in templates():
         own = [g.split(" ") for g in _pairs(t)]
-        for w in sorted({w for g in own for w in g}, key=lambda w: (-len(w), w)):
+        for w in sorted({w for g in own for w in g}, key=lambda w: (w in STOP_WORDS, -len(w), w)):
             if sum(not keys & set(g) for g in own) < math.ceil(COVERED * len(own)):
                 break
             keys.add(w)
@@ -203,6 +204,11 @@ def fit(negatives: list[str], rounds: int = 400, rate: float = 2.0, decay: float
     return Model(classes, features, descend(np.ones(len(rows), bool)), min((0.25, 0.5, 1.0, 2.0), key=loss))
 
 
+def _key(doc_id: str, text: str) -> Column:
+    """128 bits of a document."""
+    return F.struct(F.xxhash64(doc_id, text).alias("x"), F.xxhash64(F.lit(1), text, doc_id).alias("y"))
+
+
 def _paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
@@ -309,7 +315,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     spark = docs.sparkSession
     rare = rare_pairs()
     keys = F.array(*map(F.lit, key_words()))
-    keyed = docs.filter(F.arrays_overlap(_words(F.col(text)), keys)).select(F.xxhash64(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
+    keyed = docs.filter(F.arrays_overlap(_words(F.col(text)), keys)).select(_key(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
     able = keyed.filter(F.exists(_pairs_of(F.col("paragraph")), lambda g: g.isin(rare))).distinct()
     able = cut(able.select("key", "i", _pieces(F.col("paragraph")).alias("pieces")), "able")
     met = covered_runs(able)
@@ -344,6 +350,6 @@ def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_i
         F.count_distinct(F.when(F.col("confirmed"), F.col("i"))).alias("known"),
         F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
     )
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.size(_paragraphs(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("n_paragraphs"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.size(_paragraphs(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("n_paragraphs"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     return every.join(own, "key", "left").select("doc_id", zero("families", ""), "n_paragraphs", (F.col("n_paragraphs") - F.coalesce("known", F.lit(0))).alias("n_unknown"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
