@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder, so that a lost executor costs one round at most.
     """
-    now = cut(_small(edges), "stars")
+    made: list[str] = []
+    now = cut(_small(edges), "stars", made)
     mark = _mark(now)
     while True:
-        now = cut(_small(_large(now)), "stars")
+        now = cut(_small(_large(now)), "stars", made)
         before, mark = mark, _mark(now)
+        discard(edges.sparkSession, made[:-1])
+        made = made[-1:]
         if before == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

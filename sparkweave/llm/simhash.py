@@ -6,7 +6,13 @@ members share; runs of blocks, and inside a block runs of members, form upper
 nodes in the same way. A search adds up the differing bits on the way down and
 leaves a whole group as soon as there are too many. The directory of blocks has
 MAX_BLOCKS entries at most besides one for each partition, and only this is
-broadcast; members and queries meet by a shuffle on the block's number.
+broadcast; members and queries meet by a shuffle on the block's number. With more
+than BLOCK * MAX_BLOCKS distinct fingerprints the blocks grow, and with them the
+index inside each, which is searched by the same levels.
+
+The width of shingles and the distance are parameters. Texts of any length are
+hashed in pieces. Of a table only fingerprints and ids go through the joins that may
+have hot keys.
 
 Null, empty and white-space texts have fingerprint 0 and link like any other.
 Repeated rows and ids stay, with equal results. Null ids take part, and a
@@ -23,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, discard, read_table
 from .components import components
 
 SHINGLE = 3
@@ -36,16 +42,16 @@ PIECE = 1 << 16
 QUERIES = 2048
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64 bits as a signed number; only A to Z are lower-cased."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
-    n = max(1, len(found) - SHINGLE + 1)
+    n = max(1, len(found) - shingle + 1)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[SHINGLE - 1 :].tolist() if len(found) >= SHINGLE else [len(joined)]
+    ends = ends[shingle - 1 :].tolist() if len(found) >= shingle else [len(joined)]
     total = np.zeros(64, np.int64)
     for i in range(0, n, PIECE):
         own = b"".join([xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts[i : i + PIECE], ends[i : i + PIECE])])
@@ -53,10 +59,6 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(x) for x in texts], dtype="int64")
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4, 8, 16, 32):
         codes = codes ^ (codes >> np.uint64(k))
@@ -132,7 +134,7 @@ def _cut_blocks(size: int):
     return run
 
 
-def _route(directory):
+def _route(directory, most: int):
     """Sends each fingerprint to its own block and to the later ones that may hold a link."""
 
     def run(batches):
@@ -141,7 +143,7 @@ def _route(directory):
         for pdf in batches:
             fp = pdf["fp"].to_numpy().view(np.uint64)
             own = np.searchsorted(names, pdf["block"].to_numpy())
-            for q, block in search(levels, fp):
+            for q, block in search(levels, fp, most):
                 keep = block >= own[q]
                 q, block = q[keep], block[keep]
                 yield pd.DataFrame({"block": block, "fp": fp[q].view(np.int64), "own": block == own[q]})
@@ -149,22 +151,35 @@ def _route(directory):
     return run
 
 
-def _link(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links inside a block, as a star for each component."""
-    fp, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
-    home = fp[own]
-    home = home[np.argsort(gray_rank(home))]
-    nodes = np.concatenate((home, fp[~own]))
-    levels = build(np.full(len(home), ~np.uint64(0)), home)
-    root = np.arange(len(nodes))
-    for q, item in search(levels, nodes):
-        root = stars(np.concatenate((q, np.arange(len(nodes)))), np.concatenate((item, root)), len(nodes))
-    moved = root != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[moved].view(np.int64), "b": nodes[root[moved]].view(np.int64)})
+def _link(most: int):
+    """Links inside a block: each member and each visitor to the first member of its component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        home = fp[own]
+        home = home[np.argsort(gray_rank(home))]
+        nodes = np.concatenate((home, fp[~own]))
+        levels = build(np.full(len(home), ~np.uint64(0)), home)
+        size = len(home)
+        root, first = np.arange(size), np.full(len(nodes), -1)
+        for q, item in search(levels, nodes, most):
+            if len(q):
+                begin = np.nonzero(np.diff(q, prepend=-1))[0]
+                least = np.minimum.reduceat(item, begin)
+                first[q[begin]] = least
+                # Members that one node meets belong together.
+                pairs = np.unique(item * size + np.repeat(least, np.diff(np.append(begin, len(q)))))
+                root = stars(np.concatenate((pairs // size, np.arange(size))), np.concatenate((pairs % size, root)), size)
+        to = np.where(first >= 0, root[first], -1)
+        to[:size] = root
+        moved = (to >= 0) & (to != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[moved].view(np.int64), "b": home[to[moved]].view(np.int64)})
+
+    return run
 
 
-def links(codes: DataFrame) -> DataFrame:
-    """codes: fp, distinct. Returns pairs a, b that connect what lies within DISTANCE."""
+def links(codes: DataFrame, most: int = DISTANCE) -> DataFrame:
+    """codes: fp, distinct. Returns pairs a, b that connect what lies within the distance `most`."""
     spark = codes.sparkSession
     n = codes.count()
     size = max(BLOCK, -(-n // MAX_BLOCKS))
@@ -175,28 +190,43 @@ def links(codes: DataFrame) -> DataFrame:
     directory = spark.sparkContext.broadcast((top["block"].to_numpy(np.int64), ~(all_set ^ any_set), all_set))
     if not n:
         return spark.createDataFrame([], "a long, b long")
-    routed = blocks.mapInPandas(_route(directory), "block long, fp long, own boolean")
-    return routed.groupBy("block").applyInPandas(_link, "a long, b long")
+    routed = blocks.mapInPandas(_route(directory, most), "block long, fp long, own boolean")
+    return routed.groupBy("block").applyInPandas(_link(most), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all, if None) with fp (long), root (the component's smallest fingerprint) and component_id. They are written once, with the fingerprints; an input column of such a name is replaced."""
-    kept = [c for c in (keep or docs.columns) if c not in ("fp", "root", "component_id")]
-    marked = cut(docs.select(*kept, F.pandas_udf(fingerprints, "long")(F.col(text)).alias("fp")), "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "nodes")
-    roots = components(links(nodes.select("fp")))
+def _grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The columns `keep` with fp, written once; and fp, root (the component's smallest fingerprint) and component_id of each fingerprint."""
+
+    @F.pandas_udf("long")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(x, shingle) for x in texts], dtype="int64")
+
+    marked = cut(docs.select(*(F.col(c) for c in keep), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    made: list[str] = []
+    nodes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "nodes", made)
+    roots = components(links(nodes.select("fp"), most))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked.join(cut(named, "named"), "fp")
+    named = cut(named, "named")
+    discard(docs.sparkSession, made)
+    return marked, named
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
+    """The columns `keep` (all, if None) with fp (long), root (the component's smallest fingerprint) and component_id; an input column of such a name is replaced."""
+    marked, named = _grouped(docs, text, doc_id, [c for c in (keep or docs.columns) if c not in ("fp", "root", "component_id")], shingle, most)
+    return marked.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
     """The rows with the smallest id of each component; of components without an id, and of rows that repeat such an id and fingerprint, one row."""
-    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    found = near_duplicates(docs.select(*(F.col(c).alias(x) for c, x in own.items())), own[text], own[doc_id])
-    nameless = F.col("component_id").isNull() & (F.col("fp") == F.col("root"))
-    kept = found.filter((F.col(own[doc_id]) == F.col("component_id")) | nameless)
-    return kept.dropDuplicates(["root"]).select(*(F.col(x).alias(c) for c, x in own.items()))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    marked, named = _grouped(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items())), own[text], own[doc_id], list(own.values()), shingle, most)
+    # Rows are chosen by id and fingerprint, so that no text goes through the join on fingerprints, where copies meet.
+    rows = marked.select(F.col(own[doc_id]).alias("k"), "fp").join(named, "fp")
+    chosen = rows.filter(F.col("k").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("k", "fp")).alias("r")).select("r.k", F.col("r.fp").alias("f"))
+    kept = marked.join(chosen, F.col(own[doc_id]).eqNullSafe(F.col("k")) & (F.col("fp") == F.col("f")), "left_semi")
+    return kept.dropDuplicates([own[doc_id], "fp"]).select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
