@@ -3,7 +3,9 @@
 Null, empty and white-space texts have no words and fail. Rows are judged one by
 one, so ties, repeated rows and repeated ids give one result row each, and an
 empty table gives an empty result. Further columns of the input are not touched;
-an input column of the same name as a result column is replaced.
+an input column of the same name as a result column is replaced. Very long texts are
+measured whole, in time in proportion to their length but for the sorting of their
+windows' hashes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WS, read_table, words
+from .common import NOT_WS, WS, read_table, unused, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -66,33 +68,34 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     the low bits of the same numbers. Windows beside an equal hash are candidates;
     only these are compared as strings, so that n_repeat_words is exact.
     """
+    w, n, h, c, s, p, ls = unused(docs, "_w", "_n", "_h", "_c", "_s", "_p", "_l")
     low = (1 << 30) - 1
     high = lambda x: x.bitwiseAND(F.lit(~low))
     raw = F.coalesce(F.col(text), F.lit(""))
-    at = F.sequence(F.lit(0), F.col("_n") - WINDOW)
-    out = docs.withColumn("_w", words(raw)).withColumn("_n", F.size("_w"))
-    hashed = F.transform(at, lambda i: high(F.xxhash64(*(F.get("_w", i + k) for k in range(WINDOW)))).bitwiseOR(i.cast("long")))
-    out = out.withColumn("_h", F.when(F.col("_n") >= WINDOW, F.sort_array(hashed)).otherwise(F.array().cast("array<bigint>")))
+    at = F.sequence(F.lit(0), F.col(n) - WINDOW)
+    out = docs.withColumn(w, words(raw)).withColumn(n, F.size(w))
+    hashed = F.transform(at, lambda i: high(F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW)))).bitwiseOR(i.cast("long")))
+    out = out.withColumn(h, F.when(F.col(n) >= WINDOW, F.sort_array(hashed)).otherwise(F.array().cast("array<bigint>")))
     beside = lambda a, f: lambda x, i: (f(F.get(a, i - 1)) == f(x)) | (f(F.get(a, i + 1)) == f(x))
-    out = out.withColumn("_c", F.filter("_h", beside("_h", high)))
-    window = lambda x: F.concat_ws(" ", F.slice("_w", x.bitwiseAND(F.lit(low)).cast("int") + 1, WINDOW))
-    out = out.withColumn("_s", F.sort_array(F.transform("_c", lambda x: F.struct(window(x).alias("w"), x.bitwiseAND(F.lit(low)).alias("i")))))
-    same = F.filter("_s", beside("_s", lambda x: x["w"]))
-    out = out.withColumn("_p", F.sort_array(F.transform(same, lambda x: x["i"])))
-    step = F.transform("_p", lambda p, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW).cast("long"))))
+    out = out.withColumn(c, F.filter(h, beside(h, high)))
+    window = lambda x: F.concat_ws(" ", F.slice(w, x.bitwiseAND(F.lit(low)).cast("int") + 1, WINDOW))
+    out = out.withColumn(s, F.sort_array(F.transform(c, lambda x: F.struct(window(x).alias("w"), x.bitwiseAND(F.lit(low)).alias("i")))))
+    same = F.filter(s, beside(s, lambda x: x["w"]))
+    out = out.withColumn(p, F.sort_array(F.transform(same, lambda x: x["i"])))
+    step = F.transform(p, lambda x, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW).cast("long"))))
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(NOT_WS))
-    out = out.withColumn("_l", lines)
+    out = out.withColumn(ls, lines)
     return out.withColumns(
         {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.col(n).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": _count(raw, SYMBOLS),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.when(F.size("_p") > 0, _sum(step)).otherwise(F.lit(0).cast("long")),
-            "n_stop_words": F.size(F.filter("_w", lambda x: x.isin(STOP_WORDS))).cast("long"),
+            "n_lines": F.size(ls).cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": F.when(F.size(p) > 0, _sum(step)).otherwise(F.lit(0).cast("long")),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long"),
         }
-    ).drop("_w", "_n", "_h", "_c", "_s", "_p", "_l")
+    ).drop(w, n, h, c, s, p, ls)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
