@@ -13,7 +13,8 @@ Scoring covers all rows and whole texts.
 
 Null, empty and white-space texts have one empty window and get its score. If the
 labels hold no or only one class, all scores are that class's rate (0 if none).
-Several labels for one id count as the highest. Rows are scored one by one: repeated
+Several labels for one id count as the highest, and of several texts the first in
+order is learned from. Texts of any length are scored in all their windows. Rows are scored one by one: repeated
 rows give repeated results, an empty table an empty result. Other columns are not
 touched.
 """
@@ -304,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     place = F.xxhash64("doc_id", F.lit("toxicity"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = [known.filter(F.col("toxic") == v).orderBy(place, "doc_id").limit(n) for v, n in ((1, toxic), (0, clean))]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
     found = chosen.withColumn("held", held).mapInPandas(_sampled, "doc_id long, text string, toxic int, held boolean").orderBy("doc_id", "text").toPandas()
     own = found[~found["held"]]
