@@ -71,6 +71,28 @@ def test_against_sql(spark, folder, name, sql):
         assert got == want
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_exact_with_weak_digest(spark, folder, monkeypatch, hot):
+    """All texts of one length share a digest."""
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    want = exact_dedup.op2_exact_dedup(spark, folder).collect()
+    got = exact_dedup.exact_duplicates(spark, f"{folder}/documents.parquet", digest=lambda t: F.length(t).cast("string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_exact_state_lasts(spark, tmp_path):
+    path, at = f"{tmp_path}/documents.parquet", f"file://{tmp_path}/state"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    rows = lambda: {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_duplicates(spark, path, checkpoint=at).collect()}
+    table([(5, "a b"), (6, "a  b"), (7, "c")])
+    assert rows() == {5: 5, 6: 5, 7: 7}
+    table([(1, "a b"), (8, "c"), (9, "d")])
+    assert rows() == {5: 1, 6: 1, 1: 1, 7: 7, 8: 7, 9: 9}
+    batches = [f for f in os.listdir(f"{tmp_path}/state/offsets") if f.isdigit()]
+    assert len(batches) == 2
+    assert rows() == {5: 1, 6: 1, 1: 1, 7: 7, 8: 7, 9: 9}
+
+
 def _fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
@@ -104,6 +126,29 @@ def test_links_against_brute_force(spark):
     assert (simhash.stars(a, b, len(v)) == want).all()
 
 
+@pytest.mark.parametrize("shingle, most", [(3, 2), (5, 4)])
+def test_components_against_brute_force(spark, tmp_path, shingle, most):
+    r = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(500)]
+    texts = [None, "", " "]
+    for _ in range(30):
+        w = list(r.choice(vocabulary, r.integers(60, 400)))
+        texts.append(" ".join(w))
+        for _ in range(r.integers(0, 6)):
+            w[r.integers(0, len(w))] = str(r.choice(vocabulary))
+            texts.append(" ".join(w))
+    ids = r.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    v = np.array([simhash.fingerprint(t, shingle) for t in texts], np.int64).view(np.uint64)
+    root = simhash.stars(*np.nonzero(np.bitwise_count(v[:, None] ^ v[None]) <= most), len(v))
+    least = {k: min(i for i, x in zip(ids, root) if x == k) for k in set(root.tolist())}
+    want = {i: least[x] for i, x in zip(ids, root.tolist())}
+    got = simhash.near_duplicates(docs, shingle=shingle, most=most).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want and len(set(want.values())) < len(want)
+    kept = simhash.keep_one(docs, shingle=shingle, most=most).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(want.values()))
+
+
 def test_near_duplicates_keep_one(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = simhash.keep_one(docs)
@@ -425,9 +470,72 @@ def test_windows_cover():
         assert covered == set(range(n))
 
 
-def test_pipeline(spark, folder):
+def test_toxicity_scores_window_by_window():
+    model = toxicity.Model(toxicity.initial(), 0.3, 1.5, 0.2)
+    r = np.random.default_rng(6)
+    texts = [None, "", " ", *(" ".join(f"word{k}" for k in r.integers(0, 50, n)) for n in (1, 63, 64, 65, 113, 700))]
+    got = toxicity.score_texts(model, toxicity.Words(model.p), texts)
+    for t, x in zip(texts, got):
+        w, z = toxicity.tokens(t), []
+        for b in toxicity.windows(len(w)):
+            own = w[b : b + toxicity.WINDOW]
+            there = np.arange(toxicity.WINDOW)[None] < len(own)
+            v = toxicity.vectors(model.p, toxicity.features(own or ["x"]))
+            z.append(toxicity.forward(model.p, [v @ model.p[f"w{d}"] + model.p[f"b{d}"] for d in range(2)], np.minimum(np.arange(toxicity.WINDOW), max(len(own) - 1, 0))[None], there)[0])
+        assert x == pytest.approx(1 / (1 + np.exp(-(1.5 * max(z) + 0.2))), abs=1e-5)
+
+
+def test_toxicity_of_one_class(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    for y in (0, 1):
+        model = toxicity.train(docs, docs.select("doc_id", F.lit(y).alias("toxic")))
+        assert {(r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()} == {(float(y), y)}
+
+
+def test_pipeline(spark, folder, empty):
     import corpus_pipeline
 
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r["n_tokens"] > 0 for r in rows)
-    assert os.path.isdir(folder)
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_pipeline_stage_by_stage(spark, folder):
+    """Each stage against a plain version of it on its own input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(9)
+    words = "the of and to in house river people walk under bridge green old stone light morning water city small great time year day man world life hand part".split()
+    lines = [" ".join(r.choice(words, r.integers(3, 30))) for _ in range(60)]
+    texts = ["\n".join(lines[k] for k in r.integers(0, 60, 4)) for _ in range(40)] + ["12 34", "", None]
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], len(t or ""), "x", "y", "z", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _gone string, lang_pred string, _h string, n_lines int")
+    functions, out = dict(corpus_pipeline.STAGES), [docs]
+    for name in list(functions)[:-1]:
+        out.append(spark.createDataFrame(functions[name](spark, out[-1], folder).collect(), docs.schema))
+        assert out[-1].columns == docs.columns
+    got = [sorted(x.collect(), key=lambda x: x["doc_id"]) for x in out]
+    assert [x["doc_id"] for x in got[1]] == list(range(40)) and [x["text"] for x in got[1]] == texts[:40]
+    by_hand = _lines_by_hand([x["text"] for x in got[1]])
+    digest = {x["doc_id"]: hashlib.sha256(x["text"].encode()).hexdigest() for x in got[2]}
+    assert all(digest.get(x["doc_id"], hashlib.sha256(b"").hexdigest()) == h for x, h in zip(got[1], by_hand))
+    assert all(x["n_chars"] == len(x["text"]) for x in got[2]) and all((x["_gone"], x["lang_pred"], x["n_lines"]) == ("x", "y", 1) for x in got[4])
+    v = np.array([simhash.fingerprint(x["text"], corpus_pipeline.SHINGLE) for x in got[2]], np.int64).view(np.uint64)
+    root = simhash.stars(*np.nonzero(np.bitwise_count(v[:, None] ^ v[None]) <= corpus_pipeline.DISTANCE), len(v))
+    assert [x["doc_id"] for x in got[3]] == [got[2][i]["doc_id"] for i in sorted(set(root.tolist()))]
+    taken = {x["doc_id"]: x["taken"] for x in mixing.mix_counts(out[3]).collect() if x["taken"]}
+    mixed = Counter()
+    for x in got[4]:
+        mixed[x["doc_id"]] += len(x["text"].split())
+    assert mixed == taken
+    library = Tokenizer.from_file(bpe.vocabulary())
+    ids = lambda t: hashlib.sha256(",".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()
+    assert Counter((x["doc_id"], x["ids_sha256"]) for x in functions["bpe"](spark, out[4], folder).collect()) == Counter((x["doc_id"], ids(x["text"])) for x in got[4])
+
+
+def test_clashing_columns(spark):
+    names = ["_w", "_n", "_h", "_c", "_s", "_p", "_l", "n_words"]
+    docs = spark.createDataFrame([(1, BASE, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    row = quality.quality_rules(docs).first()
+    assert [row[n] for n in names[:-1]] == names[:-1] and row["n_words"] == len(BASE.split())
