@@ -59,7 +59,7 @@ class Table:
 
     @staticmethod
     def of(codes: np.ndarray) -> Table:
-        size = 1 << max(4, (4 * len(codes)).bit_length())
+        size = 1 << max(4, (2 * len(codes)).bit_length())
         keys, numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         todo, step = np.arange(len(codes)), 0
         while len(todo):
@@ -144,6 +144,13 @@ def _count(batches):
                 yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n.astype(np.int64)})
 
 
+def _packed(batches):
+    """Many counts in one row, as the driver takes them with little memory."""
+    for pdf in batches:
+        for lang, own in pdf.groupby("lang"):
+            yield pd.DataFrame({"lang": [lang], "codes": [own["code"].to_numpy(np.int64).tobytes()], "n": [own["n"].to_numpy(np.int64).tobytes()]})
+
+
 def _tree(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
     """One language: for each order its strings (sorted) with their code lengths, and its contexts (sorted) with their escapes."""
     strings, contexts = [], []
@@ -200,10 +207,18 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_language / n))))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
     sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
-    counted = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    by = {lang: own.sort_values("code") for lang, own in counted.groupby("lang")}
-    languages = sorted(by, key=str.encode)
-    return build(languages, [(by[x]["code"].to_numpy(np.int64).astype(np.uint64), by[x]["n"].to_numpy(float)) for x in languages]) if languages else Model([], [], [], [])
+    counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in counts.mapInPandas(_packed, "lang string, codes binary, n binary").collect():
+        found.setdefault(r["lang"], []).append((np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["n"], np.int64)))
+    languages = sorted(found, key=str.encode)
+    # In one order, whatever the partitions.
+    counted = []
+    for lang in languages:
+        codes, n = (np.concatenate(x) for x in zip(*found.pop(lang)))
+        order = np.argsort(codes)
+        counted.append((codes[order], n[order].astype(float)))
+    return build(languages, counted) if languages else Model([], [], [], [])
 
 
 def byte_costs(model: Model, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
