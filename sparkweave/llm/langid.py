@@ -18,9 +18,9 @@ other columns stay as they are, and input columns named lang_pred or score are
 replaced.
 """
 
-from __future__ import annotations
-
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +58,7 @@ class Table:
     numbers: np.ndarray  # int32, slots; -1 where free
 
     @staticmethod
-    def of(codes: np.ndarray) -> Table:
+    def of(codes: np.ndarray) -> "Table":
         size = 1 << max(4, (2 * len(codes)).bit_length())
         keys, numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         todo, step = np.arange(len(codes)), 0
@@ -144,13 +144,6 @@ def _count(batches):
                 yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def _packed(batches):
-    """Many counts in one row, as the driver takes them with little memory."""
-    for pdf in batches:
-        for lang, own in pdf.groupby("lang"):
-            yield pd.DataFrame({"lang": [lang], "codes": [own["code"].to_numpy(np.int64).tobytes()], "n": [own["n"].to_numpy(np.int64).tobytes()]})
-
-
 def _tree(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
     """One language: for each order its strings (sorted) with their code lengths, and its contexts (sorted) with their escapes."""
     strings, contexts = [], []
@@ -198,27 +191,42 @@ def build(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) ->
     return Model(languages, tables, [np.concatenate((x, zero)) for x in bits], [escapes[0], *(np.concatenate((x, zero)) for x in escapes[1:])])
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """docs: doc_id, text, lang of the rows to learn from; null and empty texts and null languages are passed over."""
-    known = docs.filter((F.col("text") != "") & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], [], [], [])
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_language / n))))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
-    sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+def _built(batches):
+    """One row with the model of all counts, so that the driver holds nothing but its bytes. The counts are as many as the sample gives, whatever the table."""
     found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in counts.mapInPandas(_packed, "lang string, codes binary, n binary").collect():
-        found.setdefault(r["lang"], []).append((np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["n"], np.int64)))
+    for pdf in batches:
+        for lang, own in pdf.groupby("lang"):
+            found.setdefault(lang, []).append((own["code"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(float)))
     languages = sorted(found, key=str.encode)
     # In one order, whatever the partitions.
     counted = []
     for lang in languages:
         codes, n = (np.concatenate(x) for x in zip(*found.pop(lang)))
         order = np.argsort(codes)
-        counted.append((codes[order], n[order].astype(float)))
-    return build(languages, counted) if languages else Model([], [], [], [])
+        counted.append((codes[order], n[order]))
+    yield pd.DataFrame({"model": [pickle.dumps(build(languages, counted) if languages else NOTHING)]})
+
+
+NOTHING = Model([], [], [], [])
+
+
+def train_packed(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> bytes:
+    """docs: doc_id, text, lang of the rows to learn from; null and empty texts and null languages are passed over. Returns the model as identify() takes it."""
+    known = docs.filter((F.col("text") != "") & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return pickle.dumps(NOTHING)
+    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_language / n))))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
+    sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
+    counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    found = counts.repartition(1).mapInPandas(_built, "model binary").collect()
+    return bytes(found[0]["model"]) if found else pickle.dumps(NOTHING)
+
+
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+    """As train_packed(), unpacked."""
+    return pickle.loads(train_packed(docs, docs_per_language))
 
 
 def byte_costs(model: Model, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -260,14 +268,16 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model | bytes, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score. The model may be packed."""
+    sent = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))
     (own,) = unused(docs, "scored")
 
     @F.pandas_udf("lang_pred string, score double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict(sent.value, list(texts)), columns=["lang_pred", "score"])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = pickle.loads(sent.value)
+        for texts in batches:
+            yield pd.DataFrame(predict(known, list(texts)), columns=["lang_pred", "score"])
 
     return docs.withColumn(own, scored(F.col(text))).withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)
 
@@ -278,5 +288,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
+    model = train_packed(docs.filter(F.col("doc_id").isNotNull() & ~held_out()))
     return identify(docs.withColumn("held_out", held_out()), model).select("doc_id", "held_out", "lang_pred", "score")
