@@ -117,32 +117,51 @@ def _prefix(n: Column) -> Column:
     return (n - F.floor((n * num + den - 1) / den) + 1).cast("int")
 
 
+def _far(a: str, b: str) -> Column:
+    """How many bits of the parities differ."""
+    return F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+
+
 def _near(a: str, b: str) -> Column:
     """The filters for postings of one word; the first word that similar lines share passes them."""
     num, den = SIMILAR
     n, m, p, q = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
     # shared / (n + m - shared) >= num / den; what is in one line only is n + m - 2 * shared.
     enough = (num + den) * F.least(n - p, m - q) >= num * (n + m)
-    far = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * far <= (den - num) * (n + m))
+    return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= (den - num) * (n + m))
+
 
+def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[str]) -> DataFrame:
+    """Of the pairs x, y (far: bits that differ) whose words are similar enough, the id of the later line (distinct).
 
-def verified(lines: DataFrame, pairs: DataFrame, kept: list[str]) -> DataFrame:
-    """Of the pairs x, y whose words are similar enough, the id of the later line (distinct). Only lines whose slot some pair marks are read into the joins."""
+    A line is first compared with the nearest of the earlier ones; only if that is
+    not similar enough is it compared with all others, so that a group of similar
+    lines does not move all its texts together. Only lines whose slot some pair marks
+    are read into the joins.
+    """
     num, den = SIMILAR
     made: list[str] = []
-    pairs = cut(pairs, "pairs", made)
-    slot = _slot(F.col("id"))
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    marks = slot_marks(lines.sparkSession, asked.select(slot.alias("slot")).distinct())
-    read = lines.filter(_marked(marks, slot)).join(asked, "id", "left_semi")
-    read = cut(read.select("id", "at", _word_set(F.col("line")).alias("w")), "asked", made)
-    one, two = (read.select(F.col("id").alias(k), F.col("w").alias(f"w_{k}"), F.col("at").alias(f"at_{k}")) for k in "xy")
-    both = pairs.join(one, "x").join(two, "y")
-    similar = both.filter((num + den) * F.size(F.array_intersect("w_x", "w_y")) >= num * (F.size("w_x") + F.size("w_y")))
-    found = cut(similar.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "matched", kept)
+    x, y = (index.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}")) for k in "xy")
+    later = F.col("at_x") > F.col("at_y")
+    placed = pairs.join(x, "x").join(y, "y")
+    ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "pairs", made)
+
+    def similar(some: DataFrame) -> DataFrame:
+        slot = _slot(F.col("id"))
+        asked = some.select(F.explode(F.array("late", "early")).alias("id")).distinct()
+        marks = slot_marks(lines.sparkSession, asked.select(slot.alias("slot")).distinct())
+        read = cut(lines.filter(_marked(marks, slot)).join(asked, "id", "left_semi").select("id", "line"), "asked", made)
+        one, two = (read.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("late", "early"))
+        both = some.select("late", "early").join(one, "late").join(two, "early").select("late", _word_set(F.col("line_late")).alias("v"), _word_set(F.col("line_early")).alias("w"))
+        enough = both.filter((num + den) * F.size(F.array_intersect("v", "w")) >= num * (F.size("v") + F.size("w")))
+        return cut(enough.select(F.col("late").alias("id")).distinct(), "matched", kept)
+
+    nearest = cut(ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early"), "nearest", made)
+    first = similar(nearest)
+    others = cut(ordered.join(first, F.col("late") == F.col("id"), "left_anti").join(nearest, ["late", "early"], "left_anti").select("late", "early"), "others", made)
+    second = similar(others)
     discard(lines.sparkSession, made)
-    return found
+    return first.unionByName(second).distinct()
 
 
 def _with_first(index: DataFrame, least: int) -> DataFrame:
@@ -150,7 +169,7 @@ def _with_first(index: DataFrame, least: int) -> DataFrame:
     often = index.filter(F.element_at("prefix", -1) >= least).select("id", "at", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
     firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("tok", "f.id", "f.n", "f.pos", "f.parity")
     met = often.alias("a").join(firsts.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
-    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).distinct()
 
 
 def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
@@ -160,12 +179,13 @@ def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     every = index.filter(~heavy).select("id", "n", "parity", "prefix").unionByName(asks)
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
     postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok"))
-    postings = postings.select("id", "n", "parity", "pos", "tok", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))).alias("class"))
-    # Put in terms of both sides, as a filter of one side alone would make two exchanges of one.
-    own = F.col("b.class").isin(-9) | (F.col("b.class") == F.floor(F.log(F.col("a.n")) / F.log(F.lit(CLASS))).cast("int"))
+    postings = postings.withColumn("class", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))))
+    postings = postings.withColumn("own", F.col("class").isin(-9) | (F.col("class") == size))
+    # No line has less than no words: said of both sides, as a filter of one side alone would make two exchanges of one.
+    own = F.col("a.own") | (F.col("b.n") < 0)
     met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & own & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
     y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
-    return met.select(F.col("a.id").alias("x"), y.alias("y")).distinct()
+    return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
 def staying_lines(docs: DataFrame) -> DataFrame:
@@ -175,8 +195,8 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     table = rarity(lines)
     index = index_lines(lines, table, made)
     least = frequent(table)
-    first = verified(lines, _with_first(index, least), made)
-    second = verified(lines, _with_all(index, first, least), made)
+    first = verified(lines, index, _with_first(index, least), made)
+    second = verified(lines, index, _with_all(index, first, least), made)
     left = index.select("id", "at").join(first.unionByName(second), "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
     discard(docs.sparkSession, made)
