@@ -22,6 +22,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -96,10 +97,15 @@ def _slot(codes: np.ndarray, size: int, step: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    tables: list[Table]  # of the strings of 1, 2, ... ORDER + 1 bytes: a context and its symbol
+    codes: list[np.ndarray]  # the strings of 1, 2, ... ORDER + 1 bytes: a context and its symbol
     bits: list[np.ndarray]  # for each of them the code length of its last byte, (strings + 1) x languages
     escapes: list[np.ndarray]  # for each context of 0, 1, ... ORDER bytes the cost of the escape; those of 1 byte and more are numbered as strings, with a last row of zeros
 
+    @cached_property
+    def tables(self) -> list[Table]:
+        """Made where they are used, so that they are not sent."""
+        return [Table.of(x) for x in self.codes]
+
 
 def _codes(b: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """The `size` bytes up to and with each place in ends, as numbers."""
@@ -169,7 +175,7 @@ def _tree(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray,
 def build(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     """counted: for each language the strings of ORDER + 1 bytes, as numbers, and how often each occurs."""
     trees = [_tree(*c) for c in counted]
-    tables, bits, escapes, every = [], [], [], []
+    bits, escapes, every = [], [], []
     for k in range(ORDER + 1):
         # What stands before texts is a context, and so a string, in any case.
         codes = np.unique(np.concatenate([_codes(np.frombuffer(PAD + b"\n", np.uint8), np.array([ORDER]), k + 1), *(strings[k][0] for strings, _ in trees)]))
@@ -185,10 +191,9 @@ def build(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) ->
         every.append(codes)
         bits.append(full)
         escapes.append(own)
-        tables.append(Table.of(codes))
     # A row of zeros at the end is what the number -1 of a missing string gives.
     zero = np.zeros((1, len(languages)), np.float32)
-    return Model(languages, tables, [np.concatenate((x, zero)) for x in bits], [escapes[0], *(np.concatenate((x, zero)) for x in escapes[1:])])
+    return Model(languages, every, [np.concatenate((x, zero)) for x in bits], [escapes[0], *(np.concatenate((x, zero)) for x in escapes[1:])])
 
 
 def _built(batches):
@@ -210,7 +215,7 @@ def _built(batches):
 NOTHING = Model([], [], [], [])
 
 
-def train_packed(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> bytes:
+def train_packed(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> bytes | bytearray:
     """docs: doc_id, text, lang of the rows to learn from; null and empty texts and null languages are passed over. Returns the model as identify() takes it."""
     known = docs.filter((F.col("text") != "") & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -221,7 +226,7 @@ def train_packed(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) ->
     sample = known.filter(place < share[F.col("lang")]).select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.repartition(1).mapInPandas(_built, "model binary").collect()
-    return bytes(found[0]["model"]) if found else pickle.dumps(NOTHING)
+    return found[0]["model"] if found else pickle.dumps(NOTHING)
 
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -268,9 +273,9 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def identify(docs: DataFrame, model: Model | bytes, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | bytes | bytearray, text: str = "text") -> DataFrame:
     """Adds lang_pred and score. The model may be packed."""
-    sent = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model) if isinstance(model, Model) else model)
     (own,) = unused(docs, "scored")
 
     @F.pandas_udf("lang_pred string, score double")
