@@ -94,3 +94,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def words(text: Column) -> Column:
     """The words of a text that is not null, in order."""
     return F.array_remove(F.split(text, WS), "")
+
+
+def term_table(digits: bool) -> bytes:
+    """For bytes.translate(): A-Z become small, the bytes of terms stay (letters of ASCII, digits if wanted, and all of other characters), all others become spaces."""
+    stay = lambda b: b > 127 or chr(b).islower() or digits and chr(b).isdigit()
+    return bytes(b if stay(b) else b + 32 if chr(b).isupper() and b < 128 else 32 for b in range(256))
+
+
+def terms(text: str | None, table: bytes) -> list[bytes]:
+    """The terms of a text, in order, by a table of term_table()."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(table).split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, licenses, line_dedup, minhash, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL = {
