@@ -98,20 +98,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(shingle: int):
-    """doc, th, n, digest of the set, keys (a hash of the first values in each order), and low, a byte of each value."""
+    """n, digest of the set, keys (a hash of the first values in each order), and low, a byte of each value."""
 
-    def run(batches):
-        for pdf in batches:
-            sets = [shingle_set(x, shingle) for x in pdf["text"]]
-            full = [i for i, x in enumerate(sets) if len(x)]
-            digest, keys, low = ([None] * len(sets) for _ in range(3))
-            for i, row in zip(full, signatures([sets[i] for i in full])):
-                digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                keys[i] = [xxhash.xxh3_64_intdigest(row[VALUES * t : VALUES * t + DEPTH].tobytes(), t) - (1 << 63) for t in range(TREES)]
-                low[i] = row.astype(np.uint8).tobytes()
-            yield pd.DataFrame({"doc": pdf["doc"], "th": pdf["th"], "n": [len(x) for x in sets], "digest": digest, "keys": keys, "low": low})
+    @F.pandas_udf("n long, digest binary, keys array<long>, low binary")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x, shingle) for x in texts]
+        full = [i for i, x in enumerate(sets) if len(x)]
+        digest, keys, low = ([None] * len(sets) for _ in range(3))
+        for i, row in zip(full, signatures([sets[i] for i in full])):
+            digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+            keys[i] = [xxhash.xxh3_64_intdigest(row[VALUES * t : VALUES * t + DEPTH].tobytes(), t) - (1 << 63) for t in range(TREES)]
+            low[i] = row.astype(np.uint8).tobytes()
+        return pd.DataFrame({"n": [len(x) for x in sets], "digest": digest, "keys": keys, "low": low})
 
-    return run
+    return marks
 
 
 def _neighbours(inner: bool):
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     made: list[str] = []
     own = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
-    marked = cut(own.select("doc", "th", "text").mapInPandas(_marks(shingle), f"doc {docs.schema[doc_id].dataType.simpleString()}, th long, n long, digest binary, keys array<long>, low binary"), "marked")
+    marked = cut(own.select("doc", "th", _marks(shingle)("text").alias("m")).select("doc", "th", "m.*"), "marked")
     place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th")
     sets = marked.filter("n > 0").groupBy("digest").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys"), F.any_value("low").alias("low"))
     sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "at", "keys", "low"), "sets", made)

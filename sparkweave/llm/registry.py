@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, licenses, line_dedup, minhash, mixing, quality, secrets, simhash, toxicity
+from . import bpe, divergence, exact_dedup, langid, licenses, line_dedup, minhash, mixing, quality, search, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_search": search.op11_search,
+    "op12_divergence": divergence.op12_divergence,
     "op13_minhash": minhash.op13_minhash,
 }
 
@@ -22,4 +24,6 @@ SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_secret_scan": secrets.SQL,
+    "op11_search": search.SQL,
+    "op12_divergence": divergence.SQL,
 }
