@@ -30,3 +30,21 @@ def is_blank(text: Column) -> Column:
 def json_object(**fields: Column) -> Column:
     """A JSON object; null fields are written as null."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
+
+
+#: The characters of an address before the at sign, and of a domain's label, in the HTML grammar of e-mail addresses.
+LOCAL, LABEL = r"[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+", r"[a-zA-Z0-9-]+"
+#: The longest label.
+LONGEST = 63
+
+
+def is_email(text: Column) -> Column:
+    """Whether the whole string is an e-mail address by the HTML grammar, which is of ASCII only; null gives null.
+
+    Labels are looked at one by one, so that no pattern nests repeats and long strings take time in proportion to
+    their length.
+    """
+    at = F.instr(text, "@")
+    domain = F.split(F.substring(text, at + 1, F.length(text)), r"\.")
+    good = F.forall(domain, lambda x: (F.length(x) <= LONGEST) & x.rlike(rf"\A{LABEL}\z") & ~x.startswith("-") & ~x.endswith("-"))
+    return F.when(text.isNull(), None).otherwise((at > 1) & F.substring(text, F.lit(1), at - 1).rlike(rf"\A{LOCAL}\z") & good)

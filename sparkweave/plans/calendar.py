@@ -37,7 +37,7 @@ def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _padded(name: str):
     """The column with white space around it, of a kind that plain trim() would leave."""
-    return F.concat(F.lit(" \t"), F.col(name), F.lit(" \n"))
+    return F.concat(F.lit("\u00a0 \t\ufeff"), F.col(name), F.lit("\u2028 \n\u3000"))
 
 
 def customer_trim(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,20 +3,24 @@ import os
 import duckdb
 import pytest
 
-from sparkweave.plans import calendar
+from sparkweave.plans import addresses, calendar, events
+
+QUERIES = calendar.QUERIES | events.QUERIES | addresses.QUERIES
+SQL = calendar.SQL | events.SQL | addresses.SQL
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(calendar.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    ours = calendar.QUERIES[name](spark, SF)
-    theirs = con.sql(calendar.SQL[name])
+    ours = QUERIES[name](spark, SF)
+    theirs = con.sql(SQL[name])
     assert ours.columns == theirs.columns
-    assert sorted(map(tuple, ours.collect())) == sorted(theirs.fetchall())
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, ours.collect()), key=key) == sorted(theirs.fetchall(), key=key)
 
 
 def test_entry(spark):
