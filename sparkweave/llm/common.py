@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import WRITING, cut, discard, scratch, settings, shared_dir  # noqa: F401
+
 #: White space in all operators: space and the ASCII controls 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -18,42 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where no setting names one and all is one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings for a while."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-#: While tables are written: shuffle files go at once, and plans' texts, which may hold lookup tables, are kept short.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "10000"}
-
-
 def plain_words(text: Column) -> Column:
     """The words of a text, and empty strings between: as words(), but split at single characters, which needs no pattern."""
     plain = text
@@ -63,23 +25,6 @@ def plain_words(text: Column) -> Column:
     return F.split(F.when(text.rlike(r"[\x09-\x0D]"), plain).otherwise(text), " ")
 
 
-def cut(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that later steps do not repeat it and lost executors cost nothing. The path is added to `made`."""
-    path = scratch(df.sparkSession, name)
-    if made is not None:
-        made.append(path)
-    with settings(df.sparkSession, WRITING):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, made: list[str]) -> None:
-    """Deletes tables of cut() that nothing reads again: whatever came from them has itself been written."""
-    for path in made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each changed until df has no column of that name."""
     taken, out = {c.lower() for c in df.columns}, []
