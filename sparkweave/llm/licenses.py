@@ -1,30 +1,36 @@
 """Operator 7, licence scans by a trained paragraph classifier.
 
-Paragraphs are parts of a text between lines without letters and digits, wrapped
-lines joined. A paragraph is cut into pieces, its lines and the sentences in them,
-and its runs are its lines and each 1, 2, 4 and more pieces, up to the whole, that
-begin in the middle of the run before, so that neither a wrap nor other prose around
-hides a notice. A run is broken into words and pairs of words; a multinomial logistic regression with
-sparse weights gives each family, and the class of all else, a probability. Its
-temperature is calibrated on held-out examples. A family is found if its probability
-is SURE or more and if the run has COVERED or more of the word pairs of one of the
-family's templates; paragraphs without such a family count as unknown. Of the runs
-that have so many pairs of a template, its lines, the shortest ones and those twice
-as long are scored.
-
-A paragraph with so many pairs of a template has at least one of the template's
-rarest ones, and at least one of its key words: as many as leave too few pairs
-without them. Only texts with a key word are cut into paragraphs that are looked
-at, and only paragraphs with a rarest pair reach the joins; the others cannot be
-confirmed, whatever their score.
-
-It is trained on the templates below, on the licences' own paragraphs, on other
-lines with the same words, and on at most NEGATIVES distinct lines from anywhere in
-the texts that name no licence, chosen by a hash.
+Paragraphs are parts of a text between lines without letters and digits. A family of
+licences is found in a paragraph in two ways, and both need the classifier: for
+each family a logistic regression with sparse weights over words and pairs of words. Its
+temperature and the least probability are calibrated on held-out rows; what has no family
+above that is of the unknown class. A template comparison confirms what the classifier has found.
+
+Notices: the lines of a paragraph, and the sentences of its lines joined, without marks of
+comments. Each that names a family is scored, and the family is confirmed if its
+probability is high enough and the name is that of the family (NAMED). So a notice of a
+licence without a family, or of a name in another sense, is unknown, and one line
+may state several families.
+
+Passages: the licences' own paragraphs. A paragraph is cut into pieces, its lines and
+the sentences in them, and its runs are its lines and each 1, 2, 4 and more pieces, up to
+the whole, that begin in the middle of the run before, so that neither a wrap nor
+other prose around hides a passage. A run is scored and may be confirmed if it has COVERED
+or more of the word pairs of one of the family's passages, and the family's name if the
+passage has it. Of such runs the lines, the shortest ones and those twice as
+long are scored. A run with so many pairs of a passage has at least one of the passage's rarest
+ones, and at least one of its key words: as many as leave too few pairs without
+them.
+
+Texts without a key word and without any of HINTS are not looked at, since nothing in
+them can be confirmed, whatever its score.
+
+It is trained on notices made from names and frames (license_notices), on passages, on
+lines with the same words that state no licence or another one, and on at most NEGATIVES
+distinct lines from anywhere in the texts that name no licence, chosen by a hash.
 
 Texts of any length are scanned whole. Null and empty texts have no paragraphs. There is one result row for each input
-row, repeated rows and ids included; an empty table gives an empty result. Of
-equal probabilities the first family in the table counts. Other columns are not
+row, repeated rows and ids included; an empty table gives an empty result. Other columns are not
 touched.
 """
 
@@ -34,86 +40,31 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
+from .license_notices import ALONE, CONTEXTS, DUAL, FRAMES, HINT_PATTERNS, HINTS, NAMED, NAMES, OTHER, OTHER_NAMES, SENSES
 from .license_texts import PASSAGES
 from .quality import STOP_WORDS
 
 #: Lines with these are no examples of the class of all else.
-ANCHORS = r"licen[cs]e|copyright|rights reserved|public domain|creative commons|\bgpl|\bcc[ -]by"
-UNKNOWN = "unknown"
-SURE = 0.5
+ANCHORS = "|".join(map(re.escape, (*HINTS, "copyright")))
+FAMILIES = list(NAMED)
 COVERED = 0.5
 NEGATIVES = 400
+#: Of all pairs of a name and a frame one in so many is trained on, and one in HELD_OUT of these is held out for calibration.
+THINNED, HELD_OUT = 3, 4
 
-#: Short notices of each family, in our own or in common words.
-TEMPLATES = {
-    "mit": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This project is available under the MIT license; see the license file.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under this license and copyright notice.",
-    ),
-    "apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Released under the Apache License 2.0.",
-        "You may not use this file except in compliance with the Apache License, Version 2.0.",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Released under the GNU GPL, version 2 or later; see the license.",
-        "This program is free software under the terms of the GNU General Public License.",
-        "Licensed under the GNU Lesser General Public License.",
-    ),
-    "bsd": (
-        "Released under the BSD License.",
-        "Licensed under the 3-clause BSD license.",
-        "Redistribution and use in source and binary forms are permitted if the copyright notice is retained.",
-    ),
-    "mozilla": (
-        "This source code is subject to the terms of the Mozilla Public License, version 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-    ),
-    "creative_commons": (
-        "Licensed under CC BY 4.0.",
-        "Licensed under CC BY-NC 4.0.",
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "public_domain": (
-        "This work is in the public domain.",
-        "Released into the public domain under CC0; no copyright is claimed.",
-    ),
-    "all_rights_reserved": (
-        "All rights reserved.",
-        "Copyright the author. All rights reserved.",
-    ),
-}
-#: Lines with the same words that state no licence.
-OTHER = (
-    "He lost his driving license on the way home.",
-    "The license plate of the car was hard to read.",
-    "She applied for a fishing licence at the office.",
-    "Poets take license with the facts.",
-    "The new law on copyright was debated for a year.",
-    "A licensed electrician must do this work.",
-    "The case was about copyright and fair use.",
-    "They met in a public domain of the old city, under a work of stone.",
-    "The town renewed the license of the public house, version after version.",
-    "Under the general terms the work is done in two years.",
-    "All rights of the citizens were restored by the new law.",
-    "The permission was granted free of charge to any person of the town.",
-    "The software is provided by the school, and the copy is kept in the office.",
-    "You may obtain a copy of the book at the office of the author.",
-    "The following conditions are met by the new house.",
-)
 #: Gap between paragraphs, and ends of sentences.
 BLANK = r"\n[^\p{L}\p{N}\n]*\n"
 SENTENCE = r"(?<=[.!?;:])\s+"
+#: Ends of sentences in notices, and what stands before the words of a line of comments.
+STOP = r"(?<=[.!?])\s+"
+LEAD = r"(?m)^[\s#*/;>%-]+"
 LONG = 24
 #: The level of runs that are a line.
 LINE = -1
@@ -132,9 +83,23 @@ def _pairs(line: str) -> list[str]:
     return [g for g in grams(line) if " " in g]
 
 
+def plain(line: str) -> str:
+    """The words with one space between and around them."""
+    return f" {' '.join(tokens(line))} "
+
+
 def templates() -> list[tuple[str, str]]:
-    """Family and text: the short notices and the licences' own paragraphs."""
-    return [(family, t) for family in TEMPLATES for t in (*TEMPLATES[family], *PASSAGES.get(family, ()))]
+    """Family and text of the passages, and of notices without a name, which are found as passages are."""
+    return [(family, t) for family in FAMILIES for t in (*PASSAGES.get(family, ()), *ALONE.get(family, ())) if t in PASSAGES.get(family, ()) or not re.search(NAMED[family], plain(t))]
+
+
+def notices() -> list[tuple[str, set[str]]]:
+    """Lines and the families that they state: every THINNED-th pair of a frame and a name, and what stands alone."""
+    named = [(n, {family}) for family, own in NAMES.items() for n in own] + [(n, set()) for n in OTHER_NAMES]
+    rows = [(frame.format(n), own) for i, (n, own) in enumerate(named) for j, frame in enumerate(FRAMES) if (i + j) % THINNED == 0]
+    rows += [(frame.format(n, m), own | more) for i, (n, own) in enumerate(named) for j, frame in enumerate(DUAL) for k in range(3) for m, more in (named[(7 * i + 11 * j + 17 * k + 5) % len(named)],) if n != m]
+    rows += [(t, {family}) for family, own in ALONE.items() for t in own for t in (t, "The author says: " + t)]
+    return rows + [(t, set()) for t in OTHER] + [(t.format(n), set()) for t in CONTEXTS for n in SENSES]
 
 
 def rare_pairs() -> list[str]:
@@ -157,51 +122,74 @@ def key_words() -> list[str]:
     return sorted(keys)
 
 
-def _examples(t: str) -> list[str]:
-    """A template alone, in other words, and, if it is long, each half of it."""
-    w = t.split()
-    halves = (" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])) if len(w) >= LONG else ()
-    return [t, "The author says: " + t, *halves]
+def _passage_rows() -> list[tuple[str, set[str]]]:
+    """The passages alone, in other words, and, if they are long, each half of them."""
+    out = []
+    for family, t in templates():
+        w = t.split()
+        halves = (" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])) if len(w) >= LONG else ()
+        out += [(x, {family}) for x in (t, "The author says: " + t, *halves)]
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    classes: list[str]
     features: list[str]
-    weights: np.ndarray  # features + 1 (the last for the constant) x classes
+    weights: np.ndarray  # features + 1 (the last for the constant) x FAMILIES
     temperature: float
+    sure: float
+
+    def probabilities(self, line: str) -> dict[str, float]:
+        """Of one line, for tests and for a look at it."""
+        place = {g: i for i, g in enumerate(self.features)}
+        known = [place[g] for g in grams(line) if g in place]
+        z = self.weights[known].sum(0) / np.sqrt(max(1, len(known))) + self.weights[-1]
+        return dict(zip(FAMILIES, (1 / (1 + np.exp(-z / self.temperature))).tolist()))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(negatives: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> Model:
-    """Full-gradient descent; every fourth template and negative is held out for the temperature, then all are used."""
-    classes = [*TEMPLATES, UNKNOWN]
-    number = {family: k for k, family in enumerate(TEMPLATES)}
-    rows = [(grams(x), number[family]) for family, t in templates() for x in _examples(t)]
-    rows += [(grams(x), len(TEMPLATES)) for x in (*OTHER, *negatives)]
-    features = sorted({g for own, k in rows[: -len(negatives) or None] for g in own})
-    place = {g: i for i, g in enumerate(features)}
-    x, y = np.zeros((len(rows), len(features) + 1)), np.eye(len(classes))[[k for _, k in rows]]
-    for i, (own, _) in enumerate(rows):
-        x[i, [place[g] for g in own if g in place]] = 1 / np.sqrt(len(own) or 1)
+def _matrix(rows: list[tuple[str, set[str]]], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.zeros((len(rows), len(place) + 1), np.float32), np.zeros((len(rows), len(FAMILIES)), np.float32)
+    for i, (line, own) in enumerate(rows):
+        known = [place[g] for g in grams(line) if g in place]
+        x[i, known] = 1 / np.sqrt(max(1, len(known)))
         x[i, -1] = 1
-    share = 1 / y.sum(0)[y.argmax(1)]
-    share /= share.sum()
+        y[i, [FAMILIES.index(f) for f in own]] = 1
+    return x, y
+
+
+def fit(negatives: list[str], rounds: int = 200, rate: float = 8.0, decay: float = 2e-5, most: float = 0.98) -> Model:
+    """Full-gradient descent with momentum; of the rows every HELD_OUT-th is held out for calibration: for the temperature, and for the least probability at which the held-out share of right families is `most`. Then all are used."""
+    rows = notices() + _passage_rows() + [(x, set()) for x in negatives]
+    features = sorted({g for line, own in rows[: len(rows) - len(negatives)] for g in grams(line)})
+    x, y = _matrix(rows, {g: i for i, g in enumerate(features)})
+    # Rows of a family, others that name it and all others count alike.
+    hard = np.array([[bool(re.search(NAMED[f], plain(line))) for f in FAMILIES] for line, _ in rows], np.float32) * (1 - y)
+    share = sum(k / np.maximum(1, k.sum(0)) for k in (y, hard, 1 - y - hard))
 
     def descend(on):
-        w = np.zeros((x.shape[1], len(classes)))
+        w, v = np.zeros((2, x.shape[1], y.shape[1]), np.float32)
+        own, want, part = x[on], y[on], share[on]
         for _ in range(rounds):
-            w -= rate * (x[on].T @ ((_softmax(x[on] @ w) - y[on]) * share[on, None]) * 10 + decay * w)
+            v = 0.9 * v - rate * 0.1 * (own.T @ ((_sigmoid(own @ w) - want) * part) + decay * w)
+            w = w + v
         return w
 
-    held = np.arange(len(rows)) % 4 == 3
-    z = x[held] @ descend(~held)
-    loss = lambda t: -(np.log(np.maximum((_softmax(z / t) * y[held]).sum(1), 1e-12)) * share[held]).sum()
-    return Model(classes, features, descend(np.ones(len(rows), bool)), min((0.25, 0.5, 1.0, 2.0), key=loss))
+    held = np.arange(len(rows)) % HELD_OUT == HELD_OUT - 1
+    z, want = (x[held] @ descend(~held)).astype(float), y[held]
+
+    def loss(t):
+        p = np.clip(_sigmoid(z / t), 1e-9, 1 - 1e-9)
+        return -(want * np.log(p) + (1 - want) * np.log(1 - p)).sum()
+
+    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
+    p = _sigmoid(z / temperature)
+    right = lambda t: want[p >= t].mean() if (p >= t).any() else 1.0
+    sure = next((t for t in (0.5, 0.6, 0.7, 0.8, 0.9) if right(t) >= most), 0.9)
+    return Model(features, descend(np.ones(len(rows), bool)), temperature, sure)
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -292,49 +280,76 @@ def _placed_pairs(pieces: Column) -> Column:
 
 
 def covered_runs(able: DataFrame) -> DataFrame:
-    """able: key, i, pieces. Returns key, i, level, b, family and covered of the runs with COVERED or more of a template's pairs."""
-    known = [(n, family, _pairs(t)) for n, (family, t) in enumerate(templates())]
-    vocabulary = sorted({g for _, _, own in known for g in own})
-    own_pairs = able.sparkSession.createDataFrame([(g, n, family, len(own)) for n, family, own in known for g in own], "gram string, template int, family string, size int")
+    """able: key, i, pieces. Returns key, i, level, b, family, covered and needs (the family's name) of the runs with COVERED or more of a passage's pairs."""
+    known = [(n, family, _pairs(t), bool(re.search(NAMED[family], plain(t)))) for n, (family, t) in enumerate(templates())]
+    vocabulary = sorted({g for _, _, own, _ in known for g in own})
+    own_pairs = able.sparkSession.createDataFrame([(g, n, family, len(own), needs) for n, family, own, needs in known for g in own], "gram string, template int, family string, size int, needs boolean")
     hit = F.filter(_placed_pairs(F.col("pieces")), lambda x: x["gram"].isin(vocabulary))
-    # The table of templates is as large as these make it, whatever the corpus.
+    # The table of passages is as large as these make it, whatever the corpus.
     hits = able.select("key", "i", F.size("pieces").alias("n"), F.explode(F.array_distinct(hit)).alias("h")).select("key", "i", "n", "h.*").join(F.broadcast(own_pairs), "gram")
     hits = cut(hits, "hits")
     share = (F.count_distinct("gram") / F.first("size")).alias("covered")
     # No run has more than its paragraph.
     enough = hits.groupBy("key", "i", "template").agg(share).filter(F.col("covered") >= COVERED).drop("covered")
     placed = hits.join(enough, ["key", "i", "template"], "left_semi").withColumn("run", F.explode(_runs_with(F.col("n"), F.col("first"), F.col("last"), F.col("line"))))
-    found = placed.groupBy("key", "i", "template", "family", "run.level", "run.b").agg(share).filter(F.col("covered") >= COVERED)
+    found = placed.groupBy("key", "i", "template", "family", "needs", "run.level", "run.b").agg(share).filter(F.col("covered") >= COVERED)
     shortest = F.min(F.when(F.col("level") != LINE, F.col("level"))).over(Window.partitionBy("key", "i", "template"))
     near = found.withColumn("shortest", shortest).filter((F.col("level") == LINE) | (F.col("level") <= F.col("shortest") + 1))
-    return cut(near.groupBy("key", "i", "level", "b", "family").agg(F.max("covered").alias("covered")), "covered")
+    return cut(near.groupBy("key", "i", "level", "b", "family").agg(F.min("needs").alias("needs")), "covered")
+
+
+def _plain(line: Column) -> Column:
+    """As plain()."""
+    return F.concat(F.lit(" "), F.array_join(_words(line), " "), F.lit(" "))
+
+
+def _named(words: Column) -> Column:
+    """The families that a line of plain() names."""
+    return F.array_compact(F.array(*(F.when(words.rlike(pattern), F.lit(f)) for f, pattern in NAMED.items())))
+
+
+def _lines(paragraph: Column) -> Column:
+    """The lines of a paragraph and the sentences of its lines joined."""
+    bare = F.regexp_replace(paragraph, LEAD, "")
+    return F.array_union(F.split(bare, "\n"), F.split(F.replace(bare, F.lit("\n"), F.lit(" ")), STOP))
+
+
+def named_lines(keyed: DataFrame) -> DataFrame:
+    """keyed: key, i, paragraph. Returns key, i, words and family (distinct) of lines and sentences that name a family."""
+    lines = keyed.select("key", "i", F.explode(_lines(F.col("paragraph"))).alias("line")).select("key", "i", _plain(F.col("line")).alias("words"))
+    return lines.select("key", "i", "words", F.explode(_named(F.col("words"))).alias("family")).distinct()
+
+
+def scored(lines: DataFrame, model: Model) -> DataFrame:
+    """lines: key, i, words, family (distinct). Adds score, the probability of the family."""
+    number = F.coalesce(*(F.when(F.col("family") == f, F.lit(k)) for k, f in enumerate(FAMILIES)))
+    weights = lines.sparkSession.createDataFrame([(g, [float(v) for v in model.weights[k]]) for k, g in enumerate(model.features)], "gram string, w array<double>")
+    parts = lines.select("key", "i", F.xxhash64("words").alias("h"), "words", "family", number.alias("k"), F.explode(_grams(F.col("words"))).alias("gram"))
+    # The table of weights is as large as the notices and passages make it, whatever the corpus.
+    sums = parts.join(F.broadcast(weights), "gram").groupBy("key", "i", "h", "words", "family", "k").agg(F.sum(F.get("w", F.col("k"))).alias("z"), F.count("*").alias("n"))
+    constant = F.get(F.array(*(F.lit(float(v)) for v in model.weights[-1])), F.col("k"))
+    z = (F.col("z") / F.sqrt(F.col("n")) + constant) / model.temperature
+    return sums.select("key", "i", "words", "family", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each run of the paragraphs that may be confirmed: key, i (the paragraph's number), level and b (the run's), family, score, covered, confirmed. Equal documents share a key."""
-    spark = docs.sparkSession
+    """key, i (the paragraph's number), family, score of what is confirmed, a row for each family of a paragraph. Equal documents share a key."""
+    hinted = F.transform(F.array(F.lower(F.col(text))), lambda t: reduce(lambda x, y: x | y, (*(t.contains(h) for h in HINTS), *map(t.rlike, HINT_PATTERNS))))[0]
+    found = named_lines(docs.filter(hinted).select(_key(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph")))
+    notices_found = scored(found, model).filter(F.col("score") >= model.sure)
+
     rare = rare_pairs()
     keys = F.array(*map(F.lit, key_words()))
     keyed = docs.filter(F.arrays_overlap(_words(F.col(text)), keys)).select(_key(doc_id, text).alias("key"), F.posexplode(_paragraphs(F.col(text))).alias("i", "paragraph"))
     able = keyed.filter(F.exists(_pairs_of(F.col("paragraph")), lambda g: g.isin(rare))).distinct()
     able = cut(able.select("key", "i", _pieces(F.col("paragraph")).alias("pieces")), "able")
     met = covered_runs(able)
-    # A run is scored only if it has enough of some template, as it cannot be confirmed else.
-    asked = met.select("key", "i", "level", "b").distinct()
-    again = able.join(asked, ["key", "i"]).select("key", "i", "level", "b", _run_text(F.col("pieces"), F.col("level"), F.col("b")).alias("line"))
-    parts = again.select("key", "i", "level", "b", _grams(F.col("line")).alias("grams")).withColumn("unit", 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1))))
-    weights = spark.createDataFrame([(g, [float(v) for v in model.weights[k]]) for k, g in enumerate(model.features)], "gram string, w array<double>")
-    words = parts.select("key", "i", "level", "b", "unit", F.explode("grams").alias("gram"))
-    # Both tables are as large as the templates make them, whatever the corpus.
-    sums = words.join(F.broadcast(weights), "gram", "left").groupBy("key", "i", "level", "b").agg(*(F.sum(F.coalesce(F.get("w", F.lit(k)), F.lit(0.0)) * F.col("unit")).alias(f"z{k}") for k in range(len(model.classes))))
-    z = [(F.col(f"z{k}") + float(model.weights[-1, k])) / model.temperature for k in range(len(model.classes))]
-    best = F.greatest(*z)
-    total = sum((F.exp(x - best) for x in z[1:]), F.exp(z[0] - best))
-    name = F.coalesce(*(F.when(x == best, F.lit(c)) for x, c in zip(z, model.classes)))
-    scored = sums.select("key", "i", "level", "b", name.alias("family"), (1 / total).alias("score"))
-    out = scored.join(met, ["key", "i", "level", "b", "family"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
-    sure = (F.col("family") != UNKNOWN) & (F.col("score") >= SURE) & (F.col("covered") >= COVERED)
-    return out.withColumn("confirmed", sure)
+    # A run is scored only if it has enough of some passage, as it cannot be confirmed else.
+    runs = able.join(met, ["key", "i"]).select("key", "i", "family", "needs", _plain(_run_text(F.col("pieces"), F.col("level"), F.col("b"))).alias("words"))
+    right = F.coalesce(*(F.when(F.col("family") == f, F.col("words").rlike(pattern)) for f, pattern in NAMED.items()))
+    runs = runs.filter(~F.col("needs") | right).drop("needs").distinct()
+    both = notices_found.unionByName(scored(runs, model).filter(F.col("score") >= model.sure))
+    return both.groupBy("key", "i", "family").agg(F.max("score").alias("score"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,11 +359,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, families (confirmed ones, sorted and joined by commas), n_paragraphs, n_unknown of these, score (the highest confirmed, or 0)."""
-    found = classify(docs, model, text, doc_id)
-    own = found.groupBy("key").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.count_distinct(F.when(F.col("confirmed"), F.col("i"))).alias("known"),
-        F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
+    own = classify(docs, model, text, doc_id).groupBy("key").agg(
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.count_distinct("i").alias("known"),
+        F.max("score").alias("score"),
     )
     every = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.size(_paragraphs(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("n_paragraphs"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)

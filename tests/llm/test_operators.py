@@ -297,7 +297,6 @@ def test_long_secrets(spark):
 def test_licenses(spark, folder):
     rows = {r["doc_id"]: r for r in licenses.op7_license_scan(spark, folder).collect()}
     assert rows[14]["families"] == "mit" and rows[15]["families"] == "" and rows[15]["n_unknown"] == 1
-    assert all(re.search(licenses.ANCHORS, t.lower()) for ts in licenses.TEMPLATES.values() for t in ts if "terms of the" not in t)
 
 
 def test_whole_licenses(spark):
