@@ -20,7 +20,7 @@ import re._parser as parser
 from dataclasses import dataclass
 from re import _constants as op
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -54,14 +54,11 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("payment_key", "[sr]k_live_[A-Za-z0-9]{16,}"),
 )
-#: What the SQL searches with instead: it is kept as it was, and differs from the scan in whole keys and in tokens beyond these lengths.
-SQL_PATTERNS = {
-    "private_key": "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "forge_token": "gh[pousr]_[A-Za-z0-9]{36,255}",
-    "chat_token": "xox[abprs]-[A-Za-z0-9-]{10,255}",
-    "web_token": r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}",
-    "payment_key": "[sr]k_live_[A-Za-z0-9]{16,255}",
-}
+#: The same for engines that look neither ahead nor hold on to repeats: dashes in a key's body, five or more of which do not come before BEGIN or END.
+_PARTS = "(?:B|BE|BEG|BEGI|BEGIN|E|EN|END)"
+_NO_MARK = "(?:[^-BE]|B[^E-]|BE[^G-]|BEG[^I-]|BEGI[^N-]|BEGIN[^ -]|E[^N-]|EN[^D-]|END[^ -])"
+_BODY = f"(?:[^-]|(?:-{{5,}}{_PARTS})*(?:-{{1,4}}[^-]|-{{5,}}{_NO_MARK}))*(?:-{{5,}}{_PARTS})*-*"
+SQL_PATTERNS = {"private_key": f"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_BODY}-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"}
 MOST_ALTERNATIVES = 16
 GAP = None
 
@@ -117,34 +114,37 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return whole.groupBy("key").agg(F.collect_set(F.get(rule_of, F.col("clause"))).alias("rules"))
 
 
-def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """Structs begin, kind, end of the matches that count. The pieces between the matches give their places."""
+def _matches(text: Column, rule: Rule, number: int) -> Column:
+    """Structs kind, i, gap (characters since the match before), size and own (those of the group) of all matches."""
     pattern, length = F.lit(rule.pattern), lambda xs: F.transform(xs, lambda x: F.length(x))
-    group = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x))
+    group = length(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
     parts = F.arrays_zip(length(F.split(text, rule.pattern)).alias("gap"), length(F.regexp_extract_all(text, pattern, F.lit(0))).alias("size"), group.alias("own"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,kind:int,end:int,own:int>>").alias("found"))
-
-    def step(a, p):
-        begin = a["at"] + p["gap"]
-        end = begin + F.coalesce(p["size"], F.lit(0))
-        one = F.struct(begin.alias("begin"), F.lit(number).alias("kind"), end.alias("end"), p["own"].alias("own"))
-        return F.struct(end.alias("at"), F.when(p["own"].isNull(), a["found"]).otherwise(F.array_append(a["found"], one)).alias("found"))
-
-    # Most texts have no match at all, and a plain search is cheaper than both lists.
-    found = F.filter(F.aggregate(parts, empty, step)["found"], lambda x: x["own"] >= rule.least)
-    return F.when(text.rlike(rule.pattern), F.transform(found, lambda x: F.struct(x["begin"], x["kind"], x["end"])))
+    numbered = F.transform(parts, lambda p, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["own"].alias("own")))
+    # What follows the last match is a gap without a match. Most texts have no match at all, and a plain search is cheaper than the lists.
+    return F.when(text.rlike(rule.pattern), F.filter(numbered, lambda x: x["own"].isNotNull()))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and spans, an array of structs begin, kind (the rule's number) and end, in order."""
+    """doc_id and spans, an array of structs begin, kind (the rule's number) and end, in order.
+
+    The places of matches are running sums over their sizes and the gaps between, in a window for each text
+    and rule, so that a text takes time in proportion to its matches.
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = own.join(candidates(own.select("key", "text"), rules), "key", "left")
-    none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
+    asked = own.join(candidates(own.select("key", "text"), rules), "key", "inner" if all(trigram_query(r.pattern) for r in rules) else "left")
+    none = F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,own:int>>")
     lists = []
     for n, rule in enumerate(rules):
-        asked = F.array_contains("rules", n) if trigram_query(rule.pattern) else F.lit(True)
-        lists.append(F.coalesce(F.when(asked, _spans(F.col("text"), rule, n)), none))
-    return found.select("doc_id", F.array_sort(F.concat(*lists)).alias("spans"))
+        fits = F.array_contains("rules", n) if trigram_query(rule.pattern) else F.lit(True)
+        lists.append(F.coalesce(F.when(fits, _matches(F.col("text"), rule, n)), none))
+    # Equal rows share a key, and one of them is enough.
+    found = asked.dropDuplicates(["key"]).select("key", F.explode(F.concat(*lists)).alias("m")).select("key", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key", "kind").orderBy("i")).cast("int")
+    least = F.get(F.array(*(F.lit(r.least) for r in rules)), F.col("kind"))
+    placed = found.withColumn("end", end).filter(F.col("own") >= least).select("key", F.struct((F.col("end") - F.col("size")).alias("begin"), "kind", "end").alias("span"))
+    spans = placed.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    nothing = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
+    return own.select("doc_id", "key").join(spans, "key", "left").select("doc_id", F.coalesce("spans", nothing).alias("spans"))
 
 
 def _written(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import textwrap
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 from math import log2
@@ -294,6 +295,30 @@ def test_long_secrets(spark):
     assert got == {i: {(4, number[kind], 4 + len(t))} for i, (kind, t) in enumerate(flat)}
 
 
+def test_keys_against_sql(spark, tmp_path):
+    """Whole keys, keys without an end, dashes of any number inside, and long tokens."""
+    r = np.random.default_rng(9)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bits = [begin, end, "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----END PGP PRIVATE KEY BLOCK-----", "-----BEGIN ", "-----END ", "-----BEGI", "-----B", "-----EN", "-", "--", "------", "x", "\n", "END ", "BEGIN ", "é", "-----END CERTIFICATE-----"]
+    texts = [begin + "".join(r.choice(bits, int(n))) for n in r.integers(0, 14, 400)]
+    texts += [f"{begin}\n{'A' * 3000}\n{end} and more", "ghp_" + "a1" * 3000, "xoxb-" + "1-" * 900, "eyJ" + "a" * 2000 + ".eyJ" + "b" * 2000 + "." + "c" * 2000, "sk_live_" + "Z9" * 700, "password=" + "q" * 5000]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours, theirs = secrets.op4_secret_scan(spark, str(tmp_path)), con.sql(secrets.SQL)
+    assert sorted(tuple(r[c] for c in theirs.columns) for r in ours.collect()) == sorted(theirs.fetchall())
+
+
+def test_many_secrets_in_one_text(spark):
+    one = "0123456789abcdef01234567 "
+    docs = spark.createDataFrame([(1, one * 100_000), (2, None)], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert len(rows[1]) == 100_000 and rows[2] == []
+    assert all((x["begin"], x["end"]) == (25 * i, 25 * i + 24) for i, x in enumerate(rows[1]))
+
+
 def test_licenses(spark, folder):
     rows = {r["doc_id"]: r for r in licenses.op7_license_scan(spark, folder).collect()}
     assert rows[14]["families"] == "mit" and rows[15]["families"] == "" and rows[15]["n_unknown"] == 1
