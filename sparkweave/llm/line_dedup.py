@@ -18,7 +18,11 @@ words meet by chance, and loses none.
 So that large groups of similar lines do not give all their pairs, lines that share
 frequent words are first compared with the earliest line that has the word in its
 prefix; only lines that find no match there go on to ask all others. The postings of
-frequent words are also divided by size classes, of which only neighbours can match.
+frequent words are divided by size classes, of which only neighbours can match. Where more than
+ASKERS lines still ask under one key, they are compared with the key's earliest line, and
+the key grows by one more word for those that are left: lines that are similar enough share l words
+at least of prefixes that are l - 1 words longer, so that the first l words that they
+share are a key of both. So frequent words cost no square of their lines.
 
 Null and empty texts have no lines with words and stay as they are. Rows equal in
 id and text share one result. An empty table gives an empty result. Only id and
@@ -29,7 +33,6 @@ lines take time in proportion to it.
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +46,10 @@ SLOT_BITS = 20
 HASH_BITS = 25
 #: Sizes of one class differ by less than this factor, which is more than similar lines' sizes do.
 CLASS = 1.26
-#: Words are frequent from so many occurrences on, or eight times the mean of the counters.
+#: Words are frequent from so many occurrences on.
 FREQUENT = 512
+#: Lines that ask all others under one key.
+ASKERS = 256
 
 
 def slot_table(spark: SparkSession, levels: DataFrame, slots: int) -> bytes:
@@ -93,20 +98,24 @@ def rarity(lines: DataFrame) -> bytes:
     return slot_table(lines.sparkSession, counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("level")), 1 << SLOT_BITS)
 
 
-def frequent(table: bytes) -> int:
+def frequent() -> int:
     """The least token of a frequent word."""
-    mean = sum(n * (2 ** (level / 2) - 1) for level, n in Counter(table).items()) / len(table)
-    return int(2 * log2(max(FREQUENT, 8 * mean) + 1)) << HASH_BITS
+    return int(2 * log2(FREQUENT + 1)) << HASH_BITS
 
 
 def _word_set(line: Column) -> Column:
     return F.array_except(plain_words(line), F.array(F.lit("")))
 
 
+def _tokens(table: bytes) -> Column:
+    """The tokens of a line, in order."""
+    token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return F.sort_array(F.transform(_word_set(F.col("line")), token))
+
+
 def index_lines(lines: DataFrame, table: bytes, made: list[str]) -> DataFrame:
     """id, at, n (words), parity, and prefix, tokens in order."""
-    token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    tokens = lines.select("id", "at", F.sort_array(F.transform(_word_set(F.col("line")), token)).alias("t")).withColumn("n", F.size("t"))
+    tokens = lines.select("id", "at", _tokens(table).alias("t")).withColumn("n", F.size("t"))
     # Shifts go by the last six bits of a token.
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
     return cut(tokens.select("id", "at", "n", parity.alias("parity"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index", made)
@@ -122,12 +131,12 @@ def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
 
 
-def _near(a: str, b: str) -> Column:
-    """The filters for postings of one word; the first word that similar lines share passes them."""
+def _near(a: str, b: str, words: int = 1) -> Column:
+    """The filters for postings of one key, `words` words of which the last is at pos; the first words that similar lines share pass them."""
     num, den = SIMILAR
     n, m, p, q = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
     # shared / (n + m - shared) >= num / den; what is in one line only is n + m - 2 * shared.
-    enough = (num + den) * F.least(n - p, m - q) >= num * (n + m)
+    enough = (num + den) * (words - 1 + F.least(n - p, m - q)) >= num * (n + m)
     return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= (den - num) * (n + m))
 
 
@@ -172,32 +181,60 @@ def _with_first(index: DataFrame, least: int) -> DataFrame:
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).distinct()
 
 
-def _with_all(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
-    """Pairs of lines of which one at least is not done. Lines that are done get ids below 0: they can be matched, but ask no more."""
+def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
+    """Pairs of lines that share a word that is not frequent, of which one line at least is not done. Lines that are done get ids below 0: they can be matched, but ask no more."""
     heavy = F.element_at("prefix", -1) >= least
     asks = index.filter(heavy).join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))).select("id", "n", "parity", "prefix")
     every = index.filter(~heavy).select("id", "n", "parity", "prefix").unionByName(asks)
-    size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
-    postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok"))
-    postings = postings.withColumn("class", F.explode(F.when(F.col("tok") >= least, F.array(size, size - 1, size + 1)).otherwise(F.array(F.lit(-9)))))
-    postings = postings.withColumn("own", F.col("class").isin(-9) | (F.col("class") == size))
-    # No line has less than no words: said of both sides, as a filter of one side alone would make two exchanges of one.
-    own = F.col("a.own") | (F.col("b.n") < 0)
-    met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.class") == F.col("b.class")) & own & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
+    postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") < least)
+    met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
     y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
     return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
+def _by_frequent(lines: DataFrame, index: DataFrame, table: bytes, done: DataFrame, least: int, made: list[str]) -> DataFrame:
+    """The later lines of similar pairs that share frequent words; lines that are done ask no more."""
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
+    some = index.filter(F.element_at("prefix", -1) >= least).join(done.withColumn("done", F.lit(True)), "id", "left")
+    rows = some.select("id", "at", "n", "parity", F.col("done").isNull().alias("asks"), F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
+    rows = rows.withColumn("class", F.explode(F.array(size, size - 1, size + 1))).withColumn("asks", F.col("asks") & (F.col("class") == size))
+    rows = rows.select(F.xxhash64("tok", "class").alias("key"), "id", "at", "n", "parity", "pos", "asks")
+    matched = done.limit(0)
+    words = 1
+    while True:
+        asked = rows.groupBy("key").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("key", "askers")
+        held = cut(rows.join(asked, "key"), "level", made)
+        few, many = held.filter(F.col("askers") <= ASKERS), held.filter(F.col("askers") > ASKERS)
+        # Of two lines that both ask one is enough.
+        a, b = few.filter("asks").alias("a"), few.alias("b")
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & _near("a", "b", words))
+        firsts = many.groupBy("key").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("key", "f.id", "f.n", "f.pos", "f.parity")
+        met = many.filter("asks").alias("a").join(firsts.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b", words))
+        pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).unionByName(met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far"))).distinct()
+        found = verified(lines, index, pairs, made)
+        matched = matched.unionByName(found)
+        if many.isEmpty():
+            return cut(matched.distinct(), "matched", made)
+        left = many.join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("asks", F.col("asks") & F.col("found").isNull())
+        tokens = cut(lines.join(many.select("id").distinct(), "id", "left_semi").select("id", _tokens(table).alias("t")), "tokens", made)
+        further = F.slice("t", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n")) + words - F.col("pos") - 1))
+        rows = left.join(tokens, "id").select("key", "id", "at", "n", "parity", "pos", "asks", F.posexplode(further).alias("j", "tok"))
+        rows = rows.select(F.xxhash64("key", "tok").alias("key"), "id", "at", "n", "parity", (F.col("pos") + 1 + F.col("j")).alias("pos"), "asks")
+        words += 1
+
+
 def staying_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. Returns doc, th and `stay`, the numbers of the lines with words that stay."""
     made: list[str] = []
     lines = unique_lines(docs, made)
     table = rarity(lines)
     index = index_lines(lines, table, made)
-    least = frequent(table)
+    least = frequent()
     first = verified(lines, index, _with_first(index, least), made)
-    second = verified(lines, index, _with_all(index, first, least), made)
-    left = index.select("id", "at").join(first.unionByName(second), "id", "left_anti")
+    second = verified(lines, index, _by_rare(index, first, least), made)
+    done = first.unionByName(second).distinct()
+    gone = done.unionByName(_by_frequent(lines, index, table, done, least, made))
+    left = index.select("id", "at").join(gone, "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
     discard(docs.sparkSession, made)
     return out

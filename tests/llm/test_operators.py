@@ -417,7 +417,6 @@ def _lines_by_hand(texts):
 def test_lines_against_brute_force(spark, tmp_path, monkeypatch, least):
     """With the lower limit nearly all words are frequent, and lines meet the earliest line first."""
     monkeypatch.setattr(line_dedup, "FREQUENT", least)
-    monkeypatch.setattr(line_dedup, "Counter", lambda table: {})
     r = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     lines = [" ".join(r.choice(vocabulary, r.integers(1, 25))) for _ in range(40)]
@@ -435,6 +434,23 @@ def test_lines_against_brute_force(spark, tmp_path, monkeypatch, least):
     assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
 
 
+@pytest.mark.parametrize("askers", [1, 8])
+def test_lines_of_frequent_words(spark, tmp_path, monkeypatch, askers):
+    """Lines of ten of few words, as of numbers, with groups of similar ones; keys grow word by word."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 16)
+    monkeypatch.setattr(line_dedup, "ASKERS", askers)
+    r = np.random.default_rng(6)
+    texts = []
+    for _ in range(80):
+        own = [" ".join(f"w{x}" for x in r.choice(24, int(r.integers(8, 12)), replace=False)) for _ in range(6)]
+        texts.append("\n".join(own) + "\n")
+    base = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9".split()
+    texts += ["\n".join(" ".join(base[:k] + [f"v{int(r.integers(4))}"] + base[k + 1 :]) for k in r.integers(0, 10, 4)) + "\n" for _ in range(10)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(line_dedup.op9_line_dedup(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
+
+
 def test_lines_of_clashing_and_long_texts(spark, empty):
     long = "\n".join(f"line number {i} of many with own words w{i} v{i} u{i}" for i in range(30_000))
     rows = [(1, long, "g", "n", 5, 7), (2, long + "\nlast line here", "g", "n", 5, 7), (None, None, "g", "n", 5, 7), (3, "", "g", "n", 5, 7)]
