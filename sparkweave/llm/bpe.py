@@ -55,7 +55,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3"
 _MARKS = r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
 PARTS = re.compile(rf"(?<=[{_LETTERS}0-9'{_MARKS}])(?=[\x20\x09-\x0D])|(?<=[{_LETTERS}])(?=[0-9'{_MARKS}])|(?<=[0-9])(?=[{_LETTERS}'{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}0-9])|(?<=')(?=[0-9])")
-RUNS = regex.compile(r"\s{%d}|\p{L}{%d}|\p{N}{%d}|[^\s\p{L}\p{N}]{%d}" % ((LONG_RUN,) * 4))
+RUNS = regex.compile(r"\s+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
+
+
+def has_long_run(text: str) -> bool:
+    """Whether LONG_RUN characters of one kind stand together. A pattern with so many repeats would take over 100 MB."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in RUNS.finditer(text))
 
 
 def _alphabet() -> dict[str, int]:
@@ -96,7 +101,7 @@ class Codec:
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
 
     def encode(self, text: str) -> list[int]:
-        if len(text) >= LONG_RUN and RUNS.search(text):
+        if has_long_run(text):
             return self._by_library(text)
         if not self.splits or not any(s in text for s in self.special):
             return self.engine.encode_ordinary(text)
