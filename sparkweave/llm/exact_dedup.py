@@ -6,7 +6,8 @@ content lies (file and row), and how often the digest came. Nothing is dropped o
 a digest alone: every row that hits an entry is compared in full with the text at
 the entry's place, and rows that differ are grouped anew by their whole text. With
 a checkpoint folder of the caller's the state lasts: the next run reads only the files
-that are new, and these hit the entries of all runs before. Digests that come very
+that are new, and these hit the entries of all runs before; files may be added then, and where some
+have changed or gone, which would leave rows of theirs in the state, that is an error. Digests that come very
 often are dealt over SALTS tasks, each with the entry and its text.
 
 Null texts count as empty. Of equal texts the row with the smallest id stays; null
@@ -74,9 +75,12 @@ def state_of(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str =
 
 def exact_duplicates(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for each row of the Parquet table at path."""
+    path = path.rstrip("/")
     state = state_of(spark, path, doc_id, text, digest, checkpoint)
     # A digest with more than a thousandth of all rows is hot, so that there are at most a thousand.
     n = state.agg(F.sum("group_size")).first()[0] or 0
+    if checkpoint and n != spark.read.parquet(path).count():
+        raise ValueError(f"files of {path} have changed since the runs of this checkpoint: {n} rows in its state")
     is_hot = F.col("group_size") > max(HOT, n // 1000)
     hot = F.broadcast(state.filter(is_hot).select("digest", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.hash("file", "row"), F.lit(SALTS))).otherwise(0).alias("salt")

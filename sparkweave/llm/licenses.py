@@ -55,6 +55,7 @@ from .quality import STOP_WORDS
 ANCHORS = "|".join(map(re.escape, (*HINTS, "copyright")))
 FAMILIES = list(NAMED)
 COVERED = 0.5
+COMMON = frozenset(STOP_WORDS)
 NEGATIVES = 400
 #: Of all pairs of a name and a frame one in so many is trained on, and one in HELD_OUT of these is held out for calibration.
 THINNED, HELD_OUT = 3, 4
@@ -115,7 +116,7 @@ def key_words() -> list[str]:
     keys: set[str] = set()
     for _, t in templates():
         own = [g.split(" ") for g in _pairs(t)]
-        for w in sorted({w for g in own for w in g}, key=lambda w: (w in STOP_WORDS, -len(w), w)):
+        for w in sorted({w for g in own for w in g}, key=lambda w: (w in COMMON, -len(w), w)):
             if sum(not keys & set(g) for g in own) < math.ceil(COVERED * len(own)):
                 break
             keys.add(w)

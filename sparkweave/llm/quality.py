@@ -6,6 +6,10 @@ empty table gives an empty result. Further columns of the input are not touched;
 an input column of the same name as a result column is replaced. Very long texts are
 measured whole, in time in proportion to their length but for the sorting of their
 windows' hashes.
+
+Stop words are those of four languages below, in small letters, capitalised or in capitals.
+Their ratio is taken of the words with a letter from A to Z, so that texts in other scripts
+do not fail by it; texts of a fifth language in Latin letters may.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 #: Frequent function words of English, German, French and Spanish.
-STOP_WORDS = (
+_SMALL = (
     "the of and to in is that it for was on are with as be by this an or from at have not "
     "der die das und ist den von zu mit sich des auf ein nicht dem im für als auch es "
     "le la les de et un une des du en que qui dans est pour par sur au plus avec "
     "el los las y que del se por con una su para no lo como al"
 ).split()
+STOP_WORDS = [*_SMALL, *(w.capitalize() for w in _SMALL), *(w.upper() for w in _SMALL)]
+LATIN = "[A-Za-z]"
 
 
 @dataclass(frozen=True)
@@ -44,7 +50,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 200, 2000),
     Rule("symbol_ratio", "n_symbols", "n_words", None, 30),
-    Rule("stop_word_ratio", "n_stop_words", "n_words", 1, None),
+    Rule("stop_word_ratio", "n_stop_words", "n_latin_words", 1, None),
     Rule("repeated_line_ratio", "n_dup_lines", "n_lines", None, 50),
 )
 
@@ -62,7 +68,7 @@ def _sum(numbers: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop_words.
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_latin_words (with a letter from A to Z) and n_stop_words.
 
     The windows of a text are hashed, and the hashes sorted with their places in
     the low bits of the same numbers. Windows beside an equal hash are candidates;
@@ -93,6 +99,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size(ls).cast("long"),
             "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
             "n_repeat_words": F.when(F.size(p) > 0, _sum(step)).otherwise(F.lit(0).cast("long")),
+            "n_latin_words": F.size(F.filter(w, lambda x: x.rlike(LATIN))).cast("long"),
             "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long"),
         }
     ).drop(w, n, h, c, s, p, ls)
@@ -134,6 +141,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(ws, lambda x: regexp_matches(x, '{LATIN}')))::BIGINT AS n_latin_words,
         len(list_filter(ws, lambda x: x IN ({_STOP})))::BIGINT AS n_stop_words
       FROM w LEFT JOIN c USING (k)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)

@@ -207,12 +207,12 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], shingle:
     """The columns `keep` with fp, written once; and fp, root (the component's smallest fingerprint) and component_id of each fingerprint."""
 
     @F.pandas_udf("long")
-    def fingerprints(texts: pd.Series) -> pd.Series:
+    def fingerprints_of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, shingle) for x in texts], dtype="int64")
 
-    marked = cut(docs.select(*(F.col(c) for c in keep), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    marked = cut(docs.select(*(F.col(f"`{c}`") for c in keep), fingerprints_of(F.col(f"`{text}`")).alias("fp")), "fingerprints")
     made: list[str] = []
-    nodes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "nodes", made)
+    nodes = cut(marked.groupBy("fp").agg(F.min(F.col(f"`{doc_id}`")).alias("first")), "nodes", made)
     roots = components(links(nodes.select("fp"), most))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")

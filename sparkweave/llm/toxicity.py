@@ -16,7 +16,7 @@ labels hold no or only one class, all scores are that class's rate (0 if none).
 Several labels for one id count as the highest, and of several texts the first in
 order is learned from. Texts of any length are scored in all their windows. Rows are scored one by one: repeated
 rows give repeated results, an empty table an empty result. Other columns are not
-touched.
+touched, but input columns named score and predicted are replaced.
 """
 
 from collections.abc import Iterator

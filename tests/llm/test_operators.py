@@ -94,6 +94,29 @@ def test_exact_state_lasts(spark, tmp_path):
     assert rows() == {5: 1, 6: 1, 1: 1, 7: 7, 8: 7, 9: 9}
 
 
+def test_exact_state_refuses_changed_files(spark, tmp_path):
+    path, at = f"{tmp_path}/documents.parquet", f"file://{tmp_path}/state"
+    table = lambda rows, mode: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode(mode).parquet(path)
+    table([(5, "a b"), (6, "c")], "append")
+    assert exact_dedup.exact_duplicates(spark, path + "/", checkpoint=at).count() == 2
+    table([(5, "a b"), (6, "c")], "overwrite")
+    with pytest.raises(ValueError, match="have changed"):
+        exact_dedup.exact_duplicates(spark, path, checkpoint=at)
+
+
+def test_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, BASE, "a", "x"), (2, BASE, None, "y")], "doc_id long, text string, source string, `meta.k` string")
+    assert {r["meta.k"] for r in mixing.mix_documents(docs).collect()} <= {"x", "y"}
+    assert {(r["meta.k"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == {("x", 1), ("y", 1)}
+
+
+def test_stop_words_of_other_scripts(spark):
+    russian = "Вчера вечером мы долго гуляли по старому городу и говорили о разных вещах которые давно нас волновали"
+    rows = [(1, russian), (2, "THE HOUSE BY THE RIVER WAS BUILT IN A YEAR THAT NOBODY COULD REMEMBER ANY MORE"), (3, "zxq wvut plok " * 2 + "brem klat drun sopl trin vask")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: True, 2: True, 3: False}
+
+
 def _fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
