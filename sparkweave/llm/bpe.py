@@ -47,6 +47,8 @@ LEAST, MOST = 64, 8192
 SKETCH_BITS = 26
 ROW_BITS = 15  # of one row of the bit map, as Spark's bitmap functions have it
 LONG_RUN = 100_000
+#: A chunk is hot from so many occurrences on, or from a thousandth of all, and meets its tokens in SALTS tasks.
+HOT, SALTS = 4096, 64
 
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -308,9 +310,17 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keys: tuple
 
     names = [w.split()[0] for w in WANTS[want]]
     done = parts.filter("row_id IS NULL").select(*own, *names)
-    known = parts.filter("hash IS NOT NULL").groupBy("hash").agg(F.first("bytes").alias("bytes")).select("hash", F.pandas_udf(once, "binary")("bytes").alias("ids"))
+    shared = parts.filter("hash IS NOT NULL")
+    known = shared.groupBy("hash").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")).select("hash", "n", F.pandas_udf(once, "binary")("bytes").alias("ids"))
+    known = cut(known, "known")
+    # A chunk with more than a thousandth of all occurrences is hot, so that there are at most a thousand.
+    is_hot = F.col("n") > max(HOT, (known.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(known.filter(is_hot).select("hash", F.lit(True).alias("hot")))
     place = ["row_id", "i", "digest", *own]
-    joined = parts.filter("hash IS NOT NULL").select("hash", *place).join(known, "hash").select(*place, "ids")
+    salt = F.when(F.col("hot"), F.pmod(F.hash("row_id", "i"), F.lit(SALTS))).otherwise(0).alias("salt")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = shared.select("hash", *place).join(hot, "hash", "left").select("hash", *place, salt)
+    joined = salted.join(known.select("hash", "ids", F.explode(salts).alias("salt")), ["hash", "salt"]).select(*place, "ids")
     every = joined.unionByName(parts.filter("ids_ IS NOT NULL").select(*place, F.col("ids_").alias("ids")))
     gathered = every.groupBy("row_id", "digest", *own).agg(F.collect_list(F.struct("i", "ids")).alias("found"))
     rest = gathered.withColumn("r", F.pandas_udf(whole, ", ".join(WANTS[want]))("digest", "found")).select(*own, *(F.col(f"r.{n}").alias(n) for n in names))

@@ -94,6 +94,20 @@ def test_exact_state_lasts(spark, tmp_path):
     assert rows() == {5: 1, 6: 1, 1: 1, 7: 7, 8: 7, 9: 9}
 
 
+@pytest.mark.parametrize("hot", [4096, 10])
+def test_bpe_of_a_hot_chunk(spark, monkeypatch, hot):
+    """One passage in every text."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "HOT", hot)
+    passage = " ".join(f"word{i} of the passage" for i in range(60))
+    texts = [f"text {i} begins so. {passage} And number {i} ends." for i in range(120)] + ["", None, passage, passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(bpe.vocabulary())
+    rows = {r["doc_id"]: r for r in bpe.encode_documents(docs, bpe.vocabulary()).collect()}
+    assert all(list(rows[i]["ids"]) == library.encode(t or "", add_special_tokens=False).ids and rows[i]["decoded"] == (t or "") for i, t in enumerate(texts))
+
+
 def test_exact_state_refuses_changed_files(spark, tmp_path):
     path, at = f"{tmp_path}/documents.parquet", f"file://{tmp_path}/state"
     table = lambda rows, mode: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode(mode).parquet(path)
