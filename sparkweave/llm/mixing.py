@@ -10,9 +10,10 @@ a source takes the block at j's place in a pseudorandom permutation of the sourc
 blocks; a new permutation begins when all blocks are taken. Blocks and slots meet by
 a join on source and block number.
 
-Beyond MAX_SOURCES sources, draws are made for groups of sources, and a group's slots
-are dealt to its sources in proportion. The table of sources is sorted in one task
-for the targets; it has one row for each source.
+Draws are made for GROUPS groups of sources, by a hash, however many sources there are, and a
+group's slots are dealt to its sources in proportion; with few sources nearly each is a group of
+its own. The sources' weights come from their positions in order, and the level to which
+targets are filled from a search over sums by ranges, so that no task sees all sources.
 
 Null texts and texts without words have size 0 and are never taken. Null is a
 source of its own, the last. Ties in the order are broken by id, size and a hash of
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.position import with_position
 from .common import cut, read_table, words
 
 WEIGHTS = (5, 2, 1)
@@ -40,7 +42,8 @@ TASK_SHARDS = 32
 BUCKET_ROWS = 4096
 #: Slots that one row of ranges stands for.
 RANGE_SLOTS = 1 << 16
-MAX_SOURCES = 100_000
+#: Groups of sources that draws are made for, and ranges of a pass of the search for the level.
+GROUPS, LEVELS = 4096, 1024
 SEED = 20240501
 
 
@@ -52,20 +55,40 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def water_level(parts: DataFrame, total: int) -> float:
+    """parts: most, weight. The level at which the sum of least(most, level * weight) is total, 0 if there is none.
+
+    Each pass sums up LEVELS ranges of most / weight and goes on in the one that holds the level.
+    """
+    ratio = F.col("most") / F.col("weight")
+    low, high = None, parts.agg(F.max(ratio)).first()[0]
+    below, weights = 0, parts.agg(F.sum("weight")).first()[0] or 0
+    while weights and total:
+        left = parts.filter(ratio <= high) if low is None else parts.filter((ratio > low) & (ratio <= high))
+        place = F.least(F.lit(LEVELS - 1), F.floor((ratio - (low or 0.0)) / ((high - (low or 0.0)) or 1.0) * LEVELS))
+        ranges = left.groupBy(place.alias("at")).agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"), F.min(ratio).alias("first"), F.max(ratio).alias("last")).orderBy("at").collect()
+        for r in ranges:
+            level = (total - below) / weights
+            if level <= r["first"] or r["first"] == r["last"] and below + r["most"] + r["last"] * (weights - r["weight"]) >= total:
+                return level
+            if below + r["most"] + r["last"] * (weights - r["weight"]) >= total:
+                high = r["last"]
+                break
+            below, weights, low = below + r["most"], weights - r["weight"], r["last"]
+        else:
+            # All are full but for what rounding leaves.
+            return high
+    return 0.0
+
+
 def source_table(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """skey, source_size, target and blocks of each source; sized has source, skey and size."""
     sums = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    out = sums.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
-    all_rows = Window.orderBy(F.col("most") / F.col("weight"), "skey")
-    before = all_rows.rowsBetween(Window.unboundedPreceding, -1)
-    after = all_rows.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = all_rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0))) / F.sum("weight").over(after))
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "skey", "level"))
-    level = F.coalesce(F.min(fits).over(whole)["level"], F.lit(0.0))
-    out = out.withColumn("target", F.least(F.col("most").cast("double"), level * F.col("weight")))
+    ranked = with_position(sums, [F.col("source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    out = ranked.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
+    level = water_level(out, out.agg(F.sum("source_size")).first()[0] or 0)
+    out = out.withColumn("target", F.least(F.col("most").cast("double"), F.lit(float(level)) * F.col("weight")))
     return out.select("skey", "source_size", "target", F.ceil(F.col("source_size") / BLOCK_WORDS).alias("blocks"))
 
 
@@ -162,19 +185,20 @@ def draw_slots(spark: SparkSession, wanted: np.ndarray, room: np.ndarray) -> np.
 
 def taken_blocks(spark: SparkSession, sources: DataFrame, cap: int = CAP) -> DataFrame:
     """skey, block, times (1 to cap) of all blocks that the mix takes."""
-    group = F.concat(F.lit("#"), F.pmod(F.xxhash64("skey"), F.lit(MAX_SOURCES)).cast("string")) if sources.count() > MAX_SOURCES else F.col("skey")
-    own = sources.filter("target > 0").select("skey", "blocks", group.alias("gkey"), (F.col("target") / F.col("source_size") * F.col("blocks")).alias("wanted"))
-    # One row for each group, MAX_SOURCES at most.
-    known = own.groupBy("gkey").agg(F.sum("wanted").alias("wanted"), F.sum(cap * F.col("blocks")).alias("room")).orderBy("gkey").toPandas()
-    if not len(known):
-        return spark.createDataFrame([], "skey string, block long, times long")
-    known["n"] = draw_slots(spark, known["wanted"].to_numpy(float), known["room"].to_numpy(np.int64))
-    drawn = spark.createDataFrame(known[["gkey", "wanted", "n"]].rename(columns={"wanted": "of"}), "gkey string, of double, n long")
-    members = Window.partitionBy("gkey").orderBy("skey")
-    shared = own.join(F.broadcast(drawn), "gkey").withColumn("upto", F.least(F.lit(1.0), F.sum("wanted").over(members) / F.col("of")))
-    last = F.col("skey") == F.max("skey").over(Window.partitionBy("gkey"))
+    room = cap * F.col("blocks")
+    own = sources.filter("target > 0").select("skey", "blocks", (F.col("target") / F.col("source_size") * F.col("blocks")).alias("wanted"), room.alias("room"), F.pmod(F.xxhash64("skey"), F.lit(GROUPS)).alias("g"))
+    # Sources that give all that they may are not drawn for.
+    whole = F.col("wanted") >= F.col("room") - 1e-6
+    free = own.filter(~whole)
+    known = free.groupBy("g").agg(F.sum("wanted").alias("wanted"), F.sum("room").alias("room")).orderBy("g").toPandas()
+    known["n"] = draw_slots(spark, known["wanted"].to_numpy(float), known["room"].to_numpy(np.int64)) if len(known) else 0
+    drawn = spark.createDataFrame([(int(r.g), float(r.wanted), int(r.n)) for r in known.itertuples()], "g long, of double, n long")
+    members = Window.partitionBy("g").orderBy("skey")
+    shared = free.join(F.broadcast(drawn), "g").withColumn("upto", F.least(F.lit(1.0), F.sum("wanted").over(members) / F.col("of")))
+    last = F.col("skey") == F.max("skey").over(Window.partitionBy("g"))
     end = F.when(last, F.col("n")).otherwise(F.floor(F.col("upto") * F.col("n")))
-    dealt = shared.withColumn("end", end).select("skey", "blocks", F.least(cap * F.col("blocks"), F.col("end") - F.coalesce(F.lag("end").over(members), F.lit(0))).alias("n")).filter("n > 0")
+    dealt = shared.withColumn("end", end).select("skey", "blocks", F.least("room", F.col("end") - F.coalesce(F.lag("end").over(members), F.lit(0))).alias("n"))
+    dealt = dealt.unionByName(own.filter(whole).select("skey", "blocks", F.col("room").alias("n"))).filter("n > 0")
     ranges = dealt.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE_SLOTS).cast("long"))))
     # A source's slots are spread over tasks, however many it has.
     spread = ranges.repartition("skey", "from")

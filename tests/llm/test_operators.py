@@ -268,10 +268,10 @@ def _targets_by_hand(sizes):
     return out
 
 
-@pytest.mark.parametrize("most", [100_000, 4])
-def test_mixing_against_hand(spark, monkeypatch, most):
-    """With more sources than MAX_SOURCES too; blocks are counted one by one."""
-    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+@pytest.mark.parametrize("groups", [4096, 4])
+def test_mixing_against_hand(spark, monkeypatch, groups):
+    """With more sources than groups too; blocks are counted one by one."""
+    monkeypatch.setattr(mixing, "GROUPS", groups)
     monkeypatch.setattr(mixing, "RANGE_SLOTS", 7)
     r = np.random.default_rng(8)
     rows = [(i, " ".join(["w"] * int(r.integers(0, 400))), None if i % 11 == 0 else f"s{min(i % 17, 9)}", "x") for i in range(900)] + [(None, "a b", "tiny", "y")] * 3
@@ -296,6 +296,30 @@ def test_mixing_against_hand(spark, monkeypatch, most):
     assert sum(len(x["text"].split()) for x in mixed.collect()) == sum(x["taken"] for x in got)
 
 
+@pytest.mark.parametrize("levels", [1024, 2])
+def test_water_level(spark, monkeypatch, levels):
+    monkeypatch.setattr(mixing, "LEVELS", levels)
+    r = np.random.default_rng(4)
+    for sizes in ([5], [0], [0, 0, 7], [10, 10, 10, 10], (r.pareto(0.7, 300) * 10).astype(int).tolist(), [1] * 50 + [10**9], [3, 3, 3, 10**12, 10**12]):
+        own = {f"s{i:04}": int(n) for i, n in enumerate(sizes)}
+        rows = [(f"={s}", s, n) for s, n in own.items()]
+        got = {x["skey"][1:]: x["target"] for x in mixing.source_table(spark.createDataFrame(rows, "skey string, source string, size long")).collect()}
+        assert got == pytest.approx(_targets_by_hand(own), rel=1e-9, abs=1e-6)
+
+
+def test_many_sources(spark):
+    """Two hundred thousand sources, without a window or a task that sees them all."""
+    sized = spark.range(200_000).selectExpr("concat('=', id) AS skey", "CAST(id AS string) AS source", "1 + id * 7919 % 1000 AS size")
+    sources = mixing.source_table(sized)
+    row = sources.agg(F.sum("target").alias("t"), F.sum("source_size").alias("s"), F.max(F.col("target") / F.col("source_size")).alias("m")).first()
+    assert row["t"] == pytest.approx(row["s"], rel=1e-9) and row["m"] <= 3 + 1e-9
+    assert "Window" not in sources._jdf.queryExecution().executedPlan().toString()
+    by = mixing.taken_blocks(spark, sources).groupBy("skey").agg(F.sum("times").alias("n")).join(sources, "skey")
+    assert by.filter(F.col("n") > 3 * F.col("blocks")).count() == 0
+    n, want = by.agg(F.sum("n"), F.sum(F.col("target") / F.col("source_size") * F.col("blocks"))).first()
+    assert n == pytest.approx(want, rel=0.01)
+
+
 def test_slots_beyond_room_are_drawn_again(spark):
     got = mixing.draw_slots(spark, np.array([10.0, 2.9, 2.9, 500.0]), np.array([10, 3, 3, 2000]))
     assert got[0] == 10 and (got[1:3] <= 3).all() and got.sum() == 516
