@@ -48,6 +48,8 @@ HASH_BITS = 25
 CLASS = 1.26
 #: Words are frequent from so many occurrences on.
 FREQUENT = 512
+#: Lines of more words have a parity of 256 bits too, which pairs must pass before texts are read.
+WIDE = 48
 #: Lines that ask all others under one key.
 ASKERS = 256
 
@@ -117,8 +119,12 @@ def index_lines(lines: DataFrame, table: bytes, made: list[str]) -> DataFrame:
     """id, at, n (words), parity, and prefix, tokens in order."""
     tokens = lines.select("id", "at", _tokens(table).alias("t")).withColumn("n", F.size("t"))
     # Shifts go by the last six bits of a token.
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
-    return cut(tokens.select("id", "at", "n", parity.alias("parity"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index", made)
+    flip = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t)
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(flip(t)))
+    # Lines of many words flip all of 64 bits more than once; two more bits of a token choose one of four times as many.
+    part = lambda k: F.aggregate(F.filter("t", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(flip(t)))
+    wide = F.when(F.col("n") > WIDE, F.struct(*(part(k).alias(f"p{k}") for k in range(4))))
+    return cut(tokens.select("id", "at", "n", parity.alias("parity"), wide.alias("wide"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index", made)
 
 
 def _prefix(n: Column) -> Column:
@@ -150,9 +156,10 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     """
     num, den = SIMILAR
     made: list[str] = []
-    x, y = (index.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}")) for k in "xy")
+    x, y = (index.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "xy")
     later = F.col("at_x") > F.col("at_y")
-    placed = pairs.join(x, "x").join(y, "y")
+    apart = sum((F.bit_count(F.col(f"wide_x.p{k}").bitwiseXOR(F.col(f"wide_y.p{k}"))) for k in range(1, 4)), F.bit_count(F.col("wide_x.p0").bitwiseXOR(F.col("wide_y.p0"))))
+    placed = pairs.join(x, "x").join(y, "y").filter(F.coalesce((num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y")), F.lit(True)))
     ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "pairs", made)
 
     def similar(some: DataFrame) -> DataFrame:

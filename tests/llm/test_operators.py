@@ -512,6 +512,26 @@ def test_lines_of_frequent_words(spark, tmp_path, monkeypatch, askers):
     assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
 
 
+def test_lines_of_many_words(spark, tmp_path):
+    """Lines with as many words as pass the wider parity filter only if they are near."""
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [list(r.choice(vocabulary, int(n), replace=False)) for n in r.integers(50, 300, 30)]
+    texts = []
+    for _ in range(50):
+        own = []
+        for k in r.integers(0, 30, 3):
+            w = list(map(str, base[k]))
+            for i in r.choice(len(w), int(len(w) * r.choice([0.02, 0.09, 0.11, 0.12, 0.2])), replace=False):
+                w[i] = str(r.choice(vocabulary))
+            own.append(" ".join(w))
+        texts.append("\n".join(own) + "\n")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(line_dedup.op9_line_dedup(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert sum(x["n_removed"] for x in rows) > 10
+    assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
+
+
 def test_lines_of_clashing_and_long_texts(spark, empty):
     long = "\n".join(f"line number {i} of many with own words w{i} v{i} u{i}" for i in range(30_000))
     rows = [(1, long, "g", "n", 5, 7), (2, long + "\nlast line here", "g", "n", 5, 7), (None, None, "g", "n", 5, 7), (3, "", "g", "n", 5, 7)]
