@@ -48,25 +48,27 @@ HELD = 500_000
 
 def _counts(batches):
     """lang, source, term, n (occurrences) and df (documents), added up as far as a task has gathered them; a null term stands for the group itself."""
-    n: Counter = Counter()
-    df: Counter = Counter()
-    groups = set()
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
 
     def told():
-        rows = [(*k, v, df[k]) for k, v in n.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "df"])
+        for (lang, source), (n, df) in groups.items():
+            yield pd.DataFrame({"lang": lang, "source": source, "term": list(n), "n": list(n.values()), "df": list(map(df.__getitem__, n))})
+            n.clear()
+            df.clear()
 
     for pdf in batches:
         for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"]):
-            groups.add((lang, source))
-            for t, c in Counter(terms(text, TABLE)).items():
-                n[lang, source, t] += c
-                df[lang, source, t] += 1
-            if len(n) > HELD:
-                yield told()
-                n.clear()
-                df.clear()
-    yield told()
+            own = terms(text, TABLE)
+            n, df = groups.setdefault((lang, source), (Counter(), Counter()))
+            held -= len(n)
+            n.update(own)
+            df.update(set(own))
+            held += len(n)
+            if held > HELD:
+                yield from told()
+                held = 0
+    yield from told()
     yield pd.DataFrame([(*g, None, 0, 0) for g in groups], columns=["lang", "source", "term", "n", "df"])
 
 
