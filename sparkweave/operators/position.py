@@ -24,33 +24,28 @@ from sparkweave.sources.shared import cut, discard
 _BITS = 33
 
 
-def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """df with columns c0, c1 ..., and what they were called."""
-    own = {f"c{i}": c for i, c in enumerate(df.columns)}
-    return df.toDF(*own), own
-
-
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position", by: list[str] | tuple[str, ...] = (), start: int = 0) -> DataFrame:
     """df with the position of each row, from `start`, in the order `order` of the table, or of its group of `by`. A column of that name is replaced."""
     spark, made = df.sparkSession, []
+    kept = [c for c in df.columns if c.lower() != name.lower()]
     keys = [F.col(f"`{c}`") for c in by]
     order = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order]
-    groups = [k.alias(f"_g{i}") for i, k in enumerate(keys)]
-    # The order is worked out before columns get other names.
-    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
-    ordered = cut(rows.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()), *groups, "_at"), "ordered")
-    part = F.shiftrightunsigned("_at", _BITS)
-    sizes = sorted(ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    # The order is worked out before columns get names of our own.
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    ordered = cut(rows.select(*own, *(k.alias(f"g{i}") for i, k in enumerate(keys)), F.monotonically_increasing_id().alias("at")), "ordered")
+    part = F.shiftrightunsigned("at", _BITS)
     before, offsets = start, []
-    for p, n in sizes:
+    for p, n in sorted(ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
         offsets.append((p, before))
         before += n
-    offsets = spark.createDataFrame(offsets, "_part long, _before long")
-    placed = ordered.join(offsets, part == F.col("_part")).withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _BITS) - 1)))
+    offsets = spark.createDataFrame(offsets, "part long, before long")
+    placed = ordered.join(offsets, part == F.col("part")).withColumn("at", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << _BITS) - 1)))
     if by:
         placed = cut(placed, "placed", made)
-        firsts = placed.groupBy(*(f"_g{i}" for i in range(len(by)))).agg(F.min("_at").alias("_first")).toDF(*(f"_h{i}" for i in range(len(by))), "_first")
-        same = reduce(lambda x, y: x & y, (F.col(f"_g{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(by))))
-        placed = cut(placed.join(firsts, same).withColumn("_at", F.col("_at") - F.col("_first") + start), "positions")
+        groups = [f"g{i}" for i in range(len(by))]
+        firsts = placed.groupBy(*groups).agg(F.min("at").alias("first")).toDF(*(f"of_{g}" for g in groups), "first")
+        same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups))
+        placed = cut(placed.join(firsts, same).withColumn("at", F.col("at") - F.col("first") + start), "positions")
         discard(spark, made)
-    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()), F.col("_at").alias(name))
+    return placed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("at").alias(name))

@@ -40,7 +40,7 @@ def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latched(stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", REACHED, DELAY)
-    return found.select("user_id", F.unix_micros("ts").alias("ts_us"), "event_id")
+    return found.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("reached_at"), "event_id")
 
 
 QUERIES = {
@@ -68,7 +68,7 @@ SELECT event_id, user_id, i AS position, {FIRST_MS} + i * {STEP_MS} AS delay_ms
   SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1)::BIGINT AS i FROM events)
 """,
     "event_latch": f"""
-SELECT user_id, epoch_us(ts) AS ts_us, event_id FROM (
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS reached_at, event_id FROM (
   SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value >= {REACHED} AND ts IS NOT NULL AND event_id IS NOT NULL)
 WHERE i = 1
 """,

@@ -35,7 +35,7 @@ def _rows(n, users, hot=0.7):
     return [(a, int(b), int(c), int(d), None if e is None else float(e), x, int(y)) for a, b, c, d, e, x, y in out]
 
 
-SCHEMA = "user string, kind int, t long, id long, v double, position string, c0 long"
+SCHEMA = "user string, kind int, t long, id long, v double, position string, at long"
 
 
 def _null_first(*values):
@@ -104,7 +104,7 @@ def test_nothing_to_smooth(spark):
 def test_positions_against_sorting(spark, partitions, by):
     rows = _rows(1500, 5)
     got = with_position(spark.createDataFrame(rows, SCHEMA), [F.col("t").desc(), "id"], by=by, start=10).collect()
-    assert set(got[0].asDict()) == {"user", "kind", "t", "id", "v", "position", "c0"}
+    assert set(got[0].asDict()) == {"user", "kind", "t", "id", "v", "position", "at"}
     at = [SCHEMA.replace(",", "").split().index(c) // 2 for c in by]
     seen, want = {}, {}
     for r in sorted(rows, key=lambda r: (-r[2], r[3])):
@@ -113,6 +113,14 @@ def test_positions_against_sorting(spark, partitions, by):
     assert {r["id"]: r["position"] for r in got} == want
 
 
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(2, "b", 1.0, 5, 6), (1, "a", 3.0, 7, 8)], "part int, g0 string, c0 double, `meta.k` int, a int")
+    got = with_position(frame, ["meta.k"], "before", by=["part"]).orderBy("part").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 3.0, 7, 8, 0), (2, "b", 1.0, 5, 6, 0)]
+    got = exponential_smoothing(frame, ["g0"], ["meta.k"], "c0", 0.5, "a").orderBy("part").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 3.0, 7, 1.5), (2, "b", 1.0, 5, 0.5)]
+
+
 def test_positions_have_no_window(spark):
     plan = with_position(spark.range(100).toDF("id"), ["id"])._jdf.queryExecution().toString()
     assert "Window" not in plan
