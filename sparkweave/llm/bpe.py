@@ -49,6 +49,8 @@ ROW_BITS = 15  # of one row of the bit map, as Spark's bitmap functions have it
 LONG_RUN = 100_000
 #: A chunk is hot from so many occurrences on, or from a thousandth of all, and meets its tokens in SALTS tasks.
 HOT, SALTS = 4096, 64
+#: Characters of texts whose results a task gives on together.
+GIVEN = 1 << 22
 
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -251,7 +253,8 @@ def _result(c: Codec, ids: list[int], digest: str, want: str) -> tuple:
         raise ValueError("the decoded text differs from the text")
     if want == "digests":
         return len(ids), hashlib.sha256(",".join([c.text_of[i] for i in ids]).encode()).hexdigest(), digest
-    return ids, decoded.decode("utf-8")
+    # As numbers of four bytes, not as objects.
+    return np.asarray(ids, np.int32), decoded.decode("utf-8")
 
 
 WANTS = {"digests": ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"], "ids": ["ids array<int>", "decoded string"]}
@@ -264,10 +267,15 @@ def _split(file, sketch, keys: list[str], want: str):
     def run(batches):
         c, bits = codec(file.value), sketch.value
         part, count = TaskContext.get().partitionId(), 0
+        columns = [*keys, *names, "row_id", "i", "digest", "hash", "bytes", "ids_"]
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for row in pdf.itertuples(index=False):
                 key, text = row[:-1], row[-1] or ""
+                size += len(text)
+                if size > GIVEN:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], len(text)
                 data = text.encode()
                 digest = hashlib.sha256(data).hexdigest()
                 found = chunks(data)
@@ -281,7 +289,7 @@ def _split(file, sketch, keys: list[str], want: str):
                 row_id, count = part << 40 | count, count + 1
                 for i, (x, h, a) in enumerate(zip(found, hashes, again)):
                     out.append((*key, *[None] * len(names), row_id, i, digest, h if a else None, x if a else None, None if a else c.pack(c.encode(x.decode()))))
-            yield pd.DataFrame(out, columns=[*keys, *names, "row_id", "i", "digest", "hash", "bytes", "ids_"])
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 

@@ -49,6 +49,7 @@ PIECE = 1 << 16
 QUERIES = 2048
 #: Of keep_similar(): fingerprints, words of their shingles, and bits in which they may differ.
 SEEDS, SEED_SHINGLE, SEED_DISTANCE = 12, 2, 3
+SEED_PIECE = 1 << 13
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -252,14 +253,28 @@ def fingerprints(text: str | None, shingle: int = SEED_SHINGLE) -> np.ndarray:
     for j in range(1, shingle if n > 0 else len(found)):
         codes = (codes ^ (codes >> np.uint64(31))) * _FACTORS[0] + words[j : j + max(1, n)]
     total = np.zeros((SEEDS, 64), np.int64)
-    for i in range(0, len(codes), PIECE):
-        for k in range(SEEDS):
-            own = (codes[i : i + PIECE] ^ _TURNS[k]) * _FACTORS[k]
-            own = (own ^ (own >> np.uint64(32))) * _FACTORS[k]
-            total[k] += np.unpackbits((own ^ (own >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
+    for i in range(0, len(codes), SEED_PIECE):
+        own = (codes[None, i : i + SEED_PIECE] ^ _TURNS[:, None]) * _FACTORS[:, None]
+        own = (own ^ (own >> np.uint64(32))) * _FACTORS[:, None]
+        total += bit_counts(own ^ (own >> np.uint64(29)))
     return np.packbits(2 * total > len(codes), axis=1).view(">i8").ravel().astype(np.int64)
 
 
+def bit_counts(codes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each row of codes; bits are in the order of their place in a byte, then of the byte.
+
+    Up to 255 numbers are added at once, with a byte for each bit's count.
+    """
+    rows, n = codes.shape
+    width = min(255, n)
+    lanes = np.concatenate((codes, np.zeros((rows, -n % width), np.uint64)), 1).reshape(rows, -1, width)
+    out = np.empty((rows, 8, 8), np.int64)
+    for k in range(8):
+        sums = ((lanes >> np.uint64(k)) & np.uint64(0x0101010101010101)).sum(2)
+        out[:, k] = sums.view(np.uint8).reshape(rows, -1, 8).sum(1, dtype=np.int64)
+    return out.reshape(rows, 64)
+
+
 def _seed_blocks(size: int):
     """Rows seed, fp in order, cut into blocks that hold one seed each."""
 

@@ -668,6 +668,13 @@ def _kept_by_hand(rows, shingle=5):
     return sorted(min(rows[j][0] for j in range(len(rows)) if root[j] == k) for k in set(root))
 
 
+def test_bit_counts():
+    for n in (1, 3, 255, 256, 700):
+        codes = np.random.default_rng(n).integers(0, 1 << 64, (4, n), dtype=np.uint64)
+        want = [[int((row >> np.uint64(8 * byte + k) & np.uint64(1)).sum()) for k in range(8) for byte in range(8)] for row in codes]
+        assert simhash.bit_counts(codes).tolist() == want
+
+
 def test_similar_texts_go(spark):
     """A group of near copies larger than any block, pairs of a similarity of 0.9 and more, and some below 0.8."""
     r = np.random.default_rng(12)
