@@ -16,15 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain_words(text: Column) -> Column:
-    """The words of a text, and empty strings between: as words(), but split at single characters, which needs no pattern."""
-    plain = text
-    for c in "\t\n\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    # Most lines have spaces alone, and one search is cheaper than all replacements.
-    return F.split(F.when(text.rlike(r"[\x09-\x0D]"), plain).otherwise(text), " ")
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each changed until df has no column of that name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -7,13 +7,16 @@ that of ids (null last), texts' hashes and line numbers. Lines without words sta
 Equal lines are grouped first, by the lines themselves; all that follows sees one of
 each, the earliest. Words are ordered by rarity: all words of these lines are counted
 into a table of 2 ** SLOT_BITS counters, which only sets the order, so that words
-sharing a counter cost time but no matches. Of n words the first
+sharing a counter cost time but no matches. Lines are split, hashed and sorted in numpy,
+many at a time, and pairs are compared in Python tasks; array functions took about twice the
+time. Of n words the first
 n - ceil(SIMILAR n) + 1 are the prefix; similar lines share a word of their prefixes.
 Pairs of postings must pass the length filter, the positional filter and a parity
 filter (64 bits, each flipped by words; the bits that differ are at most the words
-that are in one line only). What is left is verified with the words themselves. Words
-are 25 bits of a hash and the rarity in all this, which adds pairs to verify where
-words meet by chance, and loses none.
+that are in one line only; later one of 256 bits). What is left is verified with the words
+themselves. Words are 25 bits of a hash and the rarity in the filters, which adds pairs to
+verify where words meet by chance, and loses none; words of one line are counted as
+equal by 57 bits of a hash.
 
 So that large groups of similar lines do not give all their pairs, lines that share
 frequent words are first compared with the earliest line that has the word in its
@@ -33,23 +36,32 @@ lines take time in proportion to it.
 
 from __future__ import annotations
 
+from itertools import chain
 from math import log2
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WRITING, cut, discard, plain_words, read_table, settings
+from .common import NOT_WS, WRITING, cut, discard, read_table, settings
 
 #: As a fraction, so that all bounds are whole numbers.
 SIMILAR = (4, 5)
-SLOT_BITS = 20
+SLOT_BITS = 22
 HASH_BITS = 25
+#: Slots of which the levels leave a task together.
+ROW_BITS = 14
+#: Slots of lines whose texts are read.
+MARK_BITS = 20
 #: Sizes of one class differ by less than this factor, which is more than similar lines' sizes do.
 CLASS = 1.26
 #: Words are frequent from so many occurrences on.
 FREQUENT = 512
-#: Lines of more words have a parity of 256 bits too, which pairs must pass before texts are read.
-WIDE = 48
+#: Characters of lines that are worked on together; a longer line is worked on alone.
+CHUNK = 1 << 22
 #: Lines that ask all others under one key.
 ASKERS = 256
 
@@ -74,7 +86,7 @@ def slot_marks(spark: SparkSession, slots: DataFrame) -> bytes:
     """slots: slot. A bit for each slot, seven to a byte, so that plans that hold it stay small."""
     bit = F.call_function("shiftleft", F.lit(1), F.col("slot") % 7)
     rows = slots.groupBy(F.floor(F.col("slot") / 7).cast("int").alias("at")).agg(F.bit_or(bit).alias("level"))
-    return slot_table(spark, rows.withColumnRenamed("at", "slot"), -(-(1 << SLOT_BITS) // 7))
+    return slot_table(spark, rows.withColumnRenamed("at", "slot"), -(-(1 << MARK_BITS) // 7))
 
 
 def _marked(marks: bytes, slot: Column) -> Column:
@@ -82,7 +94,7 @@ def _marked(marks: bytes, slot: Column) -> Column:
 
 
 def _slot(value: Column) -> Column:
-    return F.hash(value).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    return F.hash(value).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
 
 
 def unique_lines(docs: DataFrame, made: list[str]) -> DataFrame:
@@ -94,10 +106,51 @@ def unique_lines(docs: DataFrame, made: list[str]) -> DataFrame:
     return cut(first.select(F.monotonically_increasing_id().alias("id"), "line", "at"), "lines", made)
 
 
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, line by line, and how many words each line has."""
+    found = [x.encode("utf-8", "surrogatepass").split() for x in lines]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), np.uint64, int(n.sum())), n
+
+
+def _chunks(batches):
+    """Record batches in slices of CHUNK characters, each with its lines."""
+    for batch in batches:
+        lines = batch.column("line").to_pylist()
+        ends = np.cumsum([len(x) for x in lines])
+        begin = 0
+        while begin < len(lines):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right")))
+            yield batch.slice(begin, end - begin), lines[begin:end]
+            begin = end
+
+
+def _counted(batches):
+    """slot, n: how many words of the lines of a partition fall into each slot."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for _, lines in _chunks(batches):
+        counts += np.bincount((_hashes(lines)[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
+    at = np.nonzero(counts)[0]
+    for i in range(0, len(at), 1 << 16):
+        some = at[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The levels of one row of slots, a byte for each."""
+    level = np.zeros(1 << ROW_BITS, np.uint8)
+    level[pdf["slot"] % len(level)] = np.minimum(63, 2 * np.log2(pdf["n"] + 1))
+    return pd.DataFrame({"row": [pdf["slot"].iloc[0] // len(level)], "level": [level.tobytes()]})
+
+
 def rarity(lines: DataFrame) -> bytes:
-    """For each slot twice the logarithm of how many words of all lines fall into it."""
-    counts = lines.select(F.explode(plain_words(F.col("line"))).alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n"))
-    return slot_table(lines.sparkSession, counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("level")), 1 << SLOT_BITS)
+    """For each slot twice the logarithm of how many words of all lines fall into it, 0 to 63."""
+    counts = lines.select("line").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros((1 << (SLOT_BITS - ROW_BITS), 1 << ROW_BITS), np.uint8)
+    with settings(lines.sparkSession, WRITING):
+        for r in counts.groupBy(F.shiftright("slot", ROW_BITS)).applyInPandas(_levels, "row int, level binary").collect():
+            out[r["row"]] = np.frombuffer(r["level"], np.uint8)
+    return out.tobytes()
 
 
 def frequent() -> int:
@@ -105,26 +158,54 @@ def frequent() -> int:
     return int(2 * log2(FREQUENT + 1)) << HASH_BITS
 
 
-def _word_set(line: Column) -> Column:
-    return F.array_except(plain_words(line), F.array(F.lit("")))
+def _tokens(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each line in order, the rarest first, and how many each line has."""
+    h, n = _hashes(lines)
+    at = np.repeat(np.arange(len(lines)), n)
+    # Six bits of rarity and 57 of the hash; a token is the upper half.
+    key = (table[h >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(57)) | (h & np.uint64((1 << 57) - 1))
+    order = np.lexsort((key, at))
+    key, at = key[order], at[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    return (key[fresh] >> np.uint64(57 - HASH_BITS)).astype(np.int32), np.bincount(at[fresh], minlength=len(lines))
+
 
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values))
 
-def _tokens(table: bytes) -> Column:
-    """The tokens of a line, in order."""
-    token = lambda w: F.call_function("shiftleft", _looked_up(table, _slot(w)), F.lit(HASH_BITS)).bitwiseOR(F.hash(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    return F.sort_array(F.transform(_word_set(F.col("line")), token))
 
+def _indexing(table):
+    """table: a broadcast of rarity()."""
 
-def index_lines(lines: DataFrame, table: bytes, made: list[str]) -> DataFrame:
-    """id, at, n (words), parity, and prefix, tokens in order."""
-    tokens = lines.select("id", "at", _tokens(table).alias("t")).withColumn("n", F.size("t"))
-    # Shifts go by the last six bits of a token.
-    flip = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t)
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(flip(t)))
-    # Lines of many words flip all of 64 bits more than once; two more bits of a token choose one of four times as many.
-    part = lambda k: F.aggregate(F.filter("t", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(flip(t)))
-    wide = F.when(F.col("n") > WIDE, F.struct(*(part(k).alias(f"p{k}") for k in range(4))))
-    return cut(tokens.select("id", "at", "n", parity.alias("parity"), wide.alias("wide"), F.slice("t", 1, _prefix(F.col("n"))).alias("prefix")), "index", made)
+    def run(batches):
+        levels = np.frombuffer(table.value, np.uint8)
+        for batch, lines in _chunks(batches):
+            t, n = _tokens(lines, levels)
+            begin = np.cumsum(n) - n
+            bit = np.uint64(1) << (t & 63).astype(np.uint64)
+            wide = [np.bitwise_xor.reduceat(np.where((t >> 6) & 3 == k, bit, np.uint64(0)), begin).view(np.int64) for k in range(4)]
+            num, den = SIMILAR
+            first = n + 1 + (-n * num) // den
+            inside = np.arange(len(t)) - np.repeat(begin, n) < np.repeat(first, n)
+            columns = [batch.column("id"), batch.column("at"), pa.array(n.astype(np.int32)), pa.array(wide[0] ^ wide[1] ^ wide[2] ^ wide[3]), *map(pa.array, wide), _lists(t[inside], first)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "parity", "p0", "p1", "p2", "p3", "prefix"])
+
+    return run
+
+
+def _all_tokens(table):
+    def run(batches):
+        for batch, lines in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(*_tokens(lines, np.frombuffer(table.value, np.uint8)))], ["id", "t"])
+
+    return run
+
+
+def index_lines(lines: DataFrame, table, made: list[str]) -> DataFrame:
+    """id, at, n (words), parity, the same in four parts of 64 bits each, and prefix, tokens in order."""
+    kind = f"id long, at {lines.schema['at'].dataType.simpleString()}, n int, parity long, p0 long, p1 long, p2 long, p3 long, prefix array<int>"
+    return cut(lines.select("id", "at", "line").mapInArrow(_indexing(table), kind), "index", made)
 
 
 def _prefix(n: Column) -> Column:
@@ -146,6 +227,17 @@ def _near(a: str, b: str, words: int = 1) -> Column:
     return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= (den - num) * (n + m))
 
 
+def _similar(batches):
+    """The ids of the later lines of pairs whose words are similar enough."""
+    num, den = SIMILAR
+    for pdf in batches:
+        ok = []
+        for x, y in zip(pdf["line_late"], pdf["line_early"]):
+            a, b = (set(line.encode("utf-8", "surrogatepass").split()) for line in (x, y))
+            ok.append((num + den) * len(a & b) >= num * (len(a) + len(b)))
+        yield pd.DataFrame({"id": pdf["late"][np.array(ok, bool)]})
+
+
 def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[str]) -> DataFrame:
     """Of the pairs x, y (far: bits that differ) whose words are similar enough, the id of the later line (distinct).
 
@@ -156,10 +248,10 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     """
     num, den = SIMILAR
     made: list[str] = []
-    x, y = (index.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "xy")
+    x, y = (index.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("at", "n", "p0", "p1", "p2", "p3"))) for k in "xy")
     later = F.col("at_x") > F.col("at_y")
-    apart = sum((F.bit_count(F.col(f"wide_x.p{k}").bitwiseXOR(F.col(f"wide_y.p{k}"))) for k in range(1, 4)), F.bit_count(F.col("wide_x.p0").bitwiseXOR(F.col("wide_y.p0"))))
-    placed = pairs.join(x, "x").join(y, "y").filter(F.coalesce((num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y")), F.lit(True)))
+    apart = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(1, 4)), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
+    placed = pairs.join(x, "x").join(y, "y").filter((num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y")))
     ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "pairs", made)
 
     def similar(some: DataFrame) -> DataFrame:
@@ -168,9 +260,8 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
         marks = slot_marks(lines.sparkSession, asked.select(slot.alias("slot")).distinct())
         read = cut(lines.filter(_marked(marks, slot)).join(asked, "id", "left_semi").select("id", "line"), "asked", made)
         one, two = (read.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("late", "early"))
-        both = some.select("late", "early").join(one, "late").join(two, "early").select("late", _word_set(F.col("line_late")).alias("v"), _word_set(F.col("line_early")).alias("w"))
-        enough = both.filter((num + den) * F.size(F.array_intersect("v", "w")) >= num * (F.size("v") + F.size("w")))
-        return cut(enough.select(F.col("late").alias("id")).distinct(), "matched", kept)
+        both = some.select("late", "early").join(one, "late").join(two, "early").select("late", "line_late", "line_early")
+        return cut(both.mapInPandas(_similar, "id long").distinct(), "matched", kept)
 
     nearest = cut(ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early"), "nearest", made)
     first = similar(nearest)
@@ -199,7 +290,7 @@ def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
-def _by_frequent(lines: DataFrame, index: DataFrame, table: bytes, done: DataFrame, least: int, made: list[str]) -> DataFrame:
+def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, least: int, made: list[str]) -> DataFrame:
     """The later lines of similar pairs that share frequent words; lines that are done ask no more."""
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
     some = index.filter(F.element_at("prefix", -1) >= least).join(done.withColumn("done", F.lit(True)), "id", "left")
@@ -223,7 +314,7 @@ def _by_frequent(lines: DataFrame, index: DataFrame, table: bytes, done: DataFra
         if many.isEmpty():
             return cut(matched.distinct(), "matched", made)
         left = many.join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("asks", F.col("asks") & F.col("found").isNull())
-        tokens = cut(lines.join(many.select("id").distinct(), "id", "left_semi").select("id", _tokens(table).alias("t")), "tokens", made)
+        tokens = cut(lines.join(many.select("id").distinct(), "id", "left_semi").select("id", "line").mapInArrow(_all_tokens(table), "id long, t array<int>"), "tokens", made)
         further = F.slice("t", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n")) + words - F.col("pos") - 1))
         rows = left.join(tokens, "id").select("key", "id", "at", "n", "parity", "pos", "asks", F.posexplode(further).alias("j", "tok"))
         rows = rows.select(F.xxhash64("key", "tok").alias("key"), "id", "at", "n", "parity", (F.col("pos") + 1 + F.col("j")).alias("pos"), "asks")
@@ -234,7 +325,7 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. Returns doc, th and `stay`, the numbers of the lines with words that stay."""
     made: list[str] = []
     lines = unique_lines(docs, made)
-    table = rarity(lines)
+    table = docs.sparkSession.sparkContext.broadcast(rarity(lines))
     index = index_lines(lines, table, made)
     least = frequent()
     first = verified(lines, index, _with_first(index, least), made)
@@ -244,6 +335,7 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     left = index.select("id", "at").join(gone, "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
     discard(docs.sparkSession, made)
+    table.destroy()
     return out
 
 
