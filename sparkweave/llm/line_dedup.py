@@ -8,8 +8,7 @@ Equal lines are grouped first, by the lines themselves; all that follows sees on
 each, the earliest. Words are ordered by rarity: all words of these lines are counted
 into a table of 2 ** SLOT_BITS counters, which only sets the order, so that words
 sharing a counter cost time but no matches. Lines are split, hashed and sorted in numpy,
-many at a time, and pairs are compared in Python tasks; array functions took about twice the
-time. Of n words the first
+many at a time, and pairs are compared in Python tasks. Of n words the first
 n - ceil(SIMILAR n) + 1 are the prefix; similar lines share a word of their prefixes.
 Pairs of postings must pass the length filter, the positional filter and a parity
 filter (64 bits, each flipped by words; the bits that differ are at most the words
