@@ -2,7 +2,7 @@
 
 1. Language identification: documents without a known language go.
 2. Line deduplication: lines similar to an earlier line go, and documents of which nothing is left.
-3. SimHash near-duplicates: of each group of documents with a similarity of 0.8 or more, in sets of five words, the one with the smallest id stays; several fingerprints find the candidates.
+3. SimHash near-duplicates: of each group of documents with a similarity of 0.8 or more, in sets of five words, the one with the smallest id stays; fingerprints find candidates, and an exact join the rest.
 4. Mixing: documents as the mix takes them, some in part, some more than once.
 5. BPE: the tokens of each document of the mix, and the text decoded from them.
 

@@ -14,11 +14,10 @@ The width of shingles and the distance are parameters. Texts of any length are
 hashed in pieces. Of a table only fingerprints and ids go through the joins that may
 have hot keys.
 
-One fingerprint misses most pairs whose similarity is little above 0.8. keep_similar()
-takes several, each from other bits of the shingles' hashes, in one index with a
-part for each; the nearest neighbours in any of them are candidates, and pairs count by
-the exact similarity of their full sets of shingles. There empty texts are linked
-with nothing.
+Fingerprints miss most pairs whose similarity is little above 0.8. keep_similar() compares
+the full sets of shingles of texts whose fingerprints are linked, and finds all other
+similar pairs by the exact join of set_join.py, so that none is lost. There empty texts
+are linked with nothing.
 
 Null, empty and white-space texts have fingerprint 0 and link like any other.
 Repeated rows and ids stay, with equal results. Null ids take part, and a
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, read_table
 from .components import components
 from .minhash import confirmed, shingle_set
+from .set_join import across, meetings
 
 SHINGLE = 3
 SEED = 42
@@ -47,8 +47,8 @@ BLOCK = 1024
 MAX_BLOCKS = 1 << 16
 PIECE = 1 << 16
 QUERIES = 2048
-#: Of keep_similar(): fingerprints, words of their shingles, and bits in which they may differ.
-SEEDS, SEED_SHINGLE, SEED_DISTANCE = 12, 2, 3
+#: Of keep_similar(): fingerprints, and words of their shingles.
+SEEDS, SEED_SHINGLE = 1, 2
 SEED_PIECE = 1 << 13
 
 
@@ -275,87 +275,7 @@ def bit_counts(codes: np.ndarray) -> np.ndarray:
     return out.reshape(rows, 64)
 
 
-def _seed_blocks(size: int):
-    """Rows seed, fp in order, cut into blocks that hold one seed each."""
-
-    def run(batches):
-        part, number, seed, rest = TaskContext.get().partitionId(), 0, None, np.empty(0, np.int64)
-
-        def block(fps):
-            nonlocal number
-            number += 1
-            return pd.DataFrame({"seed": seed, "block": part << 32 | number, "fp": fps})
-
-        for pdf in batches:
-            for s, own in pdf.groupby("seed", sort=True):
-                if s != seed and len(rest):
-                    yield block(rest)
-                    rest = rest[:0]
-                seed, rest = s, np.concatenate((rest, own["fp"].to_numpy(np.int64)))
-                while len(rest) >= size:
-                    yield block(rest[:size])
-                    rest = rest[size:]
-        if len(rest):
-            yield block(rest)
-
-    return run
-
-
-def _seed_route(directory, most: int):
-    """Sends each fingerprint to its own block and to those of its seed that may hold a neighbour before it or after it."""
-
-    def run(batches):
-        parts = {s: (names, build(mask, value)) for s, (names, mask, value) in directory.value.items()}
-        for pdf in batches:
-            for s, rows in pdf.groupby("seed", sort=False):
-                names, levels = parts[s]
-                fp, own = rows["fp"].to_numpy().view(np.uint64), np.searchsorted(names, rows["block"].to_numpy())
-                for q, at in search(levels, fp, most):
-                    keep = at >= own[q]
-                    q, at = q[keep], at[keep]
-                    yield pd.DataFrame({"seed": s, "block": names[at], "fp": fp[q].view(np.int64), "own": at == own[q]})
-
-    return run
-
-
-def _seed_nearest(most: int):
-    """For each fingerprint in a block the nearest one of the block's own besides itself: seed, a, b, far."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
-        home = fp[own]
-        home = home[np.argsort(gray_rank(home))]
-        levels = build(np.full(len(home), ~np.uint64(0)), home)
-        out = [(home[:0], home[:0])]
-        for q, item in search(levels, fp, most):
-            far = np.bitwise_count(fp[q] ^ home[item])
-            q, item, far = q[far > 0], item[far > 0], far[far > 0]
-            first = np.lexsort((item, far, q))
-            first = first[np.diff(q[first], prepend=-1) != 0]
-            out.append((fp[q[first]], home[item[first]]))
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"seed": pdf["seed"].iloc[0], "a": a.view(np.int64), "b": b.view(np.int64), "far": np.bitwise_count(a ^ b).astype(np.int32)})
-
-    return run
-
-
-def nearest(codes: DataFrame, most: int, made: list[str]) -> DataFrame:
-    """codes: seed, fp, distinct. Returns seed, a, b, far: for each fingerprint the nearest one in each block that has one within `most` bits, from one side at least."""
-    spark = codes.sparkSession
-    n = codes.groupBy("seed").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    size = max(BLOCK, -(-n // MAX_BLOCKS))
-    ordered = codes.repartitionByRange("seed", _gray_column(F.col("fp"))).sortWithinPartitions("seed", _gray_column(F.col("fp")))
-    blocks = cut(ordered.select("seed", "fp").mapInPandas(_seed_blocks(size), "seed int, block long, fp long"), "blocks", made)
-    top = blocks.groupBy("seed", "block").agg(F.bit_and("fp").alias("x"), F.bit_or("fp").alias("y")).orderBy("seed", "block").toPandas()
-    directory = {}
-    for s, own in top.groupby("seed"):
-        all_set, any_set = (own[k].to_numpy(np.int64).view(np.uint64) for k in "xy")
-        directory[s] = (own["block"].to_numpy(np.int64), ~(all_set ^ any_set), all_set)
-    routed = blocks.mapInPandas(_seed_route(spark.sparkContext.broadcast(directory), most), "seed int, block long, fp long, own boolean")
-    return cut(routed.groupBy("block").applyInPandas(_seed_nearest(most), "seed int, a long, b long, far int"), "nearest", made)
-
-
-def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, most: int = SEED_DISTANCE) -> DataFrame:
+def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, most: int = DISTANCE) -> DataFrame:
     """The rows with the smallest id of each group of texts whose sets of `shingle` words have a similarity of 0.8 or more; of groups without an id, and of rows that repeat such an id and text, one row. Texts without words stay."""
     spark = docs.sparkSession
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -363,35 +283,38 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     text, doc_id = own[text], own[doc_id]
     made: list[str] = []
 
-    @F.pandas_udf("digest binary, fps array<long>")
+    @F.pandas_udf("digest binary, fp long")
     def marks(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, shingle) for x in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "fps": [fingerprints(x) if len(s) else None for x, s in zip(texts, sets)]})
+        fps = pd.array([int(fingerprints(x)[0]) if len(s) else None for x, s in zip(texts, sets)], dtype="Int64")
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "fp": fps})
 
     keyed = named.withColumn("th", F.xxhash64(text))
     marked = cut(keyed.select(F.col(doc_id).alias("doc"), "th", marks(text).alias("m")).select("doc", "th", "m.*"), "marked", made)
     place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th")
-    sets = marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("at"), F.any_value("fps").alias("fps"))
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "at", "fps"), "sets", made)
-
-    codes = cut(sets.select("id", F.posexplode("fps").alias("seed", "fp")), "codes", made)
-    firsts = cut(codes.groupBy("seed", "fp").agg(F.min("id").alias("first")), "firsts", made)
-    near = nearest(firsts.select("seed", "fp"), most, made)
-    one, two = (firsts.select("seed", F.col("fp").alias(k), F.col("first").alias(x)) for k, x in (("a", "x"), ("b", "y")))
-    apart = near.join(one, ["seed", "a"]).join(two, ["seed", "b"]).select("x", "y", "far")
-    equal = codes.join(firsts, ["seed", "fp"]).filter("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"), F.lit(0).alias("far"))
-    pairs = apart.unionByName(equal).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "far").filter("a <> b").groupBy("a", "b").agg(F.min("far").alias("far"))
-    pairs = cut(pairs, "pairs", made)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "at"), "id").select("id", "at.doc", "at.th")
-    texts = keyed.alias("o").join(asked.hint("shuffle_hash").alias("q"), F.col(f"o.{doc_id}").eqNullSafe(F.col("q.doc")) & (F.col("o.th") == F.col("q.th"))).select("id", F.col(text).alias("text"))
-    texts = cut(texts, "texts", made)
-    # Each set is compared with its nearest first, and others only with those not yet in its group.
-    best = cut(pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("n")).select("a", "n.b"), "best", made)
-    first = confirmed(best, texts, shingle, made)
+    sets = marked.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("at"), F.any_value("fp").alias("fp"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "at", "fp"), "sets", made)
+    asked = sets.select("id", "at.doc", "at.th").hint("shuffle_hash").alias("q")
+    texts = keyed.alias("o").join(asked, F.col(f"o.{doc_id}").eqNullSafe(F.col("q.doc")) & (F.col("o.th") == F.col("q.th"))).select("id", F.col(text).alias("text"))
+    texts = cut(texts.dropDuplicates(["id"]), "texts", made)
+
+    # First come the sets whose fingerprints are linked, and the first of the many that share a shingle.
+    firsts = cut(sets.groupBy("fp").agg(F.min("id").alias("first")), "firsts", made)
+    near = links(firsts.select("fp"), most)
+    one, two = (firsts.select(F.col("fp").alias(k), F.col("first").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    apart = near.join(one, "a").join(two, "b").select("x", "y")
+    equal = sets.join(firsts, "fp").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    bits, met = meetings(texts, shingle, made)
+    leading = met.filter("key IS NOT NULL AND b IS NOT NULL").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    pairs = apart.unionByName(equal).unionByName(leading).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    first = confirmed(cut(pairs, "pairs", made), texts, shingle, made)
     roots = cut(components(first), "roots", made)
+
+    # Then all others that may be similar and are not yet in one component.
     root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    second = confirmed(apart.select("a", "b"), texts, shingle, made)
+    others = met.filter("key IS NULL").select("a", "b").unionByName(across(bits, met, roots, made)).distinct()
+    others = others.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    second = confirmed(cut(others.select("a", "b"), "others", made), texts, shingle, made)
     roots = cut(components(first.unionByName(second)), "roots", made)
 
     placed = sets.join(roots, F.col("id") == F.col("node"), "left").select("at", F.coalesce("root", "id").alias("root"))

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sparkweave.llm import divergence, minhash, search
+from sparkweave.llm import divergence, minhash, search, set_join, simhash
 from sparkweave.llm.common import term_table, terms
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, rank string, comp long, `a.b` string"
@@ -216,3 +216,53 @@ def test_search_without_items_or_documents(spark, folder, empty):
     docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     assert search.rank_documents(docs, items.limit(0)).collect() == []
     assert search.rank_documents(docs.limit(0), items).collect() == []
+
+
+@pytest.mark.parametrize("many, block, common", [(16, 2048, 16), (2, 8, 1)])
+def test_no_similar_pair_is_lost(spark, monkeypatch, many, block, common):
+    """Pairs of a similarity of 0.81 and of 0.79, a passage in many texts, and a group larger than a block; the small limits send nearly all through blocks."""
+    monkeypatch.setattr(set_join, "MANY", many)
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(set_join, "COMMON", common)
+    r = np.random.default_rng(7)
+    words = lambda n: [f"x{i}" for i in r.integers(0, 1 << 40, n)]
+    texts, passage = [], words(60)
+    for i in range(200):
+        w = words(100) if i % 4 else passage + words(40)
+        v = list(w)
+        for k in (70, 80) if i % 5 else (70, 80, 90):
+            v[k] = "new"
+        texts += [w, v]
+    base = words(100)
+    for i in range(60):
+        v = list(base)
+        v[i], v[99 - i] = words(2)
+        texts.append(v)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    kept = {x["doc_id"] for x in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(96)} for w in texts]
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert {i for i in range(400) if i not in kept} == {i + 1 for i in range(0, 400, 2) if similar(i, i + 1)}
+    root = list(range(400, 460))
+    for i in range(60):
+        for j in range(i):
+            if similar(400 + i, 400 + j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert {x for x in kept if x >= 400} == set(root)
+
+
+def test_meeting_keys_over_batches():
+    import pyarrow as pa
+
+    sizes, key, ids = [1, 5, 16, 17, 40, 2, 1, 90], [], []
+    for k, n in enumerate(sizes):
+        key += [k - 3] * n
+        ids += range(100 * k, 100 * k + n)
+    table = pa.table({"key": pa.array(key, pa.int64()), "id": pa.array(ids, pa.int64()), "n": pa.array([50] * len(key), pa.int32()), "pos": pa.array([1] * len(key), pa.int32())})
+    for size in (1, 3, 7, 1000):
+        got = pa.Table.from_batches(list(set_join._meet(table.to_batches(max_chunksize=size)))).to_pylist()
+        pairs = [(x["a"], x["b"]) for x in got if x["key"] is None]
+        assert sorted(pairs) == sorted((100 * k + a, 100 * k + b) for k, n in enumerate(sizes) if n <= set_join.MANY for a in range(n) for b in range(a))
+        rows = [(x["key"], x["a"], x["b"]) for x in got if x["key"] is not None]
+        assert rows == [(k - 3, 100 * k + a, 100 * k if a else None) for k, n in enumerate(sizes) if n > set_join.MANY for a in range(n)]
