@@ -22,9 +22,11 @@ frequent words are first compared with the earliest line that has the word in it
 prefix; only lines that find no match there go on to ask all others. The postings of
 frequent words are divided by size classes, of which only neighbours can match. Where more than
 ASKERS lines still ask under one key, they are compared with the key's earliest line, and
-the key grows by one more word for those that are left: lines that are similar enough share l words
-at least of prefixes that are l - 1 words longer, so that the first l words that they
-share are a key of both. So frequent words cost no square of their lines.
+those that are left meet all others of the key in numpy, in blocks, with the parity filter
+of 256 bits. Of more than CROWD askers the key first grows by a word: lines that are similar enough
+share l words at least of prefixes that are l - 1 words longer, so that the first l words that they
+share are a key of both. Keys stop at MOST_WORDS words, as lines with a passage in
+common would have a key for each choice of its words.
 
 Null and empty texts have no lines with words and stay as they are. Rows equal in
 id and text share one result. An empty table gives an empty result. Only id and
@@ -64,6 +66,10 @@ _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTES = np.random.default_rng(9).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Lines that ask all others under one key.
 ASKERS = 256
+#: Under a key of more askers than this lines do not meet in blocks, but keys grow by a word, as far as to MOST_WORDS words.
+CROWD, MOST_WORDS = 2048, 2
+#: Lines of a block, and those of it that are compared with all others at once.
+BLOCK, STRIPE = 2048, 128
 
 
 def slot_table(spark: SparkSession, levels: DataFrame, slots: int) -> bytes:
@@ -306,6 +312,40 @@ def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
+def _block_pairs(words: int):
+    """Of two blocks of one key, the pairs of a line of the first that asks and a line of the second that pass the filters."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        num, den = SIMILAR
+        asks = pdf["asking"].to_numpy()
+        x, y = ({c: d[c].to_numpy(np.int64) for c in ("id", "n", "pos", "p0", "p1", "p2", "p3")} | {"asks": d["asks"].to_numpy(bool)} for d in (pdf[asks], pdf[~asks]))
+        out = [(x["id"][:0], x["id"][:0], x["id"][:0])]
+        for s in range(0, len(x["id"]), STRIPE):
+            z = {c: v[s : s + STRIPE, None] for c, v in x.items()}
+            enough = (num + den) * (words - 1 + np.minimum(z["n"] - z["pos"], y["n"] - y["pos"])) >= num * (z["n"] + y["n"])
+            near = enough & (den * z["n"] >= num * y["n"]) & (den * y["n"] >= num * z["n"])
+            i, j = np.nonzero(near & (z["id"] != y["id"]) & ((z["id"] > y["id"]) | ~y["asks"]))
+            i += s
+            parts = [x[p][i] ^ y[p][j] for p in ("p0", "p1", "p2", "p3")]
+            apart = sum(np.bitwise_count(v.view(np.uint64)).astype(np.int64) for v in parts)
+            ok = (num + den) * apart <= (den - num) * (x["n"][i] + y["n"][j])
+            out.append((x["id"][i[ok]], y["id"][j[ok]], apart[ok]))
+        a, b, far = (np.concatenate(v) for v in zip(*out))
+        return pd.DataFrame({"x": a, "y": b, "far": far.astype(np.int32)})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, index: DataFrame, words: int) -> DataFrame:
+    """rows: key, id, n, pos, asks, c (rows of the key). The pairs x, y of lines of one key of which x asks; the key's lines meet in blocks of BLOCK by BLOCK."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    wide = rows.select("key", "id", "n", "pos", "asks", blocks.alias("blocks")).join(index.select("id", "p0", "p1", "p2", "p3"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    askers = wide.filter("asks").withColumn("i", F.col("block")).withColumn("j", every).withColumn("asking", F.lit(True))
+    others = wide.withColumn("i", every).withColumn("j", F.col("block")).withColumn("asking", F.lit(False))
+    return askers.unionByName(others).drop("blocks", "block").groupBy("key", "i", "j").applyInPandas(_block_pairs(words), "x long, y long, far int").groupBy("x", "y").agg(F.min("far").alias("far"))
+
+
 def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, least: int, made: list[str]) -> DataFrame:
     """The later lines of similar pairs that share frequent words; lines that are done ask no more."""
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
@@ -316,9 +356,10 @@ def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, lea
     matched = done.limit(0)
     words = 1
     while True:
-        asked = rows.groupBy("key").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("key", "askers")
+        asked = rows.groupBy("key").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("key", "askers", "c")
         held = cut(rows.join(asked, "key"), "level", made)
         few, many = held.filter(F.col("askers") <= ASKERS), held.filter(F.col("askers") > ASKERS)
+        grows = F.lit(words < MOST_WORDS) & (F.col("askers") > CROWD)
         # Of two lines that both ask one is enough.
         a, b = few.filter("asks").alias("a"), few.alias("b")
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & _near("a", "b", words))
@@ -329,8 +370,12 @@ def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, lea
         matched = matched.unionByName(found)
         if many.isEmpty():
             return cut(matched.distinct(), "matched", made)
-        left = many.join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("asks", F.col("asks") & F.col("found").isNull())
-        tokens = cut(lines.join(many.select("id").distinct(), "id", "left_semi").select("id", "line").mapInArrow(_all_tokens(table), "id long, t array<int>"), "tokens", made)
+        left = many.join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("asks", F.col("asks") & F.col("found").isNull()).drop("found")
+        matched = matched.unionByName(verified(lines, index, _in_blocks(left.filter(~grows), index, words), made))
+        left = left.filter(grows)
+        if left.isEmpty():
+            return cut(matched.distinct(), "matched", made)
+        tokens = cut(lines.join(left.select("id").distinct(), "id", "left_semi").select("id", "line").mapInArrow(_all_tokens(table), "id long, t array<int>"), "tokens", made)
         further = F.slice("t", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n")) + words - F.col("pos") - 1))
         rows = left.join(tokens, "id").select("key", "id", "at", "n", "parity", "pos", "asks", F.posexplode(further).alias("j", "tok"))
         rows = rows.select(F.xxhash64("key", "tok").alias("key"), "id", "at", "n", "parity", (F.col("pos") + 1 + F.col("j")).alias("pos"), "asks")

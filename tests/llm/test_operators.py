@@ -512,6 +512,39 @@ def test_lines_of_frequent_words(spark, tmp_path, monkeypatch, askers):
     assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
 
 
+@pytest.mark.parametrize("crowd, block", [(2048, 2048), (2048, 7), (1, 16)])
+def test_lines_with_a_common_passage(spark, tmp_path, monkeypatch, crowd, block):
+    """Lines that share more words than keys ever have, and few of which are similar: keys do not grow for each choice of the words."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 16)
+    monkeypatch.setattr(line_dedup, "ASKERS", 4)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    levels, cut = [], line_dedup.cut
+
+    def counted(df, name, made=None):
+        out = cut(df, name, made)
+        if name == "level":
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    r = np.random.default_rng(8)
+    passage, common = [f"p{i}" for i in range(30)], [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        w = passage + list(map(str, r.choice(common, 20, replace=False)))
+        if i % 4 == 3:
+            w = texts[i - 1].split()
+            w[int(r.integers(30, 50))] = "new"
+        texts.append(" ".join(w))
+    texts += ["\n".join(" ".join(r.choice(common, 12)) for _ in range(4)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(line_dedup.op9_line_dedup(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert sum(x["n_removed"] for x in rows) >= 15
+    assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
+    assert len(levels) <= line_dedup.MOST_WORDS
+
+
 def test_lines_of_many_words(spark, tmp_path):
     """Lines with as many words as pass the wider parity filter only if they are near."""
     r = np.random.default_rng(3)
