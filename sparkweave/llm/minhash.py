@@ -33,6 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,39 +115,41 @@ def _marks(shingle: int):
     return marks
 
 
-def _neighbours(inner: bool):
+def _neighbours(inner: bool, bounds: bool = False):
     """Of rows key, label, id, comp in order, the pairs a, b of neighbours that pass the screen.
 
     With `inner`, a row's nearest earlier neighbour, or the nearest later one if it has
     none; else all whose comp differs. The rows next to the bounds of a partition come
-    out too, with key and label instead of b.
+    out too, with key and label instead of b, and with the partition's number. With
+    `bounds` rows have that number, and only pairs of different partitions are made.
     """
 
     def run(batches):
-        held, last, first_key = None, None, None
+        held, first_key, number = None, None, TaskContext.get().partitionId()
         for pdf in batches:
             if not len(pdf):
                 continue
             key, ids, comp = (pdf[c].to_numpy(np.int64) for c in ("key", "id", "comp"))
+            part = pdf["part"].to_numpy(np.int64) if bounds else np.full(len(key), number)
             label = np.frombuffer(b"".join(pdf["label"]), np.uint8).reshape(-1, SIZE)
             if first_key is None:
                 first_key, seen = key[0], 0
             head = (key == first_key) & (np.arange(seen, seen + len(key)) < WINDOW)
             seen += len(key)
-            if head.any():
-                yield _edge(key[head], label[head], ids[head], comp[head])
+            if head.any() and not bounds:
+                yield _edge(key[head], label[head], ids[head], comp[head], part[head])
             old = 0
             lonely = np.ones(len(key), bool)
             if held is not None:
                 old = len(held[0])
-                key, label, ids, comp, lonely = (np.concatenate(x) for x in zip(held, (key, label, ids, comp, lonely)))
+                key, label, ids, comp, part, lonely = (np.concatenate(x) for x in zip(held, (key, label, ids, comp, part, lonely)))
             best, to = np.zeros(len(key), np.int64), np.full(len(key), -1)
             later, to_later = np.zeros(len(key), np.int64), np.full(len(key), -1)
             for s in range(1, min(WINDOW, len(key) - 1) + 1):
                 i = np.nonzero(key[s:] == key[:-s])[0] + s
                 if not len(i):
                     break
-                i = i[(i >= old) & (ids[i] != ids[i - s]) & (inner | (comp[i] != comp[i - s]))]
+                i = i[(i >= old) & (ids[i] != ids[i - s]) & (inner | (comp[i] != comp[i - s])) & ((part[i] != part[i - s]) | (not bounds))]
                 same = (label[i] == label[i - s]).sum(1)
                 i, same = i[same >= SCREEN], same[same >= SCREEN]
                 if not inner:
@@ -161,31 +164,31 @@ def _neighbours(inner: bool):
                 yield _pairs(ids[to >= 0], ids[to[to >= 0]])
                 go = lonely & (to_later >= 0)
                 yield _pairs(ids[go], ids[to_later[go]])
-            held = tuple(x[-WINDOW:] for x in (key, label, ids, comp, lonely))
-        if held is not None:
+            held = tuple(x[-WINDOW:] for x in (key, label, ids, comp, part, lonely))
+        if held is not None and not bounds:
             tail = held[0] == held[0][-1]
-            yield _edge(*(x[tail] for x in held[:4]))
+            yield _edge(*(x[tail] for x in held[:5]))
 
     return run
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "key": None, "label": None, "comp": None})
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "key": None, "label": None, "comp": None, "part": None})
 
 
-def _edge(key: np.ndarray, label: np.ndarray, ids: np.ndarray, comp: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": ids, "b": None, "key": key, "label": [x.tobytes() for x in label], "comp": comp})
+def _edge(key: np.ndarray, label: np.ndarray, ids: np.ndarray, comp: np.ndarray, part: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": ids, "b": None, "key": key, "label": [x.tobytes() for x in label], "comp": comp, "part": part})
 
 
 def candidates(forest: DataFrame, inner: bool, made: list[str]) -> DataFrame:
     """forest: key, label, id, comp. Returns distinct pairs a > b."""
-    kind = "a long, b long, key long, label binary, comp long"
+    kind = "a long, b long, key long, label binary, comp long, part long"
     ordered = forest.select("key", "label", "id", "comp").repartitionByRange("key", "label", "id").sortWithinPartitions("key", "label", "id")
     found = cut(ordered.mapInPandas(_neighbours(inner), kind), "neighbours", made)
-    edges = found.filter("b IS NULL").select("key", "label", F.col("a").alias("id"), "comp").dropDuplicates(["key", "id"])
+    edges = found.filter("b IS NULL").select("key", "label", F.col("a").alias("id"), "comp", "part").dropDuplicates(["key", "id"])
     # Regions inside one partition have nothing to add.
     edges = edges.repartition("key").sortWithinPartitions("key", "label", "id")
-    more = edges.mapInPandas(_neighbours(inner), kind).filter("b IS NOT NULL")
+    more = edges.mapInPandas(_neighbours(inner, True), kind).filter("b IS NOT NULL")
     return cut(found.filter("b IS NOT NULL").select("a", "b").unionByName(more.select("a", "b")).distinct(), "candidates", made)
 
 

@@ -198,6 +198,17 @@ def test_neighbours_across_partitions(spark):
     assert {tuple(r) for r in near} <= pairs and len(near) >= 7
 
 
+def test_bounds_add_pairs_of_different_partitions_only(spark):
+    """A region over many partitions: each pair of neighbours comes out once, from its partition or from a bound."""
+    label = bytes(minhash.SIZE)
+    rows = [(7, label, i, i, i // 100) for i in range(400)]
+    frame = spark.createDataFrame(rows, "key long, label binary, id long, comp long, part long").coalesce(1).sortWithinPartitions("id")
+    kind = "a long, b long, key long, label binary, comp long, part long"
+    found = [(x["a"], x["b"]) for x in frame.mapInPandas(minhash._neighbours(False, True), kind).collect()]
+    want = [(a, b) for a in range(400) for b in range(max(0, a - minhash.WINDOW), a) if a // 100 != b // 100]
+    assert sorted(found) == want
+
+
 def test_estimate_is_near_the_similarity():
     for _ in range(20):
         text = _prose(200)
