@@ -179,3 +179,12 @@ def across(sets: DataFrame, met: DataFrame, roots: DataFrame, made: list[str]) -
     rows = rows.join(blocks, "key").join(sets.drop("n"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return dealt.drop("blocks", "other").groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+
+
+def sifted(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a, b that pass the filters by length and by parity. sets: id, n and parities."""
+    num, den = SIMILAR
+    x, y = (sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "p0", "p1", "p2", "p3"))) for k in "ab")
+    far = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    n, m = F.col("n_a").cast("long"), F.col("n_b").cast("long")
+    return pairs.join(x, "a").join(y, "b").filter((den * n >= num * m) & (den * m >= num * n) & ((num + den) * far <= (den - num) * (n + m))).select("a", "b")

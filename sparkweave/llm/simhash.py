@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, read_table
 from .components import components
 from .minhash import confirmed, shingle_set
-from .set_join import across, meetings
+from .set_join import across, meetings, sifted
 
 SHINGLE = 3
 SEED = 42
@@ -296,7 +296,8 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "at", "fp"), "sets", made)
     asked = sets.select("id", "at.doc", "at.th").hint("shuffle_hash").alias("q")
     texts = keyed.alias("o").join(asked, F.col(f"o.{doc_id}").eqNullSafe(F.col("q.doc")) & (F.col("o.th") == F.col("q.th"))).select("id", F.col(text).alias("text"))
-    texts = cut(texts.dropDuplicates(["id"]), "texts", made)
+    texts = cut(cut(texts, "asked", made).dropDuplicates(["id"]), "texts", made)
+    discard(spark, [made.pop(-2)])
 
     # First come the sets whose fingerprints are linked, and the first of the many that share a shingle.
     firsts = cut(sets.groupBy("fp").agg(F.min("id").alias("first")), "firsts", made)
@@ -307,14 +308,21 @@ def keep_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     bits, met = meetings(texts, shingle, made)
     leading = met.filter("key IS NOT NULL AND b IS NOT NULL").select(F.col("a").alias("x"), F.col("b").alias("y"))
     pairs = apart.unionByName(equal).unionByName(leading).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    first = confirmed(cut(pairs, "pairs", made), texts, shingle, made)
+
+    def similar(some: DataFrame) -> DataFrame:
+        """Only texts of pairs that pass the filters are moved."""
+        left = cut(sifted(bits, some), "pairs", made)
+        asked = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return confirmed(left, cut(texts.join(asked, "id", "left_semi"), "compared", made), shingle, made)
+
+    first = similar(pairs)
     roots = cut(components(first), "roots", made)
 
     # Then all others that may be similar and are not yet in one component.
     root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     others = met.filter("key IS NULL").select("a", "b").unionByName(across(bits, met, roots, made)).distinct()
     others = others.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    second = confirmed(cut(others.select("a", "b"), "others", made), texts, shingle, made)
+    second = similar(others.select("a", "b"))
     roots = cut(components(first.unionByName(second)), "roots", made)
 
     placed = sets.join(roots, F.col("id") == F.col("node"), "left").select("at", F.coalesce("root", "id").alias("root"))
