@@ -11,7 +11,9 @@ Sets that share a shingle with MANY others at most meet each of them. Where more
 one, each meets the first of them; when the pairs so far are united, those that are in
 different components meet in blocks of BLOCK sets by BLOCK, in numpy, and pass a parity
 filter of 256 bits (each flipped by shingles; the bits that differ are at most the
-shingles that are in one set only). No number of sets is dropped anywhere.
+shingles that are in one set only). Before texts are read, pairs pass one of as many bits as
+the smaller set has shingles, since 256 bits of long texts differ in half of them and
+tell nothing. No number of sets is dropped anywhere.
 """
 
 from __future__ import annotations
@@ -73,6 +75,20 @@ def parity(codes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_parity(codes: np.ndarray) -> bytes:
+    """As parity(), with a bit for each code or more: a power of two, 256 at least. Halves folded together give fewer bits."""
+    size = max(256, 1 << (len(codes) - 1).bit_length())
+    return np.packbits((np.bincount((codes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """How many bits of two wide parities differ, at the length of the shorter."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        x, y = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) > min(len(x), len(y)) else v for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _prefixed(shingle: int, common):
     def run(batches):
         for batch in batches:
@@ -81,7 +97,7 @@ def _prefixed(shingle: int, common):
             bits = np.array([parity(x) for x in sets]).reshape(-1, 4)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int32)), *(pa.array(bits[:, k].copy()) for k in range(4)), lists], ["id", "n", "p0", "p1", "p2", "p3", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array([len(x) for x in sets], np.int32)), *(pa.array(bits[:, k].copy()) for k in range(4)), pa.array([wide_parity(x) for x in sets], pa.binary()), lists], ["id", "n", "p0", "p1", "p2", "p3", "wide", "keys"])
 
     return run
 
@@ -162,7 +178,7 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 def meetings(texts: DataFrame, shingle: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """texts: id, text (no empty sets, and each set once). Returns id, n and parities, and the rows of _meet()."""
     common = texts.sparkSession.sparkContext.broadcast(commonness(texts, shingle))
-    kind = "id long, n int, p0 long, p1 long, p2 long, p3 long, keys array<long>"
+    kind = "id long, n int, p0 long, p1 long, p2 long, p3 long, wide binary, keys array<long>"
     sets = cut(texts.select("id", "text").mapInArrow(_prefixed(shingle, common), kind), "prefixes", made)
     postings = sets.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
     met = cut(postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "a long, b long, key long, n int, pos int"), "met", made)
@@ -176,15 +192,24 @@ def across(sets: DataFrame, met: DataFrame, roots: DataFrame, made: list[str]) -
     rows = cut(rows, "many", made)
     mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     blocks = mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").join(sets.drop("n"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.join(blocks, "key").join(sets.drop("n", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return dealt.drop("blocks", "other").groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct()
 
 
+def _sift(batches):
+    num, den = SIMILAR
+    for pdf in batches:
+        far = np.array([apart(x, y) for x, y in zip(pdf["wide_a"], pdf["wide_b"])], np.int64)
+        yield pdf.loc[(num + den) * far <= (den - num) * (pdf["n_a"] + pdf["n_b"]).to_numpy(), ["a", "b"]]
+
+
 def sifted(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b that pass the filters by length and by parity. sets: id, n and parities."""
+    """The pairs a, b that pass the filters by length and by both parities. sets: id, n and parities."""
     num, den = SIMILAR
     x, y = (sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "p0", "p1", "p2", "p3"))) for k in "ab")
     far = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
     n, m = F.col("n_a").cast("long"), F.col("n_b").cast("long")
-    return pairs.join(x, "a").join(y, "b").filter((den * n >= num * m) & (den * m >= num * n) & ((num + den) * far <= (den - num) * (n + m))).select("a", "b")
+    near = pairs.join(x, "a").join(y, "b").filter((den * n >= num * m) & (den * m >= num * n) & ((num + den) * far <= (den - num) * (n + m))).select("a", "b", n.alias("n_a"), m.alias("n_b"))
+    wide = lambda k: sets.select(F.col("id").alias(k), F.col("wide").alias(f"wide_{k}"))
+    return near.join(wide("a"), "a").join(wide("b"), "b").mapInPandas(_sift, "a long, b long")

@@ -277,3 +277,23 @@ def test_meeting_keys_over_batches():
         assert sorted(pairs) == sorted((100 * k + a, 100 * k + b) for k, n in enumerate(sizes) if n <= set_join.MANY for a in range(n) for b in range(a))
         rows = [(x["key"], x["a"], x["b"]) for x in got if x["key"] is not None]
         assert rows == [(k - 3, 100 * k + a, 100 * k if a else None) for k, n in enumerate(sizes) if n > set_join.MANY for a in range(n)]
+
+
+def test_long_texts_are_sifted(spark):
+    """Sets of thousands of shingles with much and with little in common: none of the similar pairs is lost, and hardly any other is left to compare."""
+    r = np.random.default_rng(4)
+    sets, want, other = [], set(), set()
+    for k, n in enumerate((3000, 4090, 4100, 9000) * 3):
+        one = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        share = (0.95, 0.895, 0.4)[k % 3]
+        two = np.concatenate((one[: int(share * n)], r.integers(0, 1 << 63, n - int(share * n), dtype=np.uint64)))
+        (want if minhash.similar(np.unique(one), np.unique(two)) else other).add((2 * k, 2 * k + 1))
+        sets += [one, two]
+    a, b = np.unique(sets[0]), np.unique(sets[1])[:2500]
+    assert set_join.apart(set_join.wide_parity(a), set_join.wide_parity(b)) <= len(np.setxor1d(a, b))
+    rows = [(i, len(x), *map(int, set_join.parity(x)), set_join.wide_parity(x)) for i, x in enumerate(sets)]
+    bits = spark.createDataFrame(rows, "id long, n int, p0 long, p1 long, p2 long, p3 long, wide binary")
+    pairs = spark.createDataFrame(sorted(want | other), "a long, b long")
+    got = {tuple(x) for x in set_join.sifted(bits, pairs).collect()}
+    assert len(want) >= 4 and len(other) >= 4
+    assert got == want
