@@ -59,8 +59,8 @@ MARK_BITS = 20
 CLASS = 1.26
 #: Words are frequent from so many occurrences on.
 FREQUENT = 512
-#: Characters of lines that are worked on together; a longer line is worked on alone.
-CHUNK = 1 << 20
+#: Characters of lines that are worked on together, and how many lines at most; a longer line is worked on alone.
+CHUNK, CHUNK_LINES = 1 << 18, 1 << 16
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTES = np.random.default_rng(9).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -142,39 +142,51 @@ def _chunks(batches):
         ends = np.cumsum([len(x) for x in lines])
         begin = 0
         while begin < len(lines):
-            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right")))
+            end = max(begin + 1, min(begin + CHUNK_LINES, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right"))))
             yield batch.slice(begin, end - begin), lines[begin:end]
             begin = end
 
 
 def _counted(batches):
-    """slot, n: how many words of the lines of a partition fall into each slot."""
+    """How many words of the lines of a partition fall into each slot: for each row of slots the places in it (16 bits each) and the counts (64 bits each)."""
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     for _, lines in _chunks(batches):
         np.add.at(counts, (_hashes(lines)[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-    at = np.nonzero(counts)[0]
-    for i in range(0, len(at), 1 << 16):
-        some = at[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
-
-
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The levels of one row of slots, a byte for each."""
-    level = np.zeros(1 << ROW_BITS, np.uint8)
-    level[pdf["slot"] % len(level)] = np.minimum(63, 2 * np.log2(pdf["n"] + 1))
-    return pd.DataFrame({"row": [pdf["slot"].iloc[0] // len(level)], "level": [level.tobytes()]})
+    rows, at, n = [], [], []
+    for row, some in enumerate(counts.reshape(-1, 1 << ROW_BITS)):
+        there = np.nonzero(some)[0]
+        if len(there):
+            rows.append(row)
+            at.append(there.astype(np.uint16).tobytes())
+            n.append(some[there].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["row", "at", "n"])
+
+
+def _levels(batches):
+    """The levels of the rows of slots that a task has, a byte for each slot."""
+    counts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts.setdefault(row, np.zeros(1 << ROW_BITS, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+    levels = [np.minimum(63, 2 * np.log2(n + 1)).astype(np.uint8).tobytes() for n in counts.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(levels, pa.binary())], ["row", "level"])
 
 
 def rarity(lines: DataFrame) -> bytes:
     """For each slot twice the logarithm of how many words of all lines fall into it, 0 to 63."""
-    counts = lines.select("line").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = lines.select("line").mapInArrow(_counted, "row int, at binary, n binary")
     out = np.zeros((1 << (SLOT_BITS - ROW_BITS), 1 << ROW_BITS), np.uint8)
     with settings(lines.sparkSession, WRITING):
-        for r in counts.groupBy(F.shiftright("slot", ROW_BITS)).applyInPandas(_levels, "row int, level binary").collect():
+        for r in counts.repartition("row").mapInArrow(_levels, "row int, level binary").collect():
             out[r["row"]] = np.frombuffer(r["level"], np.uint8)
     return out.tobytes()
 
 
+def shared() -> int:
+    """The least token of a word that may be in two lines: no other word is in the slots of the words below."""
+    return int(2 * log2(2 + 1)) << HASH_BITS
+
+
 def frequent() -> int:
     """The least token of a frequent word."""
     return int(2 * log2(FREQUENT + 1)) << HASH_BITS
@@ -183,10 +195,11 @@ def frequent() -> int:
 def _tokens(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct tokens of each line in order, the rarest first, and how many each line has."""
     h, n = _hashes(lines)
-    at = np.repeat(np.arange(len(lines)), n)
+    at = np.repeat(np.arange(len(lines), dtype=np.uint16), n)
     # Six bits of rarity and 57 of the hash; a token is the upper half.
     key = (table[h >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(57)) | (h & np.uint64((1 << 57) - 1))
-    order = np.lexsort((key, at))
+    order = np.argsort(key)
+    order = order[np.argsort(at[order], kind="stable")]
     key, at = key[order], at[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
@@ -288,14 +301,14 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     nearest = cut(ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early"), "nearest", made)
     first = similar(nearest)
     others = cut(ordered.join(first, F.col("late") == F.col("id"), "left_anti").join(nearest, ["late", "early"], "left_anti").select("late", "early"), "others", made)
-    second = similar(others)
+    found = first if others.isEmpty() else first.unionByName(similar(others)).distinct()
     discard(lines.sparkSession, made)
-    return first.unionByName(second).distinct()
+    return found
 
 
 def _with_first(index: DataFrame, least: int) -> DataFrame:
-    """Pairs of lines and, for each frequent word of their prefixes, the earliest line with it."""
-    often = index.filter(F.element_at("prefix", -1) >= least).select("id", "at", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
+    """index: of lines with frequent words in their prefixes. Pairs of lines and, for each frequent word of their prefixes, the earliest line with it."""
+    often = index.select("id", "at", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
     firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("tok", "f.id", "f.n", "f.pos", "f.parity")
     met = often.alias("a").join(firsts.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).distinct()
@@ -306,9 +319,11 @@ def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     heavy = F.element_at("prefix", -1) >= least
     asks = index.filter(heavy).join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("id", F.when(F.col("done"), -1 - F.col("id")).otherwise(F.col("id"))).select("id", "n", "parity", "prefix")
     every = index.filter(~heavy).select("id", "n", "parity", "prefix").unionByName(asks)
-    postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") < least)
+    postings = every.select("id", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter((F.col("tok") < least) & (F.col("tok") >= shared()))
+    # All that holds for one side is said of both, so that they are equal and postings are sent once.
+    postings = postings.filter("id IS NOT NULL AND n IS NOT NULL AND parity IS NOT NULL AND pos IS NOT NULL AND tok IS NOT NULL")
     met = postings.alias("a").join(postings.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") > F.greatest(F.col("b.id"), F.lit(-1))) & _near("a", "b"))
-    y = F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id"))
+    y = F.coalesce(F.when(F.col("b.id") < 0, -1 - F.col("b.id")).otherwise(F.col("b.id")), F.lit(-1))
     return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
@@ -347,9 +362,9 @@ def _in_blocks(rows: DataFrame, index: DataFrame, words: int) -> DataFrame:
 
 
 def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, least: int, made: list[str]) -> DataFrame:
-    """The later lines of similar pairs that share frequent words; lines that are done ask no more."""
+    """index: of lines with frequent words in their prefixes. The later lines of similar pairs that share such words; lines that are done ask no more."""
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
-    some = index.filter(F.element_at("prefix", -1) >= least).join(done.withColumn("done", F.lit(True)), "id", "left")
+    some = index.join(done.withColumn("done", F.lit(True)), "id", "left")
     rows = some.select("id", "at", "n", "parity", F.col("done").isNull().alias("asks"), F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
     rows = rows.withColumn("class", F.explode(F.array(size, size - 1, size + 1))).withColumn("asks", F.col("asks") & (F.col("class") == size))
     rows = rows.select(F.xxhash64("tok", "class").alias("key"), "id", "at", "n", "parity", "pos", "asks")
@@ -389,10 +404,11 @@ def staying_lines(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(rarity(lines))
     index = index_lines(lines, table, made)
     least = frequent()
-    first = verified(lines, index, _with_first(index, least), made)
+    heavy = index.filter(F.element_at("prefix", -1) >= least)
+    first = verified(lines, heavy, _with_first(heavy, least), made)
     second = verified(lines, index, _by_rare(index, first, least), made)
     done = first.unionByName(second).distinct()
-    gone = done.unionByName(_by_frequent(lines, index, table, done, least, made))
+    gone = done.unionByName(_by_frequent(lines, heavy, table, done, least, made))
     left = index.select("id", "at").join(gone, "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
     discard(docs.sparkSession, made)

@@ -577,6 +577,38 @@ def test_lines_of_clashing_and_long_texts(spark, empty):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_postings_are_sent_once(spark, tmp_path, monkeypatch):
+    """Both sides of the join of postings read one exchange, without words that are in one line only, and the pairs are those that share another."""
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name, made=None: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = np.random.default_rng(2)
+        at = "at struct<nameless:boolean,doc:long,th:long,i:int>"
+        low = 3 << line_dedup.HASH_BITS
+        prefixes = [[5 + i, *sorted({low + int(x) for x in r.integers(0, 40, 4)})] for i in range(60)]
+        rows = [(i, (False, i, i, 0), 100, 0, 0, 0, 0, 0, p) for i, p in enumerate(prefixes)]
+        spark.createDataFrame(rows, f"id long, {at}, n int, parity long, p0 long, p1 long, p2 long, p3 long, prefix array<int>").write.parquet(f"{tmp_path}/index")
+        spark.createDataFrame([], "id long").write.parquet(f"{tmp_path}/done")
+        index, done = (spark.read.parquet(f"{tmp_path}/{k}") for k in ("index", "done"))
+        pairs = line_dedup._by_rare(index, done, line_dedup.frequent())
+        found = pairs.join(index.select(F.col("id").alias("x"), "n"), "x").join(index.select(F.col("id").alias("y"), F.col("n").alias("m")), "y")
+        got = sorted((v["x"], v["y"]) for v in found.collect())
+        assert got == sorted((i, j) for i in range(60) for j in range(i) if set(prefixes[i]) & set(prefixes[j]))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Exchange hashpartitioning(tok" in plan and "ReusedExchange [id" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rarity_of_words(spark):
+    """Counts over partitions with words of their own and with common ones."""
+    lines = [f"common w{i} w{i % 7}" for i in range(300)]
+    levels = np.frombuffer(line_dedup.rarity(spark.createDataFrame([(x,) for x in lines], "line string").repartition(5)), np.uint8)
+    slots = Counter(int(h >> np.uint64(64 - line_dedup.SLOT_BITS)) for h in line_dedup._hashes(lines)[0])
+    assert {int(k): int(levels[k]) for k in np.nonzero(levels)[0]} == {k: int(min(63, 2 * log2(n + 1))) for k, n in slots.items()}
+    assert line_dedup.shared() == (int(2 * log2(3)) << line_dedup.HASH_BITS) > 2 << line_dedup.HASH_BITS
+
+
 def test_toxicity_gradients():
     p = {k: v.astype(float) for k, v in toxicity.initial().items()}
     found = toxicity.features("alpha beta gamma delta the of".split())
