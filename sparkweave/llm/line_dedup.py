@@ -7,26 +7,29 @@ that of ids (null last), texts' hashes and line numbers. Lines without words sta
 Equal lines are grouped first, by the lines themselves; all that follows sees one of
 each, the earliest. Words are ordered by rarity: all words of these lines are counted
 into a table of 2 ** SLOT_BITS counters, which only sets the order, so that words
-sharing a counter cost time but no matches. Lines are split, hashed and sorted in numpy,
-many at a time, and pairs are compared in Python tasks. Of n words the first
+sharing a counter cost time but no matches. Of n words the first
 n - ceil(SIMILAR n) + 1 are the prefix; similar lines share a word of their prefixes.
 Pairs of postings must pass the length filter, the positional filter and a parity
 filter (64 bits, each flipped by words; the bits that differ are at most the words
-that are in one line only; later one of 256 bits). What is left is verified with the words
-themselves. Words are 25 bits of a hash and the rarity in the filters, which adds pairs to
+that are in one line only; later one of 128 bits). What is left is verified with the words
+themselves. Words are 25 bits of a hash and the rarity in the prefixes, which adds pairs to
 verify where words meet by chance, and loses none; words of one line are counted as
 equal by 57 bits of a hash.
 
-So that large groups of similar lines do not give all their pairs, lines that share
-frequent words are first compared with the earliest line that has the word in its
-prefix; only lines that find no match there go on to ask all others. The postings of
-frequent words are divided by size classes, of which only neighbours can match. Where more than
-ASKERS lines still ask under one key, they are compared with the key's earliest line, and
-those that are left meet all others of the key in numpy, in blocks, with the parity filter
-of 256 bits. Of more than CROWD askers the key first grows by a word: lines that are similar enough
-share l words at least of prefixes that are l - 1 words longer, so that the first l words that they
-share are a key of both. Keys stop at MOST_WORDS words, as lines with a passage in
-common would have a key for each choice of its words.
+Postings are of rare words only, so that each meets fewer than FREQUENT others. A line with a
+frequent word in its prefix has all its rare words there. Two similar lines that share no
+rare word of their prefixes both are such lines, and no rare word is in both. For them
+there are grams: runs of three frequent words that follow each other in the order of rarity. A word that
+only one of two lines has spoils at most three grams of that line and two of the other, so
+that similar lines of n words share one of their first 3 n / 5 + 1 grams, or of three fewer for each
+rare word. (Lines of four and five words may share none, and lines of one or two words have no run of
+three; up to five words runs of two, or whatever there is, are taken too.) Three words seldom
+meet by chance, however many lines there are.
+
+So that large groups of similar lines do not give all their pairs, lines with grams
+are first compared with the earliest line that has the gram; only lines that find no match
+there go on to ask all others. Under a gram of more than ASKERS such lines they meet in blocks
+of about BLOCK by BLOCK lines, dealt out by gram and blocks.
 
 Null and empty texts have no lines with words and stay as they are. Rows equal in
 id and text share one result. An empty table gives an empty result. Only id and
@@ -40,36 +43,28 @@ from __future__ import annotations
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WRITING, cut, discard, read_table, settings
+from .common import NOT_WS, WRITING, WS, cut, discard, read_table, settings, words
 
 #: As a fraction, so that all bounds are whole numbers.
 SIMILAR = (4, 5)
 SLOT_BITS = 22
 HASH_BITS = 25
-#: Slots of which the levels leave a task together.
-ROW_BITS = 14
 #: Slots of lines whose texts are read.
 MARK_BITS = 20
-#: Sizes of one class differ by less than this factor, which is more than similar lines' sizes do.
-CLASS = 1.26
 #: Words are frequent from so many occurrences on.
 FREQUENT = 512
-#: Characters of lines that are worked on together, and how many lines at most; a longer line is worked on alone.
-CHUNK, CHUNK_LINES = 1 << 18, 1 << 16
-
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BYTES = np.random.default_rng(9).integers(0, 1 << 64, 256, dtype=np.uint64)
-#: Lines that ask all others under one key.
+#: Words of a gram; lines of at most SHORT words have grams of a word less, too.
+GRAM, SHORT = 3, 5
+#: Lines that ask all others under one gram meet in blocks where there are more than this.
 ASKERS = 256
-#: Under a key of more askers than this lines do not meet in blocks, but keys grow by a word, as far as to MOST_WORDS words.
+#: Lines of a block.
+BLOCK = 2048
+#: Of an earlier form, in which keys grew by words; only tests set them.
 CROWD, MOST_WORDS = 2048, 2
-#: Lines of a block, and those of it that are compared with all others at once.
-BLOCK, STRIPE = 2048, 128
 
 
 def slot_table(spark: SparkSession, levels: DataFrame, slots: int) -> bytes:
@@ -84,19 +79,16 @@ def slot_table(spark: SparkSession, levels: DataFrame, slots: int) -> bytes:
     return bytes(out)
 
 
-def _looked_up(table: bytes, slot: Column) -> Column:
-    return F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
-
-
-def slot_marks(spark: SparkSession, slots: DataFrame) -> bytes:
-    """slots: slot. A bit for each slot, seven to a byte, so that plans that hold it stay small."""
-    bit = F.call_function("shiftleft", F.lit(1), F.col("slot") % 7)
-    rows = slots.groupBy(F.floor(F.col("slot") / 7).cast("int").alias("at")).agg(F.bit_or(bit).alias("level"))
-    return slot_table(spark, rows.withColumnRenamed("at", "slot"), -(-(1 << MARK_BITS) // 7))
+def slot_marks(spark: SparkSession, slots: DataFrame) -> DataFrame:
+    """slots: slot. One row with a bit for each slot, 64 to a number; it is used as a subquery, so that plans hold none of it."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)))
+    rows = slots.groupBy(F.shiftright("slot", 6).cast("long").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    every = spark.range(1 << (MARK_BITS - 6)).withColumnRenamed("id", "at").join(rows, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("marks"))
 
 
-def _marked(marks: bytes, slot: Column) -> Column:
-    return F.getbit(_looked_up(marks, F.floor(slot / 7).cast("int")), slot % 7) == 1
+def _marked(marks: DataFrame, slot: Column) -> Column:
+    return F.getbit(F.get(marks.scalar(), F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))) == 1
 
 
 def _slot(value: Column) -> Column:
@@ -112,74 +104,36 @@ def unique_lines(docs: DataFrame, made: list[str]) -> DataFrame:
     return cut(first.select(F.monotonically_increasing_id().alias("id"), "line", "at"), "lines", made)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As F.xxhash64 has them in Spark, for tests: a hash of each word, line by line, and how many words each line has."""
+    import xxhash
 
+    found = [line.encode("utf-8", "surrogatepass").split() for line in lines]
+    return np.array([xxhash.xxh64_intdigest(w, 42) for x in found for w in x], np.uint64), np.array([len(x) for x in found])
 
-def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, line by line, and how many words each line has; lines have no line feeds.
 
-    A word's hash is the sum of a random number for each byte times one for its
-    place in the word, so that all words are worked on together and none is an object.
-    """
-    b = np.frombuffer("\n".join([*lines, ""]).encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.nonzero(~_SPACE[b])[0]
-    begin = np.nonzero(np.diff(inside, prepend=-2) > 1)[0]
-    n = np.bincount(np.searchsorted(np.nonzero(b == 10)[0], inside[begin]), minlength=len(lines))
-    if not len(begin):
-        return np.empty(0, np.uint64), n
-    length = np.diff(begin, append=len(inside))
-    places = _mixed(_mixed(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-    place = np.arange(len(inside)) - np.repeat(begin, length)
-    return _mixed(np.add.reduceat(_BYTES[b[inside]] * places[place], begin)), n
-
-
-def _chunks(batches):
-    """Record batches in slices of CHUNK characters, each with its lines."""
-    for batch in batches:
-        lines = batch.column("line").to_pylist()
-        ends = np.cumsum([len(x) for x in lines])
-        begin = 0
-        while begin < len(lines):
-            end = max(begin + 1, min(begin + CHUNK_LINES, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right"))))
-            yield batch.slice(begin, end - begin), lines[begin:end]
-            begin = end
-
-
-def _counted(batches):
-    """How many words of the lines of a partition fall into each slot: for each row of slots the places in it (16 bits each) and the counts (64 bits each)."""
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for _, lines in _chunks(batches):
-        np.add.at(counts, (_hashes(lines)[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-    rows, at, n = [], [], []
-    for row, some in enumerate(counts.reshape(-1, 1 << ROW_BITS)):
-        there = np.nonzero(some)[0]
-        if len(there):
-            rows.append(row)
-            at.append(there.astype(np.uint16).tobytes())
-            n.append(some[there].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["row", "at", "n"])
-
-
-def _levels(batches):
-    """The levels of the rows of slots that a task has, a byte for each slot."""
-    counts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-            counts.setdefault(row, np.zeros(1 << ROW_BITS, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-    levels = [np.minimum(63, 2 * np.log2(n + 1)).astype(np.uint8).tobytes() for n in counts.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(levels, pa.binary())], ["row", "level"])
+def _split(line: str) -> Column:
+    """The words of a line and empty strings. Splitting by one character takes no pattern, and few lines have other white space."""
+    return F.split(F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WS, " ")).otherwise(F.col(line)), " ")
+
+
+def _place(h: Column) -> Column:
+    """The slot of a word's hash."""
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
 
 
 def rarity(lines: DataFrame) -> bytes:
     """For each slot twice the logarithm of how many words of all lines fall into it, 0 to 63."""
-    counts = lines.select("line").mapInArrow(_counted, "row int, at binary, n binary")
-    out = np.zeros((1 << (SLOT_BITS - ROW_BITS), 1 << ROW_BITS), np.uint8)
-    with settings(lines.sparkSession, WRITING):
-        for r in counts.repartition("row").mapInArrow(_levels, "row int, level binary").collect():
-            out[r["row"]] = np.frombuffer(r["level"], np.uint8)
-    return out.tobytes()
+    found = lines.select(F.explode(_split("line")).alias("w")).filter("w != ''")
+    counts = found.groupBy(_place(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
+    # A little more, as logarithms of powers may come out a little too small.
+    level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1) + 1e-9)).cast("int")
+    return slot_table(lines.sparkSession, counts.select("slot", level.alias("level")), 1 << SLOT_BITS)
+
+
+def _level_table(spark: SparkSession, levels: bytes) -> DataFrame:
+    """One row with rarity()'s levels in an array, for subqueries."""
+    return spark.createDataFrame(pa.table({"levels": pa.array([np.frombuffer(levels, np.int8)], pa.list_(pa.int8()))}))
 
 
 def shared() -> int:
@@ -192,55 +146,44 @@ def frequent() -> int:
     return int(2 * log2(FREQUENT + 1)) << HASH_BITS
 
 
-def _tokens(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of each line in order, the rarest first, and how many each line has."""
-    h, n = _hashes(lines)
-    at = np.repeat(np.arange(len(lines), dtype=np.uint16), n)
-    # Six bits of rarity and 57 of the hash; a token is the upper half.
-    key = (table[h >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(57)) | (h & np.uint64((1 << 57) - 1))
-    order = np.argsort(key)
-    order = order[np.argsort(at[order], kind="stable")]
-    key, at = key[order], at[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-    return (key[fresh] >> np.uint64(57 - HASH_BITS)).astype(np.int32), np.bincount(at[fresh], minlength=len(lines))
-
+def _keys(hashes: str, levels: str) -> Column:
+    """The distinct words of a line as numbers in order, the rarest first: six bits of rarity and 57 of a hash."""
+    level = lambda h: F.call_function("shiftleft", F.coalesce(F.get(levels, _place(h)), F.lit(0).cast("tinyint")).cast("long"), F.lit(57))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1))))))
 
-def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values))
 
+def _parity(keys: Column) -> Column:
+    """64 bits, each flipped by the words that fall into it."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda found, k: found.bitwiseXOR(bit(k)))
 
-def _indexing(table):
-    """table: a broadcast of rarity()."""
 
-    def run(batches):
-        levels = np.frombuffer(table.value, np.uint8)
-        for batch, lines in _chunks(batches):
-            t, n = _tokens(lines, levels)
-            begin = np.cumsum(n) - n
-            bit = np.uint64(1) << (t & 63).astype(np.uint64)
-            wide = [np.bitwise_xor.reduceat(np.where((t >> 6) & 3 == k, bit, np.uint64(0)), begin).view(np.int64) for k in range(4)]
-            num, den = SIMILAR
-            first = n + 1 + (-n * num) // den
-            inside = np.arange(len(t)) - np.repeat(begin, n) < np.repeat(first, n)
-            columns = [batch.column("id"), batch.column("at"), pa.array(n.astype(np.int32)), pa.array(wide[0] ^ wide[1] ^ wide[2] ^ wide[3]), *map(pa.array, wide), _lists(t[inside], first)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "at", "n", "parity", "p0", "p1", "p2", "p3", "prefix"])
+def _grams(keys: str, rare: str) -> Column:
+    """Hashes of the first runs of frequent words, as many as it takes for similar lines that share none of their rare words to share one."""
+    n = F.size(keys)
 
-    return run
+    def runs(size: int) -> Column:
+        last = F.least(n - F.col(rare) - size, F.floor(n * 3 / 5).cast("int") - size * F.col(rare))
+        # Lines of fewer words than a run have one run of all.
+        last = F.when(n < size, 0).otherwise(last)
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(keys, F.col(rare) + i + 1, F.lit(size))))).otherwise(none)
 
+    none = F.array().cast("array<long>")
+    return F.concat(F.when(n >= SHORT, runs(GRAM)).otherwise(none), F.when(n <= SHORT, runs(GRAM - 1)).otherwise(none))
 
-def _all_tokens(table):
-    def run(batches):
-        for batch, lines in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(*_tokens(lines, np.frombuffer(table.value, np.uint8)))], ["id", "t"])
 
-    return run
-
-
-def index_lines(lines: DataFrame, table, made: list[str]) -> DataFrame:
-    """id, at, n (words), parity, the same in four parts of 64 bits each, and prefix, tokens in order."""
-    kind = f"id long, at {lines.schema['at'].dataType.simpleString()}, n int, parity long, p0 long, p1 long, p2 long, p3 long, prefix array<int>"
-    return cut(lines.select("id", "at", "line").mapInArrow(_indexing(table), kind), "index", made)
+def index_lines(lines: DataFrame, levels: DataFrame, made: list[str]) -> DataFrame:
+    """id, at, n (words), parity, the same in two parts of 64 bits each, prefix, tokens in order, and grams (null where no word of the prefix is frequent)."""
+    # Each is used once, so that both become parts of the next step and no row has a table of its own.
+    hashed = lines.select("id", "at", F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w)).alias("hashes"), levels.scalar().alias("levels"))
+    keyed = hashed.select("id", "at", _keys("hashes", "levels").alias("k"))
+    split = keyed.select("id", "at", "k", F.size(F.filter("k", lambda k: k < frequent() << (57 - HASH_BITS))).alias("rare"))
+    n, rare = F.size("k"), F.col("rare")
+    first = F.transform(F.slice("k", F.lit(1), _prefix(n)), lambda k: F.shiftright(k, 57 - HASH_BITS).cast("int"))
+    grams = F.when(rare < _prefix(n), _grams("k", "rare"))
+    # Rare and frequent words have a parity each.
+    parts = split.select("id", "at", n.alias("n"), _parity(F.slice("k", F.lit(1), rare)).alias("p0"), _parity(F.slice("k", rare + 1, n)).alias("p1"), first.alias("prefix"), grams.alias("grams"))
+    return cut(parts.select("id", "at", "n", F.col("p0").bitwiseXOR(F.col("p1")).alias("parity"), "p0", "p1", "prefix", "grams"), "index", made)
 
 
 def _prefix(n: Column) -> Column:
@@ -262,15 +205,11 @@ def _near(a: str, b: str, words: int = 1) -> Column:
     return (den * n >= num * m) & (den * m >= num * n) & enough & ((num + den) * _far(a, b) <= (den - num) * (n + m))
 
 
-def _similar(batches):
-    """The ids of the later lines of pairs whose words are similar enough."""
+def _similar(a: str, b: str) -> Column:
+    """Whether the words of two lines are similar enough."""
     num, den = SIMILAR
-    for pdf in batches:
-        ok = []
-        for x, y in zip(pdf["line_late"], pdf["line_early"]):
-            a, b = (set(line.encode("utf-8", "surrogatepass").split()) for line in (x, y))
-            ok.append((num + den) * len(a & b) >= num * (len(a) + len(b)))
-        yield pd.DataFrame({"id": pdf["late"][np.array(ok, bool)]})
+    one, two = words(F.col(a)), words(F.col(b))
+    return (num + den) * F.size(F.array_intersect(one, two)) >= num * (F.size(F.array_distinct(one)) + F.size(F.array_distinct(two)))
 
 
 def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[str]) -> DataFrame:
@@ -283,9 +222,9 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     """
     num, den = SIMILAR
     made: list[str] = []
-    x, y = (index.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("at", "n", "p0", "p1", "p2", "p3"))) for k in "xy")
+    x, y = (index.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("at", "n", "p0", "p1"))) for k in "xy")
     later = F.col("at_x") > F.col("at_y")
-    apart = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(1, 4)), F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))))
+    apart = F.bit_count(F.col("p0_x").bitwiseXOR(F.col("p0_y"))) + F.bit_count(F.col("p1_x").bitwiseXOR(F.col("p1_y")))
     placed = pairs.join(x, "x").join(y, "y").filter((num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y")))
     ordered = cut(placed.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("early"), "far"), "pairs", made)
 
@@ -295,8 +234,8 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
         marks = slot_marks(lines.sparkSession, asked.select(slot.alias("slot")).distinct())
         read = cut(lines.filter(_marked(marks, slot)).join(asked, "id", "left_semi").select("id", "line"), "asked", made)
         one, two = (read.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in ("late", "early"))
-        both = some.select("late", "early").join(one, "late").join(two, "early").select("late", "line_late", "line_early")
-        return cut(both.mapInPandas(_similar, "id long").distinct(), "matched", kept)
+        both = some.select("late", "early").join(one, "late").join(two, "early").filter(_similar("line_late", "line_early"))
+        return cut(both.select(F.col("late").alias("id")).distinct(), "matched", kept)
 
     nearest = cut(ordered.groupBy("late").agg(F.min(F.struct("far", "early")).alias("e")).select("late", "e.early"), "nearest", made)
     first = similar(nearest)
@@ -306,14 +245,37 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     return found
 
 
-def _with_first(index: DataFrame, least: int) -> DataFrame:
-    """index: of lines with frequent words in their prefixes. Pairs of lines and, for each frequent word of their prefixes, the earliest line with it."""
-    often = index.select("id", "at", "n", "parity", F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
-    firsts = often.groupBy("tok").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("tok", "f.id", "f.n", "f.pos", "f.parity")
-    met = often.alias("a").join(firsts.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b"))
+def _like(a: str, b: str) -> Column:
+    """The filters for lines of one gram: length and parity."""
+    num, den = SIMILAR
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * _far(a, b) <= (den - num) * (n + m))
+
+
+def _with_first(heavy: DataFrame) -> DataFrame:
+    """heavy: the index of lines with grams. Pairs of lines and, for each of their grams, the earliest line with it."""
+    rows = heavy.select("id", "at", "n", "parity", F.explode("grams").alias("gram"))
+    firsts = rows.groupBy("gram").agg(F.min(F.struct("at", "id", "n", "parity")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("gram", "f.id", "f.n", "f.parity")
+    met = rows.alias("a").join(firsts.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") != F.col("b.id")) & _like("a", "b"))
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).distinct()
 
 
+def _by_grams(heavy: DataFrame, done: DataFrame, made: list[str]) -> DataFrame:
+    """heavy: the index of lines with grams. Pairs of lines of one gram, of which one line at least is not done; the lines of a gram meet in blocks."""
+    asking = heavy.select("id", "n", "parity", "grams").join(done.withColumn("done", F.lit(True)), "id", "left")
+    rows = asking.select("id", "n", "parity", F.col("done").isNull().alias("asks"), F.explode("grams").alias("gram"))
+    blocks = F.when(F.col("askers") > ASKERS, F.ceil(F.col("c") / BLOCK).cast("int")).otherwise(1)
+    asked = rows.groupBy("gram").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("gram", blocks.alias("blocks"))
+    held = cut(rows.join(asked, "gram").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "grams", made)
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = held.filter("asks").select("gram", F.col("block").alias("i"), every.alias("j"), "id", "n", "parity").alias("a")
+    b = held.select("gram", every.alias("i"), F.col("block").alias("j"), "id", "n", "parity", "asks").alias("b")
+    same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    # Of two lines that both ask one is enough.
+    met = a.join(b, same & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & _like("a", "b"))
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far"))
+
+
 def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     """Pairs of lines that share a word that is not frequent, of which one line at least is not done. Lines that are done get ids below 0: they can be matched, but ask no more."""
     heavy = F.element_at("prefix", -1) >= least
@@ -327,92 +289,18 @@ def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:
     return met.select(F.col("a.id").alias("x"), y.alias("y"), _far("a", "b").alias("far")).distinct()
 
 
-def _block_pairs(words: int):
-    """Of two blocks of one key, the pairs of a line of the first that asks and a line of the second that pass the filters."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        num, den = SIMILAR
-        asks = pdf["asking"].to_numpy()
-        x, y = ({c: d[c].to_numpy(np.int64) for c in ("id", "n", "pos", "p0", "p1", "p2", "p3")} | {"asks": d["asks"].to_numpy(bool)} for d in (pdf[asks], pdf[~asks]))
-        out = [(x["id"][:0], x["id"][:0], x["id"][:0])]
-        for s in range(0, len(x["id"]), STRIPE):
-            z = {c: v[s : s + STRIPE, None] for c, v in x.items()}
-            enough = (num + den) * (words - 1 + np.minimum(z["n"] - z["pos"], y["n"] - y["pos"])) >= num * (z["n"] + y["n"])
-            near = enough & (den * z["n"] >= num * y["n"]) & (den * y["n"] >= num * z["n"])
-            i, j = np.nonzero(near & (z["id"] != y["id"]) & ((z["id"] > y["id"]) | ~y["asks"]))
-            i += s
-            parts = [x[p][i] ^ y[p][j] for p in ("p0", "p1", "p2", "p3")]
-            apart = sum(np.bitwise_count(v.view(np.uint64)).astype(np.int64) for v in parts)
-            ok = (num + den) * apart <= (den - num) * (x["n"][i] + y["n"][j])
-            out.append((x["id"][i[ok]], y["id"][j[ok]], apart[ok]))
-        a, b, far = (np.concatenate(v) for v in zip(*out))
-        return pd.DataFrame({"x": a, "y": b, "far": far.astype(np.int32)})
-
-    return run
-
-
-def _in_blocks(rows: DataFrame, index: DataFrame, words: int) -> DataFrame:
-    """rows: key, id, n, pos, asks, c (rows of the key). The pairs x, y of lines of one key of which x asks; the key's lines meet in blocks of BLOCK by BLOCK."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    wide = rows.select("key", "id", "n", "pos", "asks", blocks.alias("blocks")).join(index.select("id", "p0", "p1", "p2", "p3"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    askers = wide.filter("asks").withColumn("i", F.col("block")).withColumn("j", every).withColumn("asking", F.lit(True))
-    others = wide.withColumn("i", every).withColumn("j", F.col("block")).withColumn("asking", F.lit(False))
-    return askers.unionByName(others).drop("blocks", "block").groupBy("key", "i", "j").applyInPandas(_block_pairs(words), "x long, y long, far int").groupBy("x", "y").agg(F.min("far").alias("far"))
-
-
-def _by_frequent(lines: DataFrame, index: DataFrame, table, done: DataFrame, least: int, made: list[str]) -> DataFrame:
-    """index: of lines with frequent words in their prefixes. The later lines of similar pairs that share such words; lines that are done ask no more."""
-    size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
-    some = index.join(done.withColumn("done", F.lit(True)), "id", "left")
-    rows = some.select("id", "at", "n", "parity", F.col("done").isNull().alias("asks"), F.posexplode("prefix").alias("pos", "tok")).filter(F.col("tok") >= least)
-    rows = rows.withColumn("class", F.explode(F.array(size, size - 1, size + 1))).withColumn("asks", F.col("asks") & (F.col("class") == size))
-    rows = rows.select(F.xxhash64("tok", "class").alias("key"), "id", "at", "n", "parity", "pos", "asks")
-    matched = done.limit(0)
-    words = 1
-    while True:
-        asked = rows.groupBy("key").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("key", "askers", "c")
-        held = cut(rows.join(asked, "key"), "level", made)
-        few, many = held.filter(F.col("askers") <= ASKERS), held.filter(F.col("askers") > ASKERS)
-        grows = F.lit(words < MOST_WORDS) & (F.col("askers") > CROWD)
-        # Of two lines that both ask one is enough.
-        a, b = few.filter("asks").alias("a"), few.alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & _near("a", "b", words))
-        firsts = many.groupBy("key").agg(F.min(F.struct("at", "id", "n", "pos", "parity")).alias("f")).select("key", "f.id", "f.n", "f.pos", "f.parity")
-        met = many.filter("asks").alias("a").join(firsts.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & _near("a", "b", words))
-        pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).unionByName(met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far"))).distinct()
-        found = verified(lines, index, pairs, made)
-        matched = matched.unionByName(found)
-        if many.isEmpty():
-            return cut(matched.distinct(), "matched", made)
-        left = many.join(found.withColumn("found", F.lit(True)), "id", "left").withColumn("asks", F.col("asks") & F.col("found").isNull()).drop("found")
-        matched = matched.unionByName(verified(lines, index, _in_blocks(left.filter(~grows), index, words), made))
-        left = left.filter(grows)
-        if left.isEmpty():
-            return cut(matched.distinct(), "matched", made)
-        tokens = cut(lines.join(left.select("id").distinct(), "id", "left_semi").select("id", "line").mapInArrow(_all_tokens(table), "id long, t array<int>"), "tokens", made)
-        further = F.slice("t", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n")) + words - F.col("pos") - 1))
-        rows = left.join(tokens, "id").select("key", "id", "at", "n", "parity", "pos", "asks", F.posexplode(further).alias("j", "tok"))
-        rows = rows.select(F.xxhash64("key", "tok").alias("key"), "id", "at", "n", "parity", (F.col("pos") + 1 + F.col("j")).alias("pos"), "asks")
-        words += 1
-
-
 def staying_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. Returns doc, th and `stay`, the numbers of the lines with words that stay."""
     made: list[str] = []
     lines = unique_lines(docs, made)
-    table = docs.sparkSession.sparkContext.broadcast(rarity(lines))
-    index = index_lines(lines, table, made)
-    least = frequent()
-    heavy = index.filter(F.element_at("prefix", -1) >= least)
-    first = verified(lines, heavy, _with_first(heavy, least), made)
-    second = verified(lines, index, _by_rare(index, first, least), made)
-    done = first.unionByName(second).distinct()
-    gone = done.unionByName(_by_frequent(lines, heavy, table, done, least, made))
+    index = index_lines(lines, _level_table(docs.sparkSession, rarity(lines)), made)
+    heavy = index.filter("grams IS NOT NULL")
+    first = verified(lines, index, _with_first(heavy), made)
+    others = _by_rare(index, first, frequent()).unionByName(_by_grams(heavy, first, made)).distinct()
+    gone = first.unionByName(verified(lines, index, others, made))
     left = index.select("id", "at").join(gone, "id", "left_anti")
     out = cut(left.groupBy("at.doc", "at.th").agg(F.collect_list("at.i").alias("stay")), "stay")
     discard(docs.sparkSession, made)
-    table.destroy()
     return out
 
 

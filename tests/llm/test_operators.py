@@ -545,6 +545,65 @@ def test_lines_with_a_common_passage(spark, tmp_path, monkeypatch, crowd, block)
     assert len(levels) <= line_dedup.MOST_WORDS
 
 
+def test_lines_without_python_on_executors(spark, tmp_path, monkeypatch):
+    """Every step is made of DataFrame operations."""
+
+    def refused(*a, **b):
+        raise AssertionError("Python on executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(0)), name, refused)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    texts = ["a b c d e f g h i\nx y z", "a b c d e f g h i j\n\tx \x0by  z ", "p q r s t\x0cu", None, "p q r s t v"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(line_dedup.op9_line_dedup(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
+    assert [x["n_removed"] for x in rows] == [0, 2, 0, 0, 0]
+
+
+def test_similar_lines_share_a_gram(spark):
+    """Lines of every size with as many words of their own as they may have, some of them rare, rare words first."""
+    r = np.random.default_rng(4)
+    rows, cases = [], []
+    for n in [*range(1, 40), 60, 97, 150]:
+        for m in {n, n + 1, int(1.25 * n)}:
+            for _ in range(6):
+                common = -(-4 * (n + m) // 9)
+                if common > n or m > 1.25 * n:
+                    continue
+                x, y = (int(r.integers(0, k - common + 1)) for k in (n, m))
+                words = r.permutation(np.arange(1000, 1000 + n + m - common - x - y))
+                one, two = (np.concatenate((np.arange(at, at + k), words[:common], own)) for at, k, own in ((0, x, words[common : common + n - common - x]), (500, y, words[n - x :])))
+                assert (len(one), len(two), len(set(one) & set(two))) == (n, m, common)
+                for k, rare in ((one, x), (two, y)):
+                    rows.append((len(rows), sorted(map(int, k)), rare))
+                cases.append((rows[-2], rows[-1]))
+    made = spark.createDataFrame(rows, "id int, k array<long>, rare int").select("id", line_dedup._grams("k", "rare").alias("g")).collect()
+    grams = {v["id"]: v["g"] for v in made}
+    assert len(cases) > 500 and all(set(grams[a[0]]) & set(grams[b[0]]) for a, b in cases)
+    assert all(len(grams[i]) <= 3 * len(k) // 5 + 1 for i, k, _ in rows if len(k) > line_dedup.SHORT)
+
+
+def test_lines_with_rare_words_of_their_own(spark, tmp_path, monkeypatch):
+    """Similar lines that share frequent words only, under more grams than fit into a block."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 16)
+    monkeypatch.setattr(line_dedup, "ASKERS", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    r = np.random.default_rng(12)
+    texts, number = [], 0
+    for i in range(60):
+        w = list(map(str, r.choice([f"c{k}" for k in range(45)], 27, replace=False)))
+        for _ in range(int(r.integers(1, 4))):
+            own = list(w)
+            for k in r.choice(27, int(r.integers(1, 5)), replace=False):
+                own[k], number = f"own{number}", number + 1
+            texts.append(" ".join(own))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(line_dedup.op9_line_dedup(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert sum(x["n_removed"] for x in rows) > 10
+    assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
+
+
 def test_lines_of_many_words(spark, tmp_path):
     """Lines with as many words as pass the wider parity filter only if they are near."""
     r = np.random.default_rng(3)
