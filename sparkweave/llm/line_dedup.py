@@ -173,7 +173,7 @@ def _grams(keys: str, rare: str) -> Column:
 
 
 def index_lines(lines: DataFrame, levels: DataFrame, made: list[str]) -> DataFrame:
-    """id, at, n (words), parity, the same in two parts of 64 bits each, prefix, tokens in order, and grams (null where no word of the prefix is frequent)."""
+    """id, at, n (words), parity, the same in two parts of 64 bits each, prefix, tokens in order, rare (how many words are), and grams (null where no word of the prefix is frequent)."""
     # Each is used once, so that both become parts of the next step and no row has a table of its own.
     hashed = lines.select("id", "at", F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w)).alias("hashes"), levels.scalar().alias("levels"))
     keyed = hashed.select("id", "at", _keys("hashes", "levels").alias("k"))
@@ -182,8 +182,8 @@ def index_lines(lines: DataFrame, levels: DataFrame, made: list[str]) -> DataFra
     first = F.transform(F.slice("k", F.lit(1), _prefix(n)), lambda k: F.shiftright(k, 57 - HASH_BITS).cast("int"))
     grams = F.when(rare < _prefix(n), _grams("k", "rare"))
     # Rare and frequent words have a parity each.
-    parts = split.select("id", "at", n.alias("n"), _parity(F.slice("k", F.lit(1), rare)).alias("p0"), _parity(F.slice("k", rare + 1, n)).alias("p1"), first.alias("prefix"), grams.alias("grams"))
-    return cut(parts.select("id", "at", "n", F.col("p0").bitwiseXOR(F.col("p1")).alias("parity"), "p0", "p1", "prefix", "grams"), "index", made)
+    parts = split.select("id", "at", n.alias("n"), _parity(F.slice("k", F.lit(1), rare)).alias("p0"), _parity(F.slice("k", rare + 1, n)).alias("p1"), first.alias("prefix"), "rare", grams.alias("grams"))
+    return cut(parts.select("id", "at", "n", F.col("p0").bitwiseXOR(F.col("p1")).alias("parity"), "p0", "p1", "prefix", "rare", "grams"), "index", made)
 
 
 def _prefix(n: Column) -> Column:
@@ -245,35 +245,46 @@ def verified(lines: DataFrame, index: DataFrame, pairs: DataFrame, kept: list[st
     return found
 
 
-def _like(a: str, b: str) -> Column:
-    """The filters for lines of one gram: length and parity."""
+def _like(a: str, b: str, apart: Column) -> Column:
+    """The filters for lines of one gram, of which `apart` words at least are in one line only."""
     num, den = SIMILAR
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * _far(a, b) <= (den - num) * (n + m))
+    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * apart <= (den - num) * (n + m))
+
+
+def _bits(a: str, b: str, part: str) -> Column:
+    return F.bit_count(F.col(f"{a}.{part}").bitwiseXOR(F.col(f"{b}.{part}")))
 
 
 def _with_first(heavy: DataFrame) -> DataFrame:
     """heavy: the index of lines with grams. Pairs of lines and, for each of their grams, the earliest line with it."""
-    rows = heavy.select("id", "at", "n", "parity", F.explode("grams").alias("gram"))
-    firsts = rows.groupBy("gram").agg(F.min(F.struct("at", "id", "n", "parity")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("gram", "f.id", "f.n", "f.parity")
-    met = rows.alias("a").join(firsts.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") != F.col("b.id")) & _like("a", "b"))
-    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far")).distinct()
+    rows = heavy.select("id", "at", "n", "p0", "p1", F.explode("grams").alias("gram"))
+    firsts = rows.groupBy("gram").agg(F.min(F.struct("at", "id", "n", "p0", "p1")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("gram", "f.id", "f.n", "f.p0", "f.p1")
+    apart = _bits("a", "b", "p0") + _bits("a", "b", "p1")
+    met = rows.alias("a").join(firsts.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") != F.col("b.id")) & _like("a", "b", apart))
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), apart.alias("far")).distinct()
 
 
 def _by_grams(heavy: DataFrame, done: DataFrame, made: list[str]) -> DataFrame:
-    """heavy: the index of lines with grams. Pairs of lines of one gram, of which one line at least is not done; the lines of a gram meet in blocks."""
-    asking = heavy.select("id", "n", "parity", "grams").join(done.withColumn("done", F.lit(True)), "id", "left")
-    rows = asking.select("id", "n", "parity", F.col("done").isNull().alias("asks"), F.explode("grams").alias("gram"))
+    """heavy: the index of lines with grams. Pairs of lines of one gram, of which one line at least is not done; the lines of a gram meet in blocks.
+
+    Pairs with a rare word in common are left to _by_rare(), so that all rare words are in one line only here.
+    """
+    asking = heavy.select("id", "n", "rare", "p1", "grams").join(done.withColumn("done", F.lit(True)), "id", "left")
+    rows = asking.select("id", "n", "rare", "p1", F.col("done").isNull().alias("asks"), F.inline(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), F.get("grams", i - 1).alias("before")))))
     blocks = F.when(F.col("askers") > ASKERS, F.ceil(F.col("c") / BLOCK).cast("int")).otherwise(1)
     asked = rows.groupBy("gram").agg(F.count_if("asks").alias("askers"), F.count("*").alias("c")).filter("askers > 0 AND c > 1").select("gram", blocks.alias("blocks"))
     held = cut(rows.join(asked, "gram").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "grams", made)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = held.filter("asks").select("gram", F.col("block").alias("i"), every.alias("j"), "id", "n", "parity").alias("a")
-    b = held.select("gram", every.alias("i"), F.col("block").alias("j"), "id", "n", "parity", "asks").alias("b")
+    a = held.filter("asks").select("gram", F.col("block").alias("i"), every.alias("j"), "id", "n", "rare", "p1", "before").alias("a")
+    b = held.select("gram", every.alias("i"), F.col("block").alias("j"), "id", "n", "rare", "p1", "asks", "before").alias("b")
     same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    apart = F.col("a.rare") + F.col("b.rare") + _bits("a", "b", "p1")
+    # Lines with the gram before in common have met there.
+    fresh = F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))
     # Of two lines that both ask one is enough.
-    met = a.join(b, same & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & _like("a", "b"))
-    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), _far("a", "b").alias("far"))
+    met = a.join(b, same & (F.col("a.id") != F.col("b.id")) & ((F.col("a.id") > F.col("b.id")) | ~F.col("b.asks")) & fresh & _like("a", "b", apart))
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), apart.alias("far"))
 
 
 def _by_rare(index: DataFrame, done: DataFrame, least: int) -> DataFrame:

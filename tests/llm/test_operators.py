@@ -604,6 +604,17 @@ def test_lines_with_rare_words_of_their_own(spark, tmp_path, monkeypatch):
     assert [x["text_sha256"] for x in rows] == _lines_by_hand(texts)
 
 
+def test_lines_meet_once_for_a_run_of_grams(spark, monkeypatch):
+    """Near copies share most of their grams, and each pair is made once."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 16)
+    docs = spark.createDataFrame([(i, " ".join(f"c{k}" for k in range(40)) + f" own{i}") for i in range(30)], "doc long, text string")
+    lines = line_dedup.unique_lines(docs, [])
+    heavy = line_dedup.index_lines(lines, line_dedup._level_table(spark, line_dedup.rarity(lines)), []).filter("grams IS NOT NULL")
+    pairs = line_dedup._by_grams(heavy, heavy.select("id").limit(0), []).collect()
+    assert len(pairs) == 30 * 29 // 2 == len({(v["x"], v["y"]) for v in pairs})
+    assert {v["far"] for v in pairs} == {2}
+
+
 def test_lines_of_many_words(spark, tmp_path):
     """Lines with as many words as pass the wider parity filter only if they are near."""
     r = np.random.default_rng(3)
