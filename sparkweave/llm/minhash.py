@@ -16,9 +16,16 @@ then every candidate pair whose sets are not yet in one component. So a group of
 near copies costs a few verifications for each member and not one for each
 pair, and no candidate is left out.
 
+Windows do not cover regions of more than WINDOW + 1 sets. There each set is verified
+first with the one of which there are most copies too; then all pairs of sets that
+are still in different components meet, in blocks of BLOCK sets by BLOCK: those outside of
+a region's largest component with each other and with all of that. They need not pass the
+screen. So in regions of any size all pairs are found. Before texts are read all pairs pass
+the filters of sifting.py, which lose nothing.
+
 Shingles are told apart by 64-bit hashes and equal sets by 128 bits of them. A pair with a
 similarity of 0.8 shares a beginning in some order with a probability of
-1 - (1 - 0.8 ** 3) ** 12 = 0.9998; WINDOW matters in regions of more than that many sets only.
+1 - (1 - 0.8 ** 3) ** 12 = 0.9998.
 
 Null, empty and white-space texts have empty sets and are linked with nothing. Rows
 that repeat an id or a text stay, each with its own row. Null ids take part; a
@@ -39,15 +46,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, read_table
 from .components import components
+from .sifting import SIMILAR, compare_blocks, parity, sifted, wide_parity
 
 SHINGLE = 4
-#: The least similarity, as a fraction.
-SIMILAR = (80, 100)
 TREES, VALUES, DEPTH = 12, 8, 3
 SIZE = TREES * VALUES
 WINDOW = 32
 #: Of SIZE values so many must agree; at a similarity of 0.8 fewer do once in some 10,000 pairs.
 SCREEN = 62
+#: Sets that meet as many others at once, in regions that windows do not cover.
+BLOCK = 2048
+#: Bits of the wide parity for each shingle.
+SPREAD = 4
 #: Shingles whose hash functions are worked out together.
 CHUNK = 1 << 16
 
@@ -99,18 +109,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(shingle: int):
-    """n, digest of the set, keys (a hash of the first values in each order), and low, a byte of each value."""
+    """n, digest of the set, keys (a hash of the first values in each order), low, a byte of each value, and parities."""
 
-    @F.pandas_udf("n long, digest binary, keys array<long>, low binary")
+    @F.pandas_udf("n long, digest binary, keys array<long>, low binary, p0 long, p1 long, p2 long, p3 long, wide binary")
     def marks(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, shingle) for x in texts]
         full = [i for i, x in enumerate(sets) if len(x)]
-        digest, keys, low = ([None] * len(sets) for _ in range(3))
+        digest, keys, low, wide = ([None] * len(sets) for _ in range(4))
+        bits = np.zeros((len(sets), 4), np.int64)
         for i, row in zip(full, signatures([sets[i] for i in full])):
             digest[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             keys[i] = [xxhash.xxh3_64_intdigest(row[VALUES * t : VALUES * t + DEPTH].tobytes(), t) - (1 << 63) for t in range(TREES)]
             low[i] = row.astype(np.uint8).tobytes()
-        return pd.DataFrame({"n": [len(x) for x in sets], "digest": digest, "keys": keys, "low": low})
+            bits[i], wide[i] = parity(sets[i]), wide_parity(sets[i], SPREAD)
+        return pd.DataFrame({"n": [len(x) for x in sets], "digest": digest, "keys": keys, "low": low, **{f"p{k}": bits[:, k] for k in range(4)}, "wide": wide})
 
     return marks
 
@@ -208,15 +220,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, made: list[str])
     return cut(both.mapInPandas(_confirm(shingle), "a long, b long").distinct(), "confirmed", made)
 
 
+def central(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a > b of each set of a region and the region's set of most copies. crowd: key, id."""
+    hubs = crowd.join(sets.select("id", "copies"), "id").groupBy("key").agg(F.max(F.struct("copies", "id")).alias("hub")).select("key", "hub.id").toDF("key", "hub")
+    return crowd.join(hubs, "key").filter("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+
+
+def beyond_windows(crowd: DataFrame, sets: DataFrame, roots: DataFrame, made: list[str]) -> DataFrame:
+    """All pairs a > b of different components in one region that pass the filters. crowd: key, id; roots: node, root."""
+    rows = crowd.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    rows = cut(rows, "crowd", made)
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main")).filter("main.c < all")
+    blocks = parts.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / BLOCK).alias("few"), F.ceil(F.col("main.c") / BLOCK).alias("many"))
+    rows = rows.join(blocks, "key").join(sets.select("id", "n", "p0", "p1", "p2", "p3", "wide"), "id")
+    # The blocks of the largest component follow those of the other sets, and do not meet each other.
+    main, at = F.col("comp") == F.col("main"), F.xxhash64("id")
+    rows = rows.withColumn("block", F.when(main, F.col("few") + F.pmod(at, "many")).otherwise(F.pmod(at, "few")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = rows.select("key", "id", "n", F.lit(0).alias("pos"), "comp", "p0", "p1", "p2", "p3", "wide", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare_blocks, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """A row for each of docs: doc, n (size of its set) and component_id."""
     spark = docs.sparkSession
     made: list[str] = []
     own = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
     marked = cut(own.select("doc", "th", _marks(shingle)("text").alias("m")).select("doc", "th", "m.*"), "marked")
-    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th")
-    sets = marked.filter("n > 0").groupBy("digest").agg(F.min(place).alias("at"), F.any_value("keys").alias("keys"), F.any_value("low").alias("low"))
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "at", "keys", "low"), "sets", made)
+    place, bits = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th"), ("n", "p0", "p1", "p2", "p3", "wide")
+    sets = marked.filter("n > 0").groupBy("digest").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("keys", "low", *bits)))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "at", "copies", "keys", "low", *bits), "sets", made)
 
     beginnings = sets.select("id", F.posexplode("keys").alias("tree", "key"))
     shared = beginnings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
@@ -224,18 +257,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     turned = F.concat(F.expr(f"substring(low, tree * {VALUES} + 1, {SIZE})"), F.expr(f"substring(low, 1, tree * {VALUES})"))
     forest = cut(met.join(sets.select("id", "low"), "id").select("key", turned.alias("label"), "id", F.col("id").alias("comp")), "forest", made)
 
-    near = candidates(forest, True, made)
-    asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "at"), "id").select("id", "at.doc", "at.th")
+    large = forest.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > WINDOW + 1).select("key")
+    large = cut(large, "large", made)
+    crowd = cut(forest.select("key", "id").join(large, "key", "left_semi"), "regions", made)
+    close = candidates(forest, True, made)
+    asked = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct().join(sets.select("id", "at"), "id").select("id", "at.doc", "at.th")
     texts = own.alias("o").join(asked.hint("shuffle_hash").alias("q"), F.col("o.doc").eqNullSafe(F.col("q.doc")) & (F.col("o.th") == F.col("q.th"))).select("id", "text")
     texts = cut(texts, "texts", made)
+    near = cut(sifted(sets, close.unionByName(central(crowd, sets)).distinct()), "near", made)
     first = confirmed(near, texts, shingle, made)
     roots = cut(components(first), "roots", made)
 
     # What is left to compare: sets of different components in one region.
-    placed = forest.drop("comp").join(texts.select("id").distinct(), "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "label", "id", F.coalesce("root", "id").alias("comp"))
+    placed = forest.drop("comp").join(large, "key", "left_anti").join(texts.select("id").distinct(), "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "label", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    others = candidates(placed.join(mixed, "key", "left_semi"), False, made).join(near, ["a", "b"], "left_anti")
-    second = confirmed(others, texts, shingle, made)
+    others = sifted(sets, candidates(placed.join(mixed, "key", "left_semi"), False, made)).unionByName(beyond_windows(crowd, sets, roots, made)).distinct()
+    second = confirmed(cut(others.join(near, ["a", "b"], "left_anti"), "others", made), texts, shingle, made)
     if not second.isEmpty():
         roots = cut(components(first.unionByName(second)), "roots", made)
 

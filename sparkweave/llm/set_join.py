@@ -21,21 +21,19 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .minhash import SIMILAR, shingle_set
+from .minhash import shingle_set
+from .sifting import SIMILAR, apart, compare_blocks, may_be_similar, parity, sifted, wide_parity  # noqa: F401
 
 SLOT_BITS = 20
 #: A slot is common where a task has seen so many shingles in it, and four times the mean besides.
 COMMON = 16
 MANY = 16
 BLOCK = 2048
-#: Sets of a block that are compared with all others at once.
-STRIPE = 128
 
 
 def _common(shingle: int):
@@ -69,26 +67,6 @@ def prefix(codes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return codes[np.lexsort((codes, level))][: prefix_length(len(codes))]
 
 
-def parity(codes: np.ndarray) -> np.ndarray:
-    """256 bits, each flipped by the codes that fall on it, as four signed numbers."""
-    bits = (np.bincount((codes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
-
-
-def wide_parity(codes: np.ndarray) -> bytes:
-    """As parity(), with a bit for each code or more: a power of two, 256 at least. Halves folded together give fewer bits."""
-    size = max(256, 1 << (len(codes) - 1).bit_length())
-    return np.packbits((np.bincount((codes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
-
-
-def apart(a: bytes, b: bytes) -> int:
-    """How many bits of two wide parities differ, at the length of the shorter."""
-    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
-    while len(x) != len(y):
-        x, y = (v[: len(v) // 2] ^ v[len(v) // 2 :] if len(v) > min(len(x), len(y)) else v for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _prefixed(shingle: int, common):
     def run(batches):
         for batch in batches:
@@ -102,12 +80,6 @@ def _prefixed(shingle: int, common):
     return run
 
 
-def _near(n, m, p, q):
-    """The filters for sets of n and m shingles whose first common one is at p and q."""
-    num, den = SIMILAR
-    return (den * n >= num * m) & (den * m >= num * n) & ((num + den) * np.minimum(n - p, m - q) >= num * (n + m))
-
-
 def _meet(batches):
     """Of rows key, id, n, pos in order: pairs a > b of MANY rows at most of one key, and of more all rows, with the first as b where both may be similar, and with key, n and pos."""
 
@@ -142,7 +114,7 @@ def _meet(batches):
             i = np.nonzero(light[s:] & (key[s:] == key[:-s]))[0] + s
             if not len(i):
                 break
-            i = i[_near(n[i].astype(np.int64), n[i - s].astype(np.int64), pos[i], pos[i - s])]
+            i = i[may_be_similar(n[i].astype(np.int64), n[i - s].astype(np.int64), pos[i], pos[i - s])]
             a.append(ids[i])
             b.append(ids[i - s])
         pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
@@ -150,31 +122,11 @@ def _meet(batches):
             yield out(pairs[0], pa.array(pairs[1]))
         if many.any():
             m = [x[many] for x in lead]
-            apart = (ids[many] == m[0]) | ~_near(n[many].astype(np.int64), m[1].astype(np.int64), pos[many], m[2])
+            apart = (ids[many] == m[0]) | ~may_be_similar(n[many].astype(np.int64), m[1].astype(np.int64), pos[many], m[2])
             yield out(ids[many], pa.array(m[0], mask=apart), key[many], n[many], pos[many])
         held = [x[end:] for x in held]
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of one key, or within one, that are in different components and pass the filters."""
-    num, den = SIMILAR
-    same = (pdf["i"] == pdf["j"]).to_numpy()
-    one, two = (pdf, pdf) if same.all() else (pdf[(pdf["block"] == pdf["i"]).to_numpy()], pdf[(pdf["block"] == pdf["j"]).to_numpy()])
-    x, y = ({c: d[c].to_numpy(np.int64) for c in ("id", "n", "pos", "comp", "p0", "p1", "p2", "p3")} for d in (one, two))
-    a, b = [x["id"][:0]], [x["id"][:0]]
-    for s in range(0, len(one), STRIPE):
-        z = {c: v[s : s + STRIPE, None] for c, v in x.items()}
-        i, j = np.nonzero((z["comp"] != y["comp"]) & _near(z["n"], y["n"], z["pos"], y["pos"]))
-        i += s
-        far = sum(np.bitwise_count((x[p][i] ^ y[p][j]).view(np.uint64)).astype(np.int64) for p in ("p0", "p1", "p2", "p3"))
-        ok = (num + den) * far <= (den - num) * (x["n"][i] + y["n"][j])
-        a.append(x["id"][i[ok]])
-        b.append(y["id"][j[ok]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-
 def meetings(texts: DataFrame, shingle: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """texts: id, text (no empty sets, and each set once). Returns id, n and parities, and the rows of _meet()."""
     common = texts.sparkSession.sparkContext.broadcast(commonness(texts, shingle))
@@ -194,22 +146,4 @@ def across(sets: DataFrame, met: DataFrame, roots: DataFrame, made: list[str]) -
     blocks = mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").join(sets.drop("n", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.drop("blocks", "other").groupBy("key", "i", "j").applyInPandas(_across, "a long, b long").distinct()
-
-
-def _sift(batches):
-    num, den = SIMILAR
-    for pdf in batches:
-        far = np.array([apart(x, y) for x, y in zip(pdf["wide_a"], pdf["wide_b"])], np.int64)
-        yield pdf.loc[(num + den) * far <= (den - num) * (pdf["n_a"] + pdf["n_b"]).to_numpy(), ["a", "b"]]
-
-
-def sifted(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b that pass the filters by length and by both parities. sets: id, n and parities."""
-    num, den = SIMILAR
-    x, y = (sets.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "p0", "p1", "p2", "p3"))) for k in "ab")
-    far = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
-    n, m = F.col("n_a").cast("long"), F.col("n_b").cast("long")
-    near = pairs.join(x, "a").join(y, "b").filter((den * n >= num * m) & (den * m >= num * n) & ((num + den) * far <= (den - num) * (n + m))).select("a", "b", n.alias("n_a"), m.alias("n_b"))
-    wide = lambda k: sets.select(F.col("id").alias(k), F.col("wide").alias(f"wide_{k}"))
-    return near.join(wide("a"), "a").join(wide("b"), "b").mapInPandas(_sift, "a long, b long")
+    return dealt.drop("blocks", "other").groupBy("key", "i", "j").applyInPandas(compare_blocks, "a long, b long").distinct()

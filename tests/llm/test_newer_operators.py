@@ -178,6 +178,28 @@ def test_minhash_against_brute_force(spark, folder, monkeypatch, window):
     assert Counter(map(tuple, rows)) == Counter(_linked(DOCS))
 
 
+def test_minhash_in_groups_beyond_windows(spark, tmp_path, monkeypatch):
+    """Copies that are similar to their original only: in one group that has most copies, in the other one of the rest has."""
+    monkeypatch.setattr(minhash, "WINDOW", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    r = np.random.default_rng(5)
+    texts = []
+    for most in (0, 1):
+        base = [f"g{most}x{i}" for i in range(200)]
+        group = [base]
+        for i in range(100):
+            w = list(base)
+            for k in r.choice(48, 5, replace=False):
+                w[4 * k + 5] = f"n{i}y{k}"
+            group.append(w)
+        texts += [" ".join(w) for w in group + [group[most]] * 3]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = _linked(rows)
+    assert [sum(x[2] == i for x in want) for i in (0, 104)] == [104, 104]
+    assert sorted(map(tuple, minhash.op13_minhash(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_neighbours_across_partitions(spark):
     """With a row in each partition every pair is met across their bounds."""
     label = bytes(range(96))
@@ -297,3 +319,15 @@ def test_long_texts_are_sifted(spark):
     got = {tuple(x) for x in set_join.sifted(bits, pairs).collect()}
     assert len(want) >= 4 and len(other) >= 4
     assert got == want
+
+
+def test_wide_parities_at_once():
+    """As one pair after the other, for sets whose parities differ in length."""
+    from sparkweave.llm import sifting
+
+    r = np.random.default_rng(6)
+    wide = np.array([sifting.wide_parity(r.integers(0, 1 << 63, n, dtype=np.uint64), 4) for n in (1, 60, 64, 70, 500, 512, 530, 600)], object)
+    i, j = (x.ravel() for x in np.meshgrid(range(8), range(8)))
+    fit = [2 * min(a, b) >= max(a, b) for a, b in zip(map(len, wide[i]), map(len, wide[j]))]
+    i, j = i[fit], j[fit]
+    assert sifting.all_apart(wide, wide, i, j, {}).tolist() == [sifting.apart(wide[a], wide[b]) for a, b in zip(i, j)]
